@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .paths import as_json, let, text_kind
 
-DEFAULT_DEPTH = 6
+DEFAULT_DEPTH = 5
 
 
 def quoted(text: Column) -> Column:

@@ -66,10 +66,12 @@ FIRST_CHARACTER = {
 }
 
 
+FIRST_CHARACTER_MAP = f"map({', '.join(f"'{c}', '{k}'" for c, k in FIRST_CHARACTER.items())})"
+
+
 def text_kind(text: Column) -> Column:
     """Kind of a canonical JSON text."""
-    table = F.create_map(*[F.lit(x) for pair in FIRST_CHARACTER.items() for x in pair])
-    return F.try_element_at(table, F.substring(text, 1, 1))
+    return F.try_element_at(F.expr(FIRST_CHARACTER_MAP), F.substring(text, 1, 1))
 
 
 def variant_kind(variant: Column) -> Column:

@@ -190,3 +190,29 @@ with ctx as (
   from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
 )
 """
+
+
+def words(text):
+    return F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))).cast("bigint")
+
+
+def turns(spark, sf_dir) -> DataFrame:
+    """Conversation turns with token usage: none for system, one-sided for the rest."""
+    c = table(spark, sf_dir, "conversations")
+    n = words(F.col("text"))
+    usage = F.struct(
+        F.when(F.col("role") == "user", n).alias("prompt_tokens"),
+        F.when(F.col("role") == "assistant", n).alias("completion_tokens"),
+        F.when(F.col("role") != "system", n).alias("total_tokens"),
+    )
+    return c.withColumn("usage", usage)
+
+
+TURNS_SQL = r"""
+with turns as (
+  select *, case when role <> 'system' then cast(len(regexp_extract_all(text, '\S+')) as bigint) end as total_tokens,
+         case when role = 'user' then cast(len(regexp_extract_all(text, '\S+')) as bigint) end as prompt_tokens,
+         case when role = 'assistant' then cast(len(regexp_extract_all(text, '\S+')) as bigint) end as completion_tokens
+  from conversations
+)
+"""

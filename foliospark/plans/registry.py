@@ -12,7 +12,7 @@ CHECKS: dict[str, str] = {}
 MODULES = (
     "selectors",
     "reshaping",
-    # "storing",
+    "storing",
     # "joining",
     # "counting",
     # "rendering",
