@@ -175,10 +175,8 @@ def infer_schema(df: DataFrame, order: list[str], limit: int | None = 1, depth:
     if limit is not None:
         df = df.orderBy(*order).limit(limit)
     entries = df.select(*order, F.explode(document_map(F.col("doc"))).alias("field", "value"))
-    first = entries.groupBy("field").agg(
-        F.min_by(F.to_json("value"), F.struct(*order)).alias("value")
-    )
-    return first.select("field", _json_type(F.parse_json("value"), depth).alias("type"))
+    first = entries.groupBy("field").agg(F.min_by("value", F.struct(*order)).alias("value"))
+    return first.select("field", _json_type(F.col("value"), depth).alias("type"))
 
 
 def discover_schema(df: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ def write_back_revisions(batch: DataFrame, responses: DataFrame) -> DataFrame:
 
 def unknown_ids(updates: DataFrame, target: DataFrame, key: str) -> DataFrame:
     """Updates that name an id the target does not have."""
-    return updates.join(target.select(key), key, "left_anti")
+    return updates.join(target.select(key).distinct(), key, "left_anti")
 
 
 # -- append to iteration documents --------------------------------------------

@@ -13,8 +13,8 @@ MODULES = (
     "selectors",
     "reshaping",
     "storing",
-    # "joining",
-    # "counting",
+    "joining",
+    "counting",
     # "rendering",
     # "validating",
     # "generating",
