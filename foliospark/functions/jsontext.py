@@ -24,12 +24,24 @@ def elements_of(variant: Column) -> Column:
     return F.try_variant_get(variant, "$", "array<variant>")
 
 
+def key_path(key: Column) -> Column:
+    """VARIANT path of one object key, quoted so that any key can be named."""
+    double = F.concat(F.lit('$["'), key, F.lit('"]'))
+    return F.when(key.contains("'"), double).otherwise(F.concat(F.lit("$['"), key, F.lit("']")))
+
+
 def entries_of(variant: Column) -> Column:
     """Keys and values of an object, in key order; NULL for anything else."""
     text = as_json(variant)
-    return F.map_entries(
-        F.from_json(F.when(F.substring(text, 1, 1) == "{", text), "map<string,variant>")
-    )
+
+    def entry(k: Column) -> Column:
+        by_path = F.try_variant_get(variant, key_path(k), "variant")
+        # a key holding both kinds of quotes cannot be written as a path
+        by_text = F.element_at(F.from_json(text, "map<string,variant>"), k)
+        both = k.contains("'") & k.contains('"')
+        return F.struct(k.alias("key"), F.when(both, by_text).otherwise(by_path).alias("value"))
+
+    return F.transform(F.json_object_keys(text), entry)
 
 
 def members_of(variant: Column) -> Column:

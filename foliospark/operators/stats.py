@@ -153,15 +153,13 @@ def _json_type(variant: Column, depth: int) -> Column:
                 F.coalesce(F.concat(quoted(m["key"]), F.lit(":")), F.lit("")), of(m["value"], left - 1)
             ),
         )
-        joined = F.array_join(inner, ",")
-        return (
-            F.when(
-                kind == "array",
-                F.concat(F.lit('{"type":"array","items":'), F.when(joined == "", "{}").otherwise(joined), F.lit("}")),
-            )
-            .when(kind == "object", F.concat(F.lit('{"type":"object","properties":{'), joined, F.lit("}}")))
-            .otherwise(flat)
-        )
+        def nested(joined: Column) -> Column:
+            items = F.concat(F.lit('{"type":"array","items":'), F.when(joined == "", "{}").otherwise(joined), F.lit("}"))
+            properties = F.concat(F.lit('{"type":"object","properties":{'), joined, F.lit("}}"))
+            return F.when(kind == "array", items).otherwise(properties)
+
+        body = let(F.array_join(inner, ","), nested)
+        return F.when(kind.isin("array", "object"), body).otherwise(flat)
 
     return of(variant, depth)
 

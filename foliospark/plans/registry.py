@@ -15,7 +15,7 @@ MODULES = (
     "storing",
     "joining",
     "counting",
-    # "rendering",
+    "rendering",
     # "validating",
     # "generating",
     # "streaming",
