@@ -26,15 +26,11 @@ def float_text(x: Column) -> Column:
     """A double as Python writes it: plain from 1e-4 up to 1e16, else with exponent."""
     x = x.cast("double")
     java = x.cast("string")
-    plain = F.regexp_replace(java.try_cast("decimal(38,21)").cast("string"), r"(?<=\.\d)0+$|(?<=\d)0+$", "")
-    plain = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", ".0")
-    mantissa = F.regexp_replace(F.substring_index(java, "E", 1), r"\.0$", "")
-    exponent = F.substring_index(java, "E", -1).try_cast("int")
-    scientific = F.concat(
-        mantissa,
-        F.when(exponent < 0, "e-").otherwise("e+"),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
-    )
+    digits = F.regexp_replace(java.try_cast("decimal(38,21)").cast("string"), "0+$", "")
+    plain = F.regexp_replace(digits, r"\.$", ".0")
+    # 1.5E-7 -> 1.5e-07, 1.0E20 -> 1e+20
+    signed = F.regexp_replace(F.regexp_replace(java, r"(?:\.0)?E(\d)", "e+$1"), r"(?:\.0)?E-", "e-")
+    scientific = F.regexp_replace(signed, r"(e[-+])(\d)$", "$10$2")
     size = F.abs(x)
     return (
         F.when(F.isnan(x), "nan")
@@ -59,11 +55,15 @@ def bool_text(b: Column) -> Column:
     return F.when(b, "True").when(~b, "False")
 
 
-def variant_number_text(v: Column) -> Column:
-    schema = F.schema_of_variant(v)
-    whole = as_json(v).rlike(r"^-?\d+$") & ~((schema == "DOUBLE") | schema.startswith("DECIMAL"))
-    big = as_json(v).rlike(r"^-?\d{19,}$")
-    return F.when(whole | big, as_json(v)).otherwise(float_text(F.try_variant_get(v, "$", "double")))
+def variant_number_text(v: Column, text: Column) -> Column:
+    """A number of a VARIANT; a whole float keeps its ".0", which JSON text drops."""
+    whole_float = ~text.contains(".") & F.schema_of_variant(v).startswith("D") & (F.length(text) < 19)
+    tiny_or_huge = text.contains("E") | text.rlike(r"^-?0\.0000")
+    return (
+        F.when(tiny_or_huge, float_text(F.try_variant_get(v, "$", "double")))
+        .when(whole_float, F.concat(text, F.lit(".0")))
+        .otherwise(text)
+    )
 
 
 def variant_repr(variant: Column, depth: int = TEXT_DEPTH) -> Column:
@@ -80,7 +80,7 @@ def walk(variant: Column, string, names: dict, key, depth: int) -> Column:
         kind = text_kind(text)
         scalar = (
             F.when(kind == "string", string(F.try_variant_get(v, "$", "string")))
-            .when(kind == "number", variant_number_text(v))
+            .when(kind == "number", variant_number_text(v, text))
             .when(text == "true", names["true"])
             .when(text == "false", names["false"])
             .otherwise(names["null"])

@@ -53,6 +53,11 @@ def text(col: Column) -> Val:
     return Val(col, STRING)
 
 
+def over_text(v: Val, fn) -> Val:
+    """``fn`` of the text of a value; text that has to be made is made once."""
+    return text(fn(v.text()) if is_text(v) else let(v.text(), fn))
+
+
 # -- strings ------------------------------------------------------------------
 # Characters after which a title-cased word starts.
 WORD_BREAKS = r"[-\s({\[<]+"
@@ -101,19 +106,26 @@ def f_truncate(_, v, length=None, killwords=None, end=None, leeway=None):
     n = literal(length, 255, "truncate length")
     kill, tail = literal(killwords, False, "killwords"), literal(end, "...", "truncate end")
     slack = literal(leeway, 5, "leeway")
-    s = v.text()
-    cut = F.substring(s, 1, max(n - len(tail), 0))
-    if not kill:
-        cut = F.when(cut.contains(" "), F.regexp_replace(cut, r"(?s) [^ ]*$", "")).otherwise(cut)
-    return text(F.when(F.length(s) <= n + slack, s).otherwise(F.concat(cut, F.lit(tail))))
+
+    def shorten(s):
+        cut = F.substring(s, 1, max(n - len(tail), 0))
+        if not kill:
+            cut = F.when(cut.contains(" "), F.regexp_replace(cut, r"(?s) [^ ]*$", "")).otherwise(cut)
+        return F.when(F.length(s) <= n + slack, s).otherwise(F.concat(cut, F.lit(tail)))
+
+    return over_text(v, shorten)
 
 
 def f_center(_, v, width=None):
-    w, s = literal(width, 80, "center width"), v.text()
-    pad = F.lit(w) - F.length(s)
-    left = F.floor(pad / 2).cast("int") + (pad.bitwiseAND(F.lit(w)).bitwiseAND(F.lit(1)))
-    padded = F.concat(F.repeat(F.lit(" "), left), s, F.repeat(F.lit(" "), pad - left))
-    return text(F.when(pad > 0, padded).otherwise(s))
+    w = literal(width, 80, "center width")
+
+    def centered(s):
+        pad = F.lit(w) - F.length(s)
+        left = F.floor(pad / 2).cast("int") + (pad.bitwiseAND(F.lit(w)).bitwiseAND(F.lit(1)))
+        padded = F.concat(F.repeat(F.lit(" "), left), s, F.repeat(F.lit(" "), pad - left))
+        return F.when(pad > 0, padded).otherwise(s)
+
+    return over_text(v, centered)
 
 
 # Where text may be broken - blanks, after a hyphen inside a word,
@@ -499,7 +511,7 @@ def f_list(compiler, v):
 
 
 def simple(fn):
-    return lambda _, v: text(fn(v.text()))
+    return lambda _, v: over_text(v, fn)
 
 
 def custom(fn):
@@ -588,8 +600,8 @@ def is_bool(v, wanted):
 
 
 def cased(v, fn):
-    s = v.text()
-    return (s == fn(s)) & (F.lower(s) != F.upper(s))
+    check = lambda s: (s == fn(s)) & (F.lower(s) != F.upper(s))
+    return check(v.col) if is_text(v) else let(v.text(), check)
 
 
 def divisible(v, n):

@@ -173,7 +173,7 @@ template_query(
     "{{ ('  ' ~ p_brand ~ ' ') | trim }}|{{ ('<b>' ~ p_name ~ '</b> <i/>x') | striptags }}|{{ p_type | center(11) }}|"
     "{{ '%s has %d' | format(p_brand, p_size) }}|{{ 'a quite long sentence' | truncate(12) }}|{{ (p_name ~ ' and more words') | wordwrap(30) | length }}",
     r"""select p_partkey, upper(p_name) || '|' || upper(p_type[1]) || lower(p_type[2:]) || '|' ||
-        array_to_string(list_transform(string_split(p_name, ' '), w -> upper(w[1]) || w[2:]), ' ') || '-' || upper(p_type[1]) || lower(p_type[2:]) || '|' ||
+        array_to_string(list_transform(string_split(p_name, ' '), lambda w : upper(w[1]) || w[2:]), ' ') || '-' || upper(p_type[1]) || lower(p_type[2:]) || '|' ||
         replace(p_name, ' ', '_') || '|' || p_brand || '|' || p_name || ' x|' ||
         repeat(' ', cast(floor((11 - length(p_type)) / 2) as bigint) + ((11 - length(p_type)) & 1)) || p_type ||
         repeat(' ', 11 - length(p_type) - cast(floor((11 - length(p_type)) / 2) as bigint) - ((11 - length(p_type)) & 1)) || '|' ||
@@ -222,7 +222,7 @@ template_query(
 )
 template_query(
     "udf_filter", "part", ["p_partkey"], "{{ p_name | initials }} {{ p_brand | upper | spaced('-') }}",
-    """select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), w -> w[1]), '') || ' ' ||
+    """select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w : w[1]), '') || ' ' ||
        array_to_string(string_split(upper(p_brand), ''), '-') as text from part""",
     filters={
         "initials": custom(lambda s: F.array_join(F.transform(F.split(s, " "), lambda w: F.substring(w, 1, 1)), "")),
