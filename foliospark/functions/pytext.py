@@ -11,8 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .jsontext import members_of, quoted, too_deep
-from .paths import as_json, let, text_kind, to_variant
+from .paths import as_json, text_kind, to_variant
 
 TEXT_DEPTH = 3  # levels a printed VARIANT may have; deeper values are an error, not cut off
 TUPLE_FIELDS = (["_0", "_1"], ["grouper", "list"])
@@ -55,75 +54,100 @@ def bool_text(b: Column) -> Column:
     return F.when(b, "True").when(~b, "False")
 
 
-def variant_number_text(v: Column, text: Column) -> Column:
+# The walk over a VARIANT is written as SQL text: it is long, and one text is far
+# cheaper to hand to the JVM than thousands of column objects.
+def sql_text(s: str) -> str:
+    for char, escape in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        s = s.replace(char, escape)
+    return f"'{s}'"
+
+
+def sql_replace(expression: str, pairs) -> str:
+    for old, new in pairs:
+        expression = f"replace({expression}, {sql_text(old)}, {sql_text(new)})"
+    return expression
+
+
+def sql_let(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def sql_float(java: str, x: str) -> str:
+    """``float_text`` of a double ``x`` with its text ``java``, which has an exponent or is tiny."""
+    digits = f"regexp_replace(cast(try_cast({java} as decimal(38,21)) as string), '0+$', '')"
+    plain = f"regexp_replace({digits}, {sql_text(chr(92) + '.$')}, '.0')"
+    signed = f"regexp_replace(regexp_replace({java}, {sql_text(r'(?:[.]0)?E([0-9])')}, 'e+$1'), {sql_text('(?:[.]0)?E-')}, 'e-')"
+    scientific = f"regexp_replace({signed}, {sql_text('(e[-+])([0-9])$')}, '$10$2')"
+    return (
+        f"case when not contains({java}, 'E') then {java} "
+        f"when abs({x}) >= 1e-4D and abs({x}) < 1e16D then {plain} else {scientific} end"
+    )
+
+
+def sql_number(v: str, t: str) -> str:
     """A number of a VARIANT; a whole float keeps its ".0", which JSON text drops."""
-    whole_float = ~text.contains(".") & F.schema_of_variant(v).startswith("D") & (F.length(text) < 19)
-    tiny_or_huge = text.contains("E") | text.rlike(r"^-?0\.0000")
+    double = f"try_variant_get({v}, '$', 'double')"
     return (
-        F.when(tiny_or_huge, float_text(F.try_variant_get(v, "$", "double")))
-        .when(whole_float, F.concat(text, F.lit(".0")))
-        .otherwise(text)
+        f"case when contains({t}, 'E') or {t} rlike '^-?0[.]0000' then {sql_float(f'cast({double} as string)', double)} "
+        f"when not contains({t}, '.') and length({t}) < 19 and startswith(schema_of_variant({v}), 'D') "
+        f"then concat({t}, '.0') else {t} end"
     )
 
 
-def variant_repr(variant: Column, depth: int = TEXT_DEPTH) -> Column:
-    return walk(variant, string_repr, {"true": "True", "false": "False", "null": "None"}, string_repr, depth)
+def sql_string_repr(s: str) -> str:
+    body = sql_replace(s, [("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")])
+    quoted_single = f"""concat("'", {sql_replace(body, [("'", chr(92) + "'")])}, "'")"""
+    return f"""case when contains({s}, "'") and not contains({s}, '"') then concat('"', {body}, '"') else {quoted_single} end"""
 
 
-def walk(variant: Column, string, names: dict, key, depth: int) -> Column:
-    """Text of a VARIANT with ", " and ": " separators and the given scalar forms."""
+def sql_json_string(s: str) -> str:
+    """JSON string in ASCII, with the characters that matter to HTML escaped too."""
+    json_text = f"to_json(cast({s} as variant))"
+    code = "ascii(c)"
+    pair = (
+        f"format_string({sql_text('%su%04x%su%04x')}, {sql_text(chr(92))}, shiftright({code} - 65536, 10) + 55296, "
+        f"{sql_text(chr(92))}, ({code} - 65536) % 1024 + 56320)"
+    )
+    one = f"format_string({sql_text('%su%04x')}, {sql_text(chr(92))}, {code})"
+    char = f"case when {code} < 128 then c when {code} < 65536 then {one} else {pair} end"
+    ascii_text = f"array_join(transform(split({json_text}, ''), c -> {char}), '')"
+    text = f"case when {s} rlike {sql_text('[^' + chr(92) + 'x00-' + chr(92) + 'x7f]')} then {ascii_text} else {json_text} end"
+    return sql_replace(text, [("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("'", "\\u0027")])
+
 
-    def level(v, left):
-        return let(as_json(v), lambda text: written(v, text, left))
+def walk(variant: Column, string, names: dict, depth: int) -> Column:
+    """Text of a VARIANT with ", " and ": " separators and the given scalar forms."""
 
-    def written(v, text, left):
-        kind = text_kind(text)
+    def level(left: int) -> str:
+        v, t, m, k = f"v{left}", f"t{left}", f"m{left}", f"k{left}"
+        head = f"substring({t}, 1, 1)"
         scalar = (
-            F.when(kind == "string", string(F.try_variant_get(v, "$", "string")))
-            .when(kind == "number", variant_number_text(v, text))
-            .when(text == "true", names["true"])
-            .when(text == "false", names["false"])
-            .otherwise(names["null"])
+            f"""case when {head} = '"' then {string(f"try_variant_get({v}, '$', 'string')")} """
+            f"when {head} = 't' then '{names['true']}' when {head} = 'f' then '{names['false']}' "
+            f"when {head} = 'n' then '{names['null']}' else {sql_number(v, t)} end"
         )
-        container = kind.isin("array", "object")
         if left == 0:
-            return F.when(container, too_deep("text")).otherwise(scalar)
-        inner = F.transform(
-            members_of(v),
-            lambda m: F.concat(
-                F.coalesce(F.concat(key(m["key"]), F.lit(": ")), F.lit("")), level(m["value"], left - 1)
-            ),
-        )
-        # the next level appears once, whatever the kind
-        close = F.when(kind == "array", "]").otherwise("}")
-        body = F.concat(F.substring(text, 1, 1), F.array_join(inner, ", "), close)
-        return F.when(container, body).otherwise(scalar)
+            inside = "raise_error('text: value is nested too deeply, pass a larger depth')"
+        else:
+            path = f"""if(contains({k}, "'"), concat('$["', {k}, '"]'), concat("$['", {k}, "']"))"""
+            listed = f"transform(try_variant_get({v}, '$', 'array<variant>'), x -> struct(cast(null as string) as key, x as value))"
+            keyed = f"transform(json_object_keys({t}), {k} -> struct({k} as key, try_variant_get({v}, {path}, 'variant') as value))"
+            below = sql_let(f"{m}.value", f"v{left - 1}", level(left - 1))
+            key = f"if({m}.key is null, '', concat({string(f'{m}.key')}, ': '))"
+            joined = f"array_join(transform(coalesce({listed}, {keyed}), {m} -> concat({key}, {below})), ', ')"
+            inside = f"concat({head}, {joined}, if({head} = '[', ']', '}}'))"
+        body = f"case when {head} in ('[', '{{') then {inside} else {scalar} end"
+        return sql_let(f"to_json({v})", t, body)
 
-    return level(variant, depth)
+    return F.call_function("transform", F.array(variant), F.expr(f"v{depth} -> {level(depth)}"))[0]
 
 
-def json_string(s: Column) -> Column:
-    """JSON string in ASCII, with the characters that matter to HTML escaped too."""
-
-    def escaped(c):
-        code = F.ascii(c)
-        high, low = F.shiftright(code - 0x10000, 10) + 0xD800, (code - 0x10000) % 1024 + 0xDC00
-        return (
-            F.when(code < 128, c)
-            .when(code < 0x10000, F.format_string("\\u%04x", code))
-            .otherwise(F.format_string("\\u%04x\\u%04x", high, low))
-        )
-
-    text = quoted(s)
-    ascii_text = F.array_join(F.transform(F.split(text, ""), escaped), "")
-    text = F.when(text.rlike(r"[^\x00-\x7f]"), ascii_text).otherwise(text)
-    for char, code in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("'", "\\u0027")):
-        text = F.replace(text, F.lit(char), F.lit(code))
-    return text
+def variant_repr(variant: Column, depth: int = TEXT_DEPTH) -> Column:
+    return walk(variant, sql_string_repr, {"true": "True", "false": "False", "null": "None"}, depth)
 
 
-def variant_tojson(variant: Column, depth: int = TEXT_DEPTH) -> Column:
-    return walk(variant, json_string, {"true": "true", "false": "false", "null": "null"}, json_string, depth)
+def variant_tojson(variant: Column, depth: int = TEXT_DEPTH + 2) -> Column:
+    return walk(variant, sql_json_string, {"true": "true", "false": "false", "null": "null"}, depth)
 
 
 def repr_of(col: Column, dtype: T.DataType) -> Column:
