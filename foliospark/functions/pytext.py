@@ -142,6 +142,12 @@ def walk(variant: Column, string, names: dict, depth: int) -> Column:
     return F.call_function("transform", F.array(variant), F.expr(f"v{depth} -> {level(depth)}"))[0]
 
 
+def variant_number_text_of(variant: Column) -> Column:
+    """Text of a VARIANT that is known to be a number."""
+    body = sql_let("to_json(v)", "t", sql_number("v", "t"))
+    return F.call_function("transform", F.array(variant), F.expr(f"v -> {body}"))[0]
+
+
 def variant_repr(variant: Column, depth: int = TEXT_DEPTH) -> Column:
     return walk(variant, sql_string_repr, {"true": "True", "false": "False", "null": "None"}, depth)
 

@@ -16,7 +16,7 @@ MODULES = (
     "joining",
     "counting",
     "rendering",
-    # "validating",
+    "validating",
     # "generating",
     # "streaming",
 )

@@ -13,6 +13,8 @@ SEMANTIC_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # compiled schemas and templates nest lambdas; each level takes resolution passes
+    "spark.sql.analyzer.maxIterations": "1000",
 }
 
 # Settings that only affect speed; a cluster's own values stand.
