@@ -17,7 +17,7 @@ MODULES = (
     "counting",
     "rendering",
     "validating",
-    # "generating",
+    "generating",
     # "streaming",
 )
 
