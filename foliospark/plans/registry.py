@@ -18,7 +18,7 @@ MODULES = (
     "rendering",
     "validating",
     "generating",
-    # "streaming",
+    "streaming",
 )
 
 

@@ -237,7 +237,7 @@ def val_log(spark, sf_dir):
 SPEC = C.Spec(
     params=("self", "event_type", "value", "props", "label", "user_id"),
     required=("self", "value", "label"),
-    types={"event_type": "Sequence[str]", "props": "dict[str, int] | None", "value": "str", "user_id": "str", "label": "str | None"},
+    types={"event_type": "Sequence[int]", "props": "dict[str, int] | None", "value": "str", "user_id": "str", "label": "str | None"},
 )
 
 
@@ -298,7 +298,7 @@ conform_query(
                 C.keep_known(ENTRIES(d), C.Spec(("flags", "order", "charges"))),
                 C.Spec((), types={"flags": "Sequence[str]", "order": "str", "charges": "str"}),
             ),
-            C.coerce(F.create_map(F.lit("line"), F.lit("x").cast("variant")), C.Spec((), types={"line": "List[str] | None"})),
+            C.coerce(F.create_map(F.lit("line"), F.lit("x").cast("variant")), C.Spec((), types={"line": "List[int] | None"})),
         ),
         F.array(*[F.lit(x) for x in ("line", "flags", "order", "charges")]),
     ),
