@@ -307,11 +307,10 @@ class _Selector:
         if self.text_columns:
             sources = [F.col(c) for c in self.text_columns]
         elif leaf.document:
-            # string leaves of the document: quoted text that is not a key; every
-            # JSON escape stands for a character that ends a word
-            strings = F.regexp_extract_all(
-                leaf.canonical(), F.lit(r'("(?:[^"\\]|\\.)*")(?!\s*:)'), F.lit(1)
-            )
+            # string leaves of the document: keys are matched first and give nothing;
+            # every JSON escape stands for a character that ends a word
+            token = r'"(?:[^"\\]|\\.)*+"\s*:|"((?:[^"\\]|\\.)*+)"'
+            strings = F.regexp_extract_all(leaf.canonical(), F.lit(token), F.lit(1))
             plain = F.regexp_replace(F.array_join(strings, "\n"), r"\\(u[0-9a-fA-F]{4}|.)", " ")
             sources = [plain]
         else:
