@@ -274,7 +274,8 @@ class _Selector:
             return F.lit(False)
         arr, make = found
         if isinstance(leaf, VariantLeaf):
-            return holds(self.of_kind(leaf, "array") & test(arr, make))
+            # reading a path as an array gives NULL for every other kind
+            return holds(arr.isNotNull() & test(arr, make))
         return holds(test(arr, make))
 
     def modulo(self, leaf: Leaf, arg) -> Column:

@@ -47,19 +47,22 @@ def line_doc(spark, sf_dir) -> DataFrame:
         F.when(F.col(f"l_{kind}") > 0, F.struct(F.lit(kind).alias("kind"), F.col(f"l_{kind}").alias("rate")))
         for kind in ("discount", "tax")
     ]
-    body = F.to_json(
+    body = F.struct(
+        F.col("l_orderkey").alias("order"),
+        F.col("l_linenumber").alias("line"),
+        F.array("l_returnflag", "l_linestatus").alias("flags"),
+        F.array_compact(F.array(*charge)).alias("charges"),
         F.struct(
-            F.col("l_orderkey").alias("order"),
-            F.col("l_linenumber").alias("line"),
-            F.array("l_returnflag", "l_linestatus").alias("flags"),
-            F.array_compact(F.array(*charge)).alias("charges"),
-            F.struct(
-                F.col("l_quantity").cast("int").alias("qty"), F.col("l_extendedprice").alias("price")
-            ).alias("sale"),
-        )
+            F.col("l_quantity").cast("int").alias("qty"), F.col("l_extendedprice").alias("price")
+        ).alias("sale"),
+    )
+    # the VARIANT comes from the struct itself: no JSON text is written and read back
+    return line.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("_id"),
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+        F.to_json(body).alias("doc"),
+        F.to_variant_object(body).alias("v"),
     )
-    keep = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    return envelope(line, F.concat_ws("-", "l_orderkey", "l_linenumber"), body, keep)
 
 
 def with_note(doc, condition):
