@@ -151,7 +151,7 @@ error_query(
 error_query(
     "val_ref", line_doc,
     {"definitions": {"a/b": [{"type": "object", "properties": {"rate": {"$ref": "#/definitions/rate"}}}], "rate": {"maximum": 0.05}},
-     "properties": {"charges": {"items": {"$ref": "#/definitions/a~1b/0"}}, "line": False if False else {"not": False}, "self": {"$ref": "#"}}},
+     "properties": {"charges": {"items": {"$ref": "#/definitions/a~1b/0"}}, "line": {"not": False}, "self": {"$ref": "#"}}},
     LINE_SQL + """select _id, l_partkey, l_suppkey, case when l_discount > 0.05 then 'charges[0].rate: value ' || l_discount || ' > maximum 0.05'
         when l_tax > 0.05 then 'charges[' || (case when l_discount > 0 then 1 else 0 end) || '].rate: value ' || l_tax || ' > maximum 0.05' else '-' end as error from line""",
     keep=("_id", "l_partkey", "l_suppkey"),

@@ -7,7 +7,7 @@ itself instead of adding rows twice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,6 +99,6 @@ def upserted(base: DataFrame, log: DataFrame, seq: str = "seq") -> DataFrame:
 
 
 __all__ = [
-    "Column", "intake", "iteration_state", "latest_state", "read_json_stream",
+    "intake", "iteration_state", "latest_state", "read_json_stream",
     "read_parquet_stream", "upsert", "upserted", "write_batches",
 ]
