@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..session import configure
+from .decontaminate import contamination
 from .neardup import near_duplicates
 from .tokens import read_tokens, write_tokens
 
@@ -43,3 +44,8 @@ def op1(spark, sf_dir):
 @query("op3_token_files")
 def op3(spark, sf_dir):
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), vocabulary()))
+
+
+@query("op4_decontaminate")
+def op4(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
