@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from ..session import configure
 from .decontaminate import contamination
+from .mixing import mixture
 from .neardup import near_duplicates
+from .pii import personal_data
+from .rules import quality_report
 from .tokens import read_tokens, write_tokens
 
 QUERIES: dict = {}
@@ -49,3 +52,18 @@ def op3(spark, sf_dir):
 @query("op4_decontaminate")
 def op4(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_mix_sources")
+def op8(spark, sf_dir):
+    return mixture(table(spark, sf_dir, "documents"))
+
+
+@query("op9_personal_data")
+def op9(spark, sf_dir):
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op10_quality_rules")
+def op10(spark, sf_dir):
+    return quality_report(table(spark, sf_dir, "documents"))
