@@ -1,21 +1,24 @@
 """Near-duplicate detection: MinHash bands, sequential Bayesian verification, exact check.
 
-Steps, all Spark jobs:
-
 1. Every text becomes a set of 5-word runs (A-Z folded), a MinHash signature and one key per
    band.  Equal word sequences are one node (smallest doc_id), so a group of exact copies of
    any size costs one node.
-2. Nodes sharing a band key are candidates.  Inside a bucket nodes are compared with a few
-   pivots, never all with all.  The first pivot is the text with most copies.  Whatever a
-   round links is merged, and only buckets that still hold several components go on, with
-   more pivots each; the last round compares what is left between components, so every
-   pair the bands proposed is either inside one component or has been compared.
-3. A pair's signatures are read in batches.  After each batch the pair is dropped when the
-   posterior probability (uniform prior, binomial likelihood) that its similarity reaches the
-   threshold is below ``miss``.  Batches never accept a pair.
-4. Survivors are confirmed on the full sets with integer arithmetic.
-
-With 28 bands of 5 rows a pair of similarity 0.85 shares no band with probability 7e-8.
+2. Nodes that share a band key are in one bucket.  Each is compared with the bucket's pivot
+   (most copies, then smallest id), never all with all.  A pair's signatures are read in
+   batches, and it is dropped when the posterior probability (uniform prior, binomial
+   likelihood) that its similarity reaches the threshold is below ``miss``.  Batches never
+   accept a pair: survivors are confirmed on the full sets with integer arithmetic.
+3. Two linked nodes X, Y of a bucket that are not both linked with its pivot P leave a trace.
+   X and Y share at least t|X| runs, so if P holds fewer than t|X| of X's runs, they share a
+   run outside P, and already one among the first |X - P| - (t|X| - |X & P|) + 1 such runs of
+   X in hash order.  If P holds t|X| of X and t|Y| of Y, their sizes still differ by a factor
+   of at most 1/t.  So nodes are dealt anew, to buckets named by P and such a run, or by P and
+   a size class, and step 2 is repeated for pairs of nodes and pivots not compared before, in
+   buckets that still hold several components, with some more pivots each.  All nodes of a bucket rank below the pivot it
+   is named by, so a linked pair meets lower and lower pivots until one of the two is the
+   pivot: every link between nodes that once shared a band key is found.
+
+With 28 bands of 5 rows a pair of similarity 0.85 shares no band key with probability 7e-8.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ BANDS = 28
 ROWS = 5
 BATCH = 20
 MISS = 1e-6
+#: pivots of a bucket that was dealt anew
+PIVOTS = 8
 
 _rng = np.random.default_rng(5)
 _FLIP = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -120,19 +125,19 @@ def least_matches(percent: int, batch: int, total: int, miss: float) -> tuple[in
     return tuple(out)
 
 
-def _prune(batches, percent, miss):
-    least = least_matches(percent, BATCH, BANDS * ROWS, miss)
-    for batch in batches:
-        a, b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("sig_a", "sig_b"))
-        alive = np.arange(len(a))
-        left = np.frombuffer(b"".join(a), np.uint16).reshape(len(a), -1)
-        right = np.frombuffer(b"".join(b), np.uint16).reshape(len(b), -1)
-        equal = np.zeros(len(a), np.int64)
-        for k, need in enumerate(least):
-            at = slice(k * BATCH, (k + 1) * BATCH)
-            equal[alive] += (left[alive, at] == right[alive, at]).sum(axis=1)
-            alive = alive[equal[alive] >= need]
-        yield batch.select(["a", "b"]).take(pa.array(alive))
+def possible_pairs(left: list[bytes], right: list[bytes], least: tuple[int, ...]) -> np.ndarray:
+    """Which pairs of signatures survive every batch."""
+    alive = np.arange(len(left))
+    left = np.frombuffer(b"".join(left), np.uint16).reshape(len(left), -1)
+    right = np.frombuffer(b"".join(right), np.uint16).reshape(len(right), -1)
+    equal = np.zeros(len(left), np.int64)
+    for k, need in enumerate(least):
+        at = slice(k * BATCH, (k + 1) * BATCH)
+        equal[alive] += (left[alive, at] == right[alive, at]).sum(axis=1)
+        alive = alive[equal[alive] >= need]
+    out = np.zeros(len(left), bool)
+    out[alive] = True
+    return out
 
 
 def _zipped(batches):
@@ -142,9 +147,16 @@ def _zipped(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["node", "z"])
 
 
-def _confirm(batches, percent, width):
+COMPARED = "node long, pivot long, linked boolean, runs array<long>, classes array<long>"
+
+
+def _compare(batches, percent, width, miss):
+    """Exact comparison of nodes with pivots, and the keys under which a node is dealt anew."""
     unpack = zstandard.ZstdDecompressor()
     recent: dict[bytes, np.ndarray] = {}
+    least = least_matches(percent, BATCH, BANDS * ROWS, miss)
+    # a little wider than the factor 100/percent, for rounding
+    step = np.log(100 / percent) * 1.001
 
     def runs(z):
         if z not in recent:
@@ -156,15 +168,22 @@ def _confirm(batches, percent, width):
         return recent[z]
 
     for batch in batches:
-        names = batch.schema.names
-        za, zb = (batch.column(names.index(c)) for c in ("z_a", "z_b"))
-        good = []
+        col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+        possible = possible_pairs(col["sig_a"].to_pylist(), col["sig_b"].to_pylist(), least)
+        linked, keys, classes = [], [], []
         for i in range(batch.num_rows):
-            x, y = runs(za[i].as_py()), runs(zb[i].as_py())
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                good.append(i)
-        yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+            x, y = runs(col["z_a"][i].as_py()), runs(col["z_b"][i].as_py())
+            only = np.setdiff1d(x, y, assume_unique=True)
+            both = len(x) - len(only)
+            inside = 100 * both >= percent * len(x)
+            linked.append(bool(possible[i]) and 100 * both >= percent * (len(x) + len(y) - both))
+            short = max(1, -(-percent * len(x) // 100) - both)
+            keys.append(only[: max(len(only) - short + 1, 0)].view(np.int64))
+            k = int(np.log(len(x)) / step)
+            classes.append([k, k + 1] if inside else [])
+        longs = pa.list_(pa.int64())
+        columns = [col["node"], col["pivot"], pa.array(linked), pa.array(keys, longs), pa.array(classes, longs)]
+        yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in COMPARED.split(", ")])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,13 +207,38 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _check(pairs, nodes, texts, percent, width, miss):
-    """Pairs (a, b) of nodes whose full sets reach the similarity."""
+def _compared(rows, nodes, texts, percent, width, miss):
+    """``rows`` (node, pivot) with what :func:`_compare` finds; written."""
     sig = nodes.select("node", "sig")
-    both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
-    alive = both.mapInArrow(lambda it: _prune(it, percent, miss), "a long, b long")
-    full = alive.join(texts.toDF("a", "z_a"), "a").join(texts.toDF("b", "z_b"), "b")
-    return stored(full.mapInArrow(lambda it: _confirm(it, percent, width), "a long, b long"), "links")
+    both = rows.join(sig.toDF("node", "sig_a"), "node").join(sig.toDF("pivot", "sig_b"), "pivot")
+    both = both.join(texts.toDF("node", "z_a"), "node").join(texts.toDF("pivot", "z_b"), "pivot")
+    return stored(both.mapInArrow(lambda it: _compare(it, percent, width, miss), COMPARED), "compared")
+
+
+def _dealt_anew(compared, nodes, labels):
+    """(node, pivot) for the next round, from buckets that hold several components.
+
+    A bucket of a size class matters only with a node not linked with the pivot.
+    """
+    known = compared.join(nodes.select("node", "n"), "node").join(labels, "node", "left")
+    known = known.withColumn("label", F.coalesce("label", "node"))
+    part = lambda name, by_size: F.transform(name, lambda k: F.struct(k.alias("key"), F.lit(by_size).alias("by_size")))
+    rows = known.withColumn("part", F.explode(F.concat(part("runs", False), part("classes", True))))
+    rows = rows.select(
+        F.xxhash64("pivot", "part.key", "part.by_size").alias("bucket"),
+        "node",
+        "label",
+        "n",
+        (~F.col("part.by_size") | ~F.col("linked")).alias("open"),
+    )
+    several = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("open").alias("open"))
+    several = several.filter("lo < hi and open").select("bucket")
+    rank = F.struct("n", (-F.col("node")).alias("m"))
+    rows = stored(rows.join(several, "bucket").select("bucket", "node", rank.alias("rank")), "open")
+    slot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("slot")
+    best = rows.groupBy("bucket", slot).agg(F.max("rank").alias("top")).select("bucket", "top")
+    pairs = rows.join(best, "bucket").filter("rank < top")
+    return pairs.select("node", (-F.col("top.m")).alias("pivot")).distinct()
 
 
 def near_duplicates(
@@ -229,34 +273,20 @@ def near_duplicates(
     several = several.filter("lo < hi").select("bucket", (-F.col("best.m")).alias("pivot"))
     members = stored(rows_of.join(several, "bucket").select("bucket", "node", "pivot"), "members")
     wanted = members.select("node").distinct()
-    nodes = stored(nodes.join(wanted, "node", "left_semi").select("node", "sig"), "nodes")
+    nodes = stored(nodes.join(wanted, "node", "left_semi").select("node", "n", "sig").dropDuplicates(["node", "sig"]), "nodes")
     zipped = picked.filter("doc_id is not null").mapInArrow(_zipped, "node long, z binary")
     texts = stored(zipped.join(wanted, "node", "left_semi").dropDuplicates(["node", "z"]), "texts")
 
-    links, spread, last, open_rows = None, 1, False, members
+    new = stored(members.filter("node <> pivot").select("node", "pivot").distinct(), "pairs")
+    compared = None
     while True:
-        if spread == 1:
-            pairs = open_rows.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        else:
-            # per bucket up to ``spread`` pivots (all members in the last round), picked by hash
-            slot = F.col("node") if last else F.pmod(F.xxhash64("node"), F.lit(spread))
-            picks = open_rows.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node", F.lit(spread)).alias("h"), "node", "label")).alias("p"))
-            picks = picks.select("bucket", F.col("p.node").alias("pivot"), F.col("p.label").alias("plabel"))
-            pairs = open_rows.join(picks, "bucket").filter("label <> plabel")
-            pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        found = _check(stored(pairs.distinct(), "pairs"), nodes, texts, percent, width, miss)
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        if spread > 1 and last:
-            break
-        held = members.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        split = held.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
-        open_rows = stored(held.join(split.select("bucket", "size"), "bucket"), "open")
-        most = open_rows.agg(F.max("size")).first()[0]
-        if not most:
+        found = _compared(new, nodes, texts, percent, width, miss)
+        compared = found if compared is None else compared.union(found)
+        labels = components(compared.filter("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        new = _dealt_anew(compared, nodes, labels).join(compared.select("node", "pivot"), ["node", "pivot"], "left_anti")
+        new = stored(new, "pairs")
+        if new.isEmpty():
             break
-        spread *= 8
-        last = most <= 4 * spread
 
     groups = groups.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("component"))
     out = rows.join(groups, ["k1", "k2"], "left")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from ..session import configure
 from .decontaminate import contamination
+from .language import identified
 from .mixing import mixture
 from .neardup import near_duplicates
 from .pii import personal_data
+from .quality import grade, ratings, train_grader
 from .rules import quality_report
 from .tokens import read_tokens, write_tokens
 
@@ -67,3 +69,18 @@ def op9(spark, sf_dir):
 @query("op10_quality_rules")
 def op10(spark, sf_dir):
     return quality_report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_language_id")
+def op2(spark, sf_dir):
+    return identified(table(spark, sf_dir, "documents"))
+
+
+def quality_grader(spark, sf_dir):
+    """The grader fitted to the labelled documents of a data folder."""
+    return train_grader(ratings(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), grades=3)
+
+
+@query("op7_quality_grade")
+def op7(spark, sf_dir):
+    return grade(table(spark, sf_dir, "documents"), quality_grader(spark, sf_dir), accepted=2)

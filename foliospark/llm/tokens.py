@@ -234,5 +234,6 @@ def _read(batches):
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """Per document what the files hold: doc_id, start, n_tokens, ids_crc32."""
-    spread = manifest.repartition(F.col("part")).select("sequences", "documents", "first")
+    shards = max(1, manifest.count())
+    spread = manifest.select("sequences", "documents", "first").repartition(min(shards, 10_000))
     return spread.mapInArrow(_read, READ)
