@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..session import configure
 from .decontaminate import contamination
+from .html import main_text
 from .language import identified
 from .mixing import mixture
 from .neardup import near_duplicates
@@ -11,6 +12,7 @@ from .pii import personal_data
 from .quality import grade, ratings, train_grader
 from .rules import quality_report
 from .tokens import read_tokens, write_tokens
+from .warc import archived_pages
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -76,6 +78,10 @@ def op2(spark, sf_dir):
     return identified(table(spark, sf_dir, "documents"))
 
 
+#: least grade that is kept: 0 is of low quality, 1 sound but toxic, 2 sound
+SOUND = 2
+
+
 def quality_grader(spark, sf_dir):
     """The grader fitted to the labelled documents of a data folder."""
     return train_grader(ratings(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), grades=3)
@@ -83,4 +89,14 @@ def quality_grader(spark, sf_dir):
 
 @query("op7_quality_grade")
 def op7(spark, sf_dir):
-    return grade(table(spark, sf_dir, "documents"), quality_grader(spark, sf_dir), accepted=2)
+    return grade(table(spark, sf_dir, "documents"), quality_grader(spark, sf_dir), SOUND)
+
+
+@query("op5_main_text")
+def op5(spark, sf_dir):
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op6_warc")
+def op6(spark, sf_dir):
+    return archived_pages(table(spark, sf_dir, "pages")).drop("intact")
