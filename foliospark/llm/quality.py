@@ -1,10 +1,14 @@
 """Quality grades by ordinal cumulative-link regression on hashed text.
 
-P(grade > k) = sigmoid(w . x - b_k), with one weight vector ``w`` over hashed word features
-shared by all grades and ordered thresholds b_0 < b_1 < ...  Training is stochastic gradient
-descent in numpy over a bounded sample of rated documents, of which the driver sees hashed
-counts, never texts.  Every document is scored in its own task from its whole text: expected
-grade, and tail probability P(grade >= accepted) for selection.
+P(grade > k) = sigmoid(w . x - b_k), with one weight vector ``w`` over hashed features shared
+by all grades and ordered thresholds b_0 < b_1 < ...  Features are the words of a text
+(letters and digits, A-Z folded; present or not) and its shape (shares of word endings, of
+case and length classes, of words repeated at once), each under a 64-bit hash, so texts of
+any length do not collide.  Training is stochastic gradient descent in numpy over a bounded
+sample of rated documents, of which the driver sees hashes and counts, never texts; only
+features whose frequency differs clearly between grades get a weight.  Every document is
+scored in its own task from its whole text: expected grade, and tail probability
+P(grade >= accepted) for selection.
 """
 
 from __future__ import annotations
@@ -16,62 +20,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import SPACED, mix, text_blocks, word_hashes
+from .words import ALNUM, SPACED, mix, text_blocks, word_hashes
 
-BUCKETS = 1 << 17
-#: rated documents used for fitting, at most
+#: rated documents used for fitting, about, at most
 TRAIN_ROWS = 12_000
-#: distinct features of one rated document kept for fitting, the rarest hash values first
-TRAIN_FEATURES = 2048
-EPOCHS = 12
-RATE = 0.5
-SHRINK = 1e-6
+#: distinct features of one rated document used for fitting, those that hash lowest
+TRAIN_FEATURES = 4096
+#: chi-square value, with one degree of freedom, from which a feature is used
+CLEAR = 18.0
+EPOCHS = 10
+RATE = 0.3
+SHRINK = 1e-4
 #: an accepted document reaches this tail probability
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 
 
-def features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS):
-    """Hashed features of a block of texts, and the row each belongs to.
+def features(data: np.ndarray, offsets: np.ndarray):
+    """(hash, row) of the words and of the shapes of a block of texts, and each row's words.
 
-    Words, pairs of words, the first and last two bytes of words with their length class, and
-    the case pattern of words, so that markup and shouting show as well as vocabulary.
+    Shapes are odd, words even.
     """
-    words, first, starts, ends = word_hashes(data, offsets, SPACED)
-    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    if not len(words):
-        return words.astype(np.int64), rows
-    two = (words[:-1] * np.uint64(31) + words[1:])[rows[:-1] == rows[1:]]
-    same = (words[:-1] == words[1:])[rows[:-1] == rows[1:]]
-    two_rows = rows[:-1][rows[:-1] == rows[1:]]
-    upper = np.cumsum(np.r_[0, (data >= 0x41) & (data <= 0x5A)])
-    kind = np.minimum(upper[ends] - upper[starts], 3) * 8 + np.minimum(ends - starts, 7)
-    tail = data[ends - 1].astype(np.uint64) << np.uint64(8) | data[np.maximum(ends - 2, starts)].astype(np.uint64)
-    parts = [
-        (words, rows),
-        (two, two_rows),
-        (tail + np.uint64(1 << 20), rows),
-        (kind.astype(np.uint64) + np.uint64(1 << 21), rows),
-        (np.full(int(same.sum()), 1 << 22, np.uint64), two_rows[same]),
-    ]
-    values = np.concatenate([p for p, _ in parts])
-    return (mix(values) & np.uint64(buckets - 1)).astype(np.int64), np.concatenate([r for _, r in parts])
+    n = len(offsets) - 1
+    words, first, _, _ = word_hashes(data, offsets, ALNUM)
+    word_rows = np.repeat(np.arange(n), np.diff(first))
+    spaced, first, starts, ends = word_hashes(data, offsets, SPACED)
+    rows = np.repeat(np.arange(n), np.diff(first))
+    if len(spaced):
+        upper = np.cumsum(np.r_[0, (data >= 0x41) & (data <= 0x5A)])
+        kind = (np.minimum(upper[ends] - upper[starts], 3) * 8 + np.minimum(ends - starts, 7)).astype(np.uint64)
+        tail = data[ends - 1].astype(np.uint64) << np.uint64(8) | data[np.maximum(ends - 2, starts)].astype(np.uint64)
+        again = np.r_[False, (spaced[1:] == spaced[:-1]) & (rows[1:] == rows[:-1])]
+        shapes = np.concatenate([tail + np.uint64(1 << 20), kind + np.uint64(1 << 21), np.full(int(again.sum()), 1 << 22, np.uint64)])
+        shape_rows = np.concatenate([rows, rows, rows[again]])
+    else:
+        shapes, shape_rows = spaced, rows
+    keys = np.concatenate([mix(words) & ~np.uint64(1), mix(shapes) | np.uint64(1)])
+    return keys, np.concatenate([word_rows, shape_rows]), np.diff(first)
+
+
+def values(keys: np.ndarray, counts: np.ndarray, n_words) -> np.ndarray:
+    """1 for a word, the root of its share for a shape."""
+    return np.where(keys & np.uint64(1), np.sqrt(counts / np.maximum(n_words, 1)), 1.0)
 
 
 def _counted(batches, limit):
     for batch in batches:
         ids, grades = batch.column(0), batch.column(1)
         for row, data, offsets in text_blocks(batch.column(2)):
-            which, rows = features(data, offsets)
-            edges = np.searchsorted(np.sort(rows), np.arange(len(offsets)))
-            which = which[np.argsort(rows, kind="stable")]
+            keys, rows, n_words = features(data, offsets)
+            order = np.argsort(rows, kind="stable")
+            keys, edges = keys[order], np.searchsorted(rows[order], np.arange(len(offsets)))
             out = []
             for i in range(len(offsets) - 1):
-                own, n = np.unique(which[edges[i] : edges[i + 1]], return_counts=True)
-                total = max(int(n.sum()), 1)
-                if len(own) > limit:
-                    keep = np.sort(np.argsort(-n, kind="stable")[:limit])
-                    own, n = own[keep], n[keep]
-                out.append((own.astype("<u4").tobytes(), (n / total).astype("<f4").tobytes()))
+                own, n = np.unique(keys[edges[i] : edges[i + 1]], return_counts=True)
+                own, x = own[:limit], values(own, n, n_words[i])[:limit]
+                out.append((own.astype("<u8").tobytes(), x.astype("<f4").tobytes()))
             which, share = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(row, len(out)), grades.slice(row, len(out)), pa.array(which, pa.binary()), pa.array(share, pa.binary())],
@@ -81,6 +84,7 @@ def _counted(batches, limit):
 
 @dataclass
 class Grader:
+    keys: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
 
@@ -88,28 +92,63 @@ class Grader:
         """P(grade > k) for every k, one row a score."""
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds, -60, 60)))
 
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """w . x of every text of a block."""
+        n = len(offsets) - 1
+        keys, rows, n_words = features(data, offsets)
+        if not len(self.keys) or not len(keys):
+            return np.zeros(n)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        used = self.keys[at] == keys
+        pair, counts = np.unique(rows[used] * len(self.keys) + at[used], return_counts=True)
+        own, at = np.divmod(pair, len(self.keys))
+        x = values(self.keys[at], counts, n_words[own])
+        return np.bincount(own, weights=x * self.weights[at], minlength=n)
+
+
+def clear_features(rows, grades: int) -> np.ndarray:
+    """Features whose presence, or mean value for shapes, tells some grade from the ones below."""
+    keys, inverse = np.unique(np.concatenate([w for _, w, _ in rows]), return_inverse=True)
+    grade = np.repeat([g for g, _, _ in rows], [len(w) for _, w, _ in rows])
+    x = np.concatenate([s for _, _, s in rows]).astype(float)
+    best = np.zeros(len(keys))
+    all_grades = np.array([g for g, _, _ in rows])
+    for k in range(1, grades):
+        high = (all_grades >= k).sum()
+        low = len(rows) - high
+        if not high or not low:
+            continue
+        sums = [np.bincount(inverse[side], weights=x[side], minlength=len(keys)) for side in (grade < k, grade >= k)]
+        squares = np.bincount(inverse, weights=x * x, minlength=len(keys))
+        mean = (sums[0] + sums[1]) / len(rows)
+        spread = np.maximum(squares / len(rows) - mean**2, 1e-12) * (1 / low + 1 / high)
+        best = np.maximum(best, (sums[0] / low - sums[1] / high) ** 2 / spread)
+    often = np.bincount(inverse, minlength=len(keys)) >= 5
+    return keys[often & (best >= CLEAR)]
+
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, epochs: int = EPOCHS, rate: float = RATE) -> Grader:
-    """Train on (grade, features, shares); rarer grades weigh more, the order is fixed by a seed."""
+    """Train on (grade, features, values); the order is fixed by a seed."""
     rng = np.random.default_rng(3)
-    w, b = np.zeros(BUCKETS, np.float64), np.linspace(-1, 1, grades - 1)
-    counts = np.bincount([g for g, _, _ in rows], minlength=grades)
-    balance = len(rows) / (max(1, (counts > 0).sum()) * np.maximum(counts, 1))
-    square = np.full(BUCKETS, 1e-8)
+    keys = clear_features(rows, grades)
+    b = np.linspace(-1, 1, grades - 1)
+    w, square = np.zeros(len(keys)), np.full(len(keys), 1e-8)
+    inputs = []
+    for grade, which, x in rows:
+        at = np.minimum(np.searchsorted(keys, which), max(len(keys) - 1, 0))
+        used = keys[at] == which if len(keys) else np.zeros(len(which), bool)
+        inputs.append((grade, at[used], x[used].astype(float)))
     for epoch in range(epochs):
         step = rate / (1 + epoch)
-        for i in rng.permutation(len(rows)):
-            grade, which, share = rows[i]
-            # square roots of shares keep frequent features from hiding rare ones
-            x = np.sqrt(share)
-            x = x / max(float(np.sqrt((x * x).sum())), 1e-9)
-            p = 1 / (1 + np.exp(-np.clip(w[which] @ x - b, -30, 30)))
-            error = ((np.arange(grades - 1) < grade) - p) * min(balance[grade], 5.0)
-            slope = error.sum() * x - SHRINK * w[which]
-            square[which] += slope * slope
-            w[which] += step * slope / np.sqrt(square[which])
-            b = np.maximum.accumulate(b - 0.05 * step * error)
-    return Grader(w, b)
+        for i in rng.permutation(len(inputs)):
+            grade, at, x = inputs[i]
+            p = 1 / (1 + np.exp(-np.clip(w[at] @ x - b, -30, 30)))
+            error = (np.arange(grades - 1) < grade) - p
+            slope = error.sum() * x - SHRINK * w[at]
+            square[at] += slope * slope
+            w[at] += step * slope / np.sqrt(square[at])
+            b = np.maximum.accumulate(b - 0.1 * step * error)
+    return Grader(keys, w, b)
 
 
 def train_grader(rated: DataFrame, grades: int, id_col="doc_id", grade_col="grade", text_col="text", rows: int = TRAIN_ROWS) -> Grader:
@@ -127,8 +166,8 @@ def train_grader(rated: DataFrame, grades: int, id_col="doc_id", grade_col="grad
     counted = used.mapInArrow(lambda it: _counted(it, TRAIN_FEATURES), "doc_id long, grade int, which binary, share binary")
     sample = sorted(counted.limit(2 * rows).toLocalIterator(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["which"]))
     if not sample:
-        return Grader(np.zeros(BUCKETS), np.full(grades - 1, -60.0))
-    return fit([(r["grade"], np.frombuffer(r["which"], "<u4"), np.frombuffer(r["share"], "<f4")) for r in sample], grades)
+        return Grader(np.zeros(0, np.uint64), np.zeros(0), np.full(grades - 1, -60.0))
+    return fit([(r["grade"], np.frombuffer(r["which"], "<u8"), np.frombuffer(r["share"], "<f4")) for r in sample], grades)
 
 
 def _graded(batches, shared, accepted):
@@ -136,15 +175,8 @@ def _graded(batches, shared, accepted):
     for batch in batches:
         ids = batch.column(0)
         for row, data, offsets in text_blocks(batch.column(1)):
-            which, rows = features(data, offsets)
             n = len(offsets) - 1
-            # one number for each row and feature: its count, then the same root and length as in training
-            keys, counts = np.unique(rows * BUCKETS + which, return_counts=True)
-            own = keys // BUCKETS
-            root = np.sqrt(counts.astype(np.float64))
-            length = np.sqrt(np.bincount(own, weights=counts, minlength=n))
-            score = np.bincount(own, weights=root * grader.weights[keys % BUCKETS], minlength=n) / np.maximum(length, 1e-9)
-            tails = grader.tails(score)
+            tails = grader.tails(grader.scores(data, offsets))
             columns = [ids.slice(row, n), pa.array(tails.sum(axis=1)), pa.array(tails[:, accepted - 1])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "expected_grade", "tail"])
 
@@ -152,7 +184,7 @@ def _graded(batches, shared, accepted):
 def grade(docs: DataFrame, grader: Grader, accepted: int, id_col="doc_id", text_col="text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, expected_grade, tail, kept) for every row: tail is P(grade >= accepted).
 
-    A null text is an empty one, which has no features: its grade follows from the
+    A null text is an empty one, which has no feature: its grade follows from the
     thresholds alone.  Repeated rows are each graded; other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(grader)
