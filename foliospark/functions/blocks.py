@@ -72,24 +72,30 @@ def _to_json(value) -> str:
     return json.dumps(value, ensure_ascii=False, default=str)
 
 
-def load_mappings(text: str | None, stream: bool) -> list[str]:
-    """JSON texts of the YAML mappings in a text; anything else is left out."""
+def _yaml_documents(text: str):
+    """All documents of a YAML text; None where it is not YAML."""
     import yaml
 
     # the C reader where the library was built with it: same rules, much faster
     loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
-    if not text or not text.strip():
-        return []
     try:
-        if stream:
-            return [_to_json(d) for d in yaml.load_all(text, loader) if isinstance(d, dict)]
-        found = yaml.load(text, loader)
+        return list(yaml.load_all(text, loader))
     except yaml.YAMLError:
-        try:
-            found = yaml.load(LOOSE_KEY.sub(REPAIRED_KEY, text.strip()), loader)
-        except yaml.YAMLError:
-            return []
-    return [_to_json(found)] if isinstance(found, dict) else []
+        return None
+
+
+def load_mappings(text: str | None, stream: bool) -> list[str]:
+    """JSON texts of the YAML mappings in a text; anything else is left out.
+
+    A block is one document.  Where it cannot be read so, its loose keys are quoted first.
+    """
+    readings = [text or ""]
+    if not stream:
+        readings.append(LOOSE_KEY.sub(REPAIRED_KEY, readings[0].strip()))
+    for documents in map(_yaml_documents, readings):
+        if documents is not None and (stream or len(documents) < 2):
+            return [_to_json(d) for d in documents if isinstance(d, dict)]
+    return []
 
 
 def _loader(stream: bool):

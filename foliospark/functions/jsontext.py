@@ -1,8 +1,8 @@
 """Walking JSON values with native expressions.
 
-Spark has no recursive expressions, so a walk is unrolled to a fixed depth.
-Arrays and objects are first brought to one shape - a list of members - so each
-level contains the next one once and the expression grows linearly.
+Spark has no recursive expressions.  Where a value is rewritten from its leaves up, its JSON
+text is cut into tokens and folded with a stack, so nesting has no bound.  Putting keys in
+another value's order is unrolled to a depth instead.
 """
 
 from __future__ import annotations
@@ -55,48 +55,75 @@ def members_of(variant: Column) -> Column:
     )
 
 
-def too_deep(what: str) -> Column:
-    return F.raise_error(F.lit(f"{what}: value is nested too deeply, pass a larger depth"))
-
-
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def prune_json(variant: Column, depth: int = DEFAULT_DEPTH) -> Column:
-    """JSON text with strings trimmed and empty members dropped; NULL when empty."""
+# A JSON text in pieces: strings, punctuation, and the words and numbers between.
+JSON_TOKEN = r'"(?:[^"\\]++|\\.)*+"|[\[\]{}:,]|[^\[\]{}:,"\s]++'
+_MEMBERS = "array<struct<key:string,value:string>>"
+_FRAMES = f"array<struct<kind:string,key:string,members:{_MEMBERS}>>"
 
-    def level(v: Column, left: int) -> Column:
-        return let(as_json(v), lambda text: pruned(v, text, left))
 
-    def pruned(v: Column, text: Column, left: int) -> Column:
-        kind = text_kind(text)
-        content = trimmed(F.try_variant_get(v, "$", "string"))
-        scalar = (
-            F.when(kind == "string", F.when(content != "", quoted(content)))
-            .when(kind == "null", F.lit(None).cast("string"))
-            .otherwise(text)
-        )
-        if left == 0:
-            return F.when(kind.isin("array", "object"), too_deep("prune")).otherwise(scalar)
-        kept = F.filter(
-            F.transform(
-                members_of(v),
-                lambda m: F.struct(
-                    trimmed(m["key"]).alias("key"), level(m["value"], left - 1).alias("value")
-                ),
-            ),
-            lambda m: m["value"].isNotNull() & ((m["key"] != "") | m["key"].isNull()),
-        )
-        body = let(
-            kept,
-            lambda k: F.when(
-                F.size(k) > 0, F.when(kind == "array", array_text(k)).otherwise(object_text(k))
-            ),
+def decoded(token: Column) -> Column:
+    """The content of a JSON string token."""
+    return F.try_variant_get(F.try_parse_json(token), "$", "string")
+
+
+def fold_json(text: Column, scalar, container) -> Column:
+    """Rewrite a JSON text from its leaves up, at any depth.
+
+    ``scalar(token)`` gives the new text of a leaf, ``container(kind, members)`` that of an
+    array ("[", keys null) or object ("{") from its members' keys and new texts.  The stack
+    holds a frame for each open container, below them one for the whole value.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(JSON_TOKEN), F.lit(0))
+    no_text = F.lit(None).cast("string")
+    root = F.array(F.struct(F.lit("").alias("kind"), no_text.alias("key"), F.array().cast(_MEMBERS).alias("members"))).cast(_FRAMES)
+    zero = F.struct(root.alias("frames"), no_text.alias("key"))
+
+    def top(frames):
+        return F.get(frames, F.size(frames) - 1)
+
+    def state(frames, key=no_text):
+        return F.struct(frames.alias("frames"), key.alias("key"))
+
+    def added(frames, key, value):
+        frame = top(frames)
+        member = F.array(F.struct(key.alias("key"), value.alias("value")))
+        grown = F.struct(frame["kind"].alias("kind"), frame["key"].alias("key"), F.concat(frame["members"], member).alias("members"))
+        return F.concat(F.slice(frames, F.lit(1), F.size(frames) - 1), F.array(grown))
+
+    def step(at, token):
+        frames, key = at["frames"], at["key"]
+        opened = F.struct(token.alias("kind"), key.alias("key"), F.array().cast(_MEMBERS).alias("members"))
+        names = token.startswith('"') & key.isNull() & (top(frames)["kind"] == "{")
+        closed = let(top(frames), lambda f: state(added(F.slice(frames, F.lit(1), F.size(frames) - 1), f["key"], container(f["kind"], f["members"]))))
+        return (
+            F.when(token.isin("[", "{"), state(F.concat(frames, F.array(opened))))
+            .when(token.isin(",", ":"), at)
+            .when(token.isin("]", "}"), closed)
+            .when(names, state(frames, decoded(token)))
+            .otherwise(state(added(frames, key, scalar(token))))
         )
-        return F.when(kind.isin("array", "object"), body).otherwise(scalar)
 
-    return level(variant, depth)
+    return F.get(F.get(F.aggregate(tokens, zero, step)["frames"], F.lit(0))["members"], F.lit(0))["value"]
+
+
+def prune_json(variant: Column) -> Column:
+    """JSON text with strings trimmed and empty members dropped; NULL when empty."""
+
+    def scalar(token):
+        content = trimmed(decoded(token))
+        text = F.when(content != "", quoted(content))
+        return F.when(token.startswith('"'), text).when(token != "null", token)
+
+    def container(kind, members):
+        named = F.transform(members, lambda m: F.struct(trimmed(m["key"]).alias("key"), m["value"].alias("value")))
+        kept = F.filter(named, lambda m: m["value"].isNotNull() & ((m["key"] != "") | m["key"].isNull()))
+        return let(kept, lambda k: F.when(F.size(k) > 0, F.when(kind == "[", array_text(k)).otherwise(object_text(k))))
+
+    return fold_json(as_json(variant), scalar, container)
 
 
 def array_text(members: Column) -> Column:

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from .paths import as_json, text_kind, to_variant
 
-TEXT_DEPTH = 3  # levels a printed VARIANT may have; deeper values are an error, not cut off
 TUPLE_FIELDS = (["_0", "_1"], ["grouper", "list"])
 
 
@@ -115,8 +114,25 @@ def sql_json_string(s: str) -> str:
     return sql_replace(text, [("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("'", "\\u0027")])
 
 
-def walk(variant: Column, string, names: dict, depth: int) -> Column:
-    """Text of a VARIANT with ", " and ": " separators and the given scalar forms."""
+# A JSON text in pieces: strings, punctuation, and the words and numbers between.
+JSON_TOKEN = r'"(?:[^"\\]++|\\.)*+"|[\[\]{}:,]|[^\[\]{}:,"]++'
+
+
+TYPED_DEPTH = 3  # levels of a VARIANT that are printed from typed values
+
+
+def walk(variant: Column, string, names: dict, depth: int = TYPED_DEPTH) -> Column:
+    """Text of a VARIANT with ", " and ": " separators and the given scalar forms.
+
+    Down to ``depth`` the walk sees typed values.  What is nested deeper is printed piece by
+    piece from its JSON text, at any depth; there a whole number written 2.0 prints as 2.
+    """
+    known = {",": ", ", ":": ": ", "true": names["true"], "false": names["false"], "null": names["null"]}
+    cases = " ".join(f"when {sql_text(token)} then {sql_text(text)}" for token, text in known.items())
+    brackets = " ".join(f"when {sql_text(b)} then w" for b in "[]{}")
+    decoded = string("try_variant_get(p, '$', 'string')")
+    piece_scalar = sql_let("try_parse_json(w)", "p", f"if(startswith(w, '\"'), {decoded}, {sql_number('p', 'w')})")
+    piece = f"case w {cases} {brackets} else {piece_scalar} end"
 
     def level(left: int) -> str:
         v, t, m, k = f"v{left}", f"t{left}", f"m{left}", f"k{left}"
@@ -127,7 +143,7 @@ def walk(variant: Column, string, names: dict, depth: int) -> Column:
             f"when {head} = 'n' then '{names['null']}' else {sql_number(v, t)} end"
         )
         if left == 0:
-            inside = "raise_error('text: value is nested too deeply, pass a larger depth')"
+            inside = f"array_join(transform(regexp_extract_all({t}, {sql_text(JSON_TOKEN)}, 0), w -> {piece}), '')"
         else:
             path = f"""if(contains({k}, "'"), concat('$["', {k}, '"]'), concat("$['", {k}, "']"))"""
             listed = f"transform(try_variant_get({v}, '$', 'array<variant>'), x -> struct(cast(null as string) as key, x as value))"
@@ -148,12 +164,12 @@ def variant_number_text_of(variant: Column) -> Column:
     return F.call_function("transform", F.array(variant), F.expr(f"v -> {body}"))[0]
 
 
-def variant_repr(variant: Column, depth: int = TEXT_DEPTH) -> Column:
-    return walk(variant, sql_string_repr, {"true": "True", "false": "False", "null": "None"}, depth)
+def variant_repr(variant: Column) -> Column:
+    return walk(variant, sql_string_repr, {"true": "True", "false": "False", "null": "None"})
 
 
-def variant_tojson(variant: Column, depth: int = TEXT_DEPTH + 2) -> Column:
-    return walk(variant, sql_json_string, {"true": "true", "false": "false", "null": "null"}, depth)
+def variant_tojson(variant: Column) -> Column:
+    return walk(variant, sql_json_string, {"true": "true", "false": "false", "null": "null"})
 
 
 def repr_of(col: Column, dtype: T.DataType) -> Column:

@@ -7,6 +7,7 @@ independent, so Spark spreads them and no state crosses rows.
 from __future__ import annotations
 
 import json
+from itertools import count, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -67,43 +68,52 @@ def generate(
     per turn; its failure is recorded in ``error`` and does not stop the loop.
     """
     key_types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-
-    def converse(start):
-        current = [{"role": m["role"], "content": m["content"]} for m in start]
-        if not current:
-            return
-        for i in range(rounds):
-            result = fn(current)
-            if result is None:
-                return
-            choices = result.get("choices") or []
-            message = choices[0].get("message", {}) if choices else {}
-            error = None
-            if choices:
-                current.append(message)
-                if on_iteration:
-                    try:
-                        on_iteration(i, result, current)
-                    except Exception as exc:  # a failing hook must not stop the loop
-                        error = str(exc)
-            yield (i + 1, json.dumps(result, ensure_ascii=False), message.get("role"), message.get("content"), error)
-            if not choices:
-                return
-            if i < rounds - 1:
-                current.append({"role": "user", "content": continuation})
+    follow_up = {"role": "user", "content": continuation}
 
     def run(batches):
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False):
-                record = row._asdict()
-                for turn in converse(record[messages] if record[messages] is not None else []):
-                    out.append((*[record[k] for k in keys], *turn))
+            for *key, start in zip(*[batch[c] for c in (*keys, messages)], strict=True):
+                said = [] if start is None else [{"role": m["role"], "content": m["content"]} for m in start]
+                turns = _turns(fn, said, follow_up, on_iteration) if said else iter(())
+                out += [(*key, *turn) for turn in islice(turns, rounds)]
             yield pd.DataFrame(out, columns=[*keys, "round", "response", "role", "content", "error"])
 
     return df.select(*keys, messages).mapInPandas(run, f"{key_types}, {GENERATED}")
 
 
+def _turns(fn, said: list[dict], follow_up: dict, hook):
+    """Endless turns of one conversation, as GENERATED rows; the caller takes as many as it wants.
+
+    ``said`` grows with what both sides say.  A follow-up is said only when a further turn is
+    asked for, so none is left behind the last answer.
+    """
+    for number in count():
+        if number:
+            said.append(follow_up)
+        response = fn(said)
+        if response is None:
+            return
+        answered = (response.get("choices") or [None])[0]
+        message, failure = (answered or {}).get("message", {}), None
+        if answered is not None:
+            said.append(message)
+            failure = _failure_of(hook, number, response, said)
+        yield number + 1, json.dumps(response, ensure_ascii=False), message.get("role"), message.get("content"), failure
+        if answered is None:
+            return
+
+
+def _failure_of(hook, *arguments) -> str | None:
+    """What went wrong in a user's hook; it must not end the conversation."""
+    if hook is not None:
+        try:
+            hook(*arguments)
+        except Exception as problem:
+            return str(problem)
+    return None
+
+
 def response_usage(response: Column) -> Column:
     usage = F.from_json(F.get_json_object(response, "$.usage"), "prompt_tokens bigint, completion_tokens bigint, total_tokens bigint")
     return usage

@@ -15,13 +15,14 @@ from ..functions.paths import Leaf, TypedLeaf, VariantLeaf, row_leaf
 # -- projection ---------------------------------------------------------------
 def normalize_fields(fields) -> list[str] | None:
     """Field list from a list, ``{"fields": [...]}`` or ``{field: include}``."""
-    if fields is None or isinstance(fields, list):
-        return fields
-    if not isinstance(fields, dict):
-        raise ValueError("fields must be a list of names or an object")
-    if isinstance(fields.get("fields"), list):
-        return fields["fields"]
-    return [name for name, include in fields.items() if include]
+    match fields:
+        case None | [*_]:
+            return fields
+        case {"fields": [*listed]}:
+            return listed
+        case dict():
+            return [name for name in fields if fields[name]]
+    raise ValueError("fields must be a list of names or an object")
 
 
 def _field_tree(fields: list[str]) -> dict:
@@ -148,15 +149,32 @@ TEMPLATE_TYPES = {
 }
 
 
+# Column types by the type of a sample value; anything else is text.
+SAMPLE_TYPES = {bool: T.BooleanType, int: T.LongType, float: T.DoubleType}
+
+
 def template_type(sample) -> T.DataType:
     """Column type for a template value: a type name, or a sample value."""
     if isinstance(sample, str):
         return TEMPLATE_TYPES.get(sample.strip().lower(), T.StringType())
-    if isinstance(sample, bool):
-        return T.BooleanType()
-    if isinstance(sample, int):
-        return T.LongType()
-    return T.DoubleType() if isinstance(sample, float) else T.StringType()
+    return SAMPLE_TYPES.get(type(sample), T.StringType)()
+
+
+def _row_shape(described, variant: int) -> dict:
+    """Column names and sample values of the rows that a template entry describes."""
+    match described:
+        case {"oneOf": [_, *_] as choices}:
+            nearest = sorted((0, variant, len(choices) - 1))[1]
+            return _row_shape({"shape": choices[nearest]}, variant)
+        case {"shape": {"type": "array", **more}}:
+            return {"value": more.get("items", "string")}
+        case {"shape": {"type": "object", **more}}:
+            return {"key": "string", "value": more.get("additionalProperties", "string")}
+        case [dict() as row, *_]:
+            return row
+        case [value, *_]:
+            return {"value": value}
+    return {}
 
 
 def columns_from_template(
@@ -166,21 +184,14 @@ def columns_from_template(
     variant: int = 0,
 ) -> T.StructType:
     """Row type for the list found at ``template[context_key][target_key]``."""
-    if isinstance(template, str):
-        template = json.loads(template)
-    target = template.get(context_key, {}).get(target_key, [])
-    columns: dict = {}
-    if isinstance(target, dict) and "oneOf" in target:
-        choices = target["oneOf"]
-        if choices:
-            chosen = choices[min(max(variant, 0), len(choices) - 1)]
-            if chosen.get("type") == "array":
-                columns = {"value": chosen.get("items", "string")}
-            elif chosen.get("type") == "object":
-                columns = {"key": "string", "value": chosen.get("additionalProperties", "string")}
-    elif isinstance(target, list) and target:
-        columns = target[0] if isinstance(target[0], dict) else {"value": target[0]}
-    return T.StructType([T.StructField(n, template_type(v)) for n, v in columns.items()])
+    document = json.loads(template) if isinstance(template, str) else template
+    described = document.get(context_key, {}).get(target_key)
+    if isinstance(described, dict):
+        described = {k: v for k, v in described.items() if k == "oneOf"}
+    types = T.StructType()
+    for name, sample in _row_shape(described, variant).items():
+        types.add(name, template_type(sample))
+    return types
 
 
 def _blank(dtype: T.DataType, fill: str) -> Column:

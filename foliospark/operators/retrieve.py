@@ -9,19 +9,25 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.paths import KIND_RANK, TypedLeaf, VariantLeaf, row_leaf
 from ..functions.selector import where
 from .reshape import project
 
-DEFAULT_LIMIT = 100
-
-
-def _direction(value) -> int:
-    if isinstance(value, str):
-        return -1 if value.lower().startswith("desc") else 1
-    return -1 if int(value) < 0 else 1
+def _sort_pairs(sort):
+    """(field, direction as written) of both forms of a sort, and of plain names."""
+    match sort:
+        case str():
+            yield sort, "asc"
+        case dict():
+            yield from sort.items()
+        case [*parts]:
+            # in a list an object says one field; others say nothing
+            for part in parts:
+                if isinstance(part, str) or isinstance(part, dict) and len(part) == 1:
+                    yield from _sort_pairs(part)
+        case _:
+            raise ValueError("sort must be an object or a list of objects")
 
 
 def normalize_sort(sort) -> list[tuple[str, int]]:
@@ -29,20 +35,10 @@ def normalize_sort(sort) -> list[tuple[str, int]]:
 
     Plain names in a list mean ascending.  ``-1`` is descending in both forms.
     """
-    if sort is None:
-        return []
-    if isinstance(sort, dict):
-        return [(f, _direction(d)) for f, d in sort.items()]
-    if not isinstance(sort, list):
+    if isinstance(sort, str):
         raise ValueError("sort must be an object or a list of objects")
-    out: dict[str, int] = {}
-    for item in sort:
-        if isinstance(item, str):
-            out[item] = 1
-        elif isinstance(item, dict) and len(item) == 1:
-            ((field, direction),) = item.items()
-            out[field] = _direction(direction)
-    return list(out.items())
+    falls = lambda way: way.lower().startswith("desc") if isinstance(way, str) else int(way) < 0
+    return list({field: -1 if falls(way) else 1 for field, way in _sort_pairs([] if sort is None else sort)}.items())
 
 
 def sort_keys(df: DataFrame, field: str) -> list[Column]:
@@ -74,73 +70,66 @@ def ordering(df: DataFrame, sort, tiebreak: str | None = "_id") -> list[Column]:
     return columns
 
 
-def _after(column: Column, value, direction: int) -> Column:
+def _after(column: Column, value: Column, direction: int, is_null: bool) -> Column:
     """Strictly behind ``value`` in sort order; nulls come first ascending, last descending."""
-    if value is None:
+    if is_null:
         return column.isNotNull() if direction > 0 else F.lit(False)
-    if direction > 0:
-        return column > F.lit(value)
-    return (column < F.lit(value)) | column.isNull()
+    return column > value if direction > 0 else (column < value) | column.isNull()
 
 
-def bookmark_of(df: DataFrame, sort, tiebreak: str, page: DataFrame) -> str | None:
-    """Bookmark of a page's last row; None when the page is empty."""
-    keys = _plain_keys(df, sort) + [(tiebreak, 1)]
-    backwards = [F.col(c).desc() if d > 0 else F.col(c).asc() for c, d in keys]
-    last = page.orderBy(*backwards).select(*[c for c, _ in keys]).limit(1).collect()
-    if not last:
-        return None
-    values = [v.isoformat() if hasattr(v, "isoformat") else v for v in last[0]]
-    return base64.urlsafe_b64encode(json.dumps(values).encode()).decode()
+def _page_keys(df: DataFrame, sort, tiebreak: str) -> list[tuple[Column, int]]:
+    """The typed expressions a page is ordered by, the tiebreak last; document fields too."""
+    keys = [(key, direction) for field, direction in normalize_sort(sort) for key in sort_keys(df, field)]
+    return [*keys, (F.col(tiebreak), 1)]
 
 
-def _plain_keys(df: DataFrame, sort) -> list[tuple[str, int]]:
-    keys = normalize_sort(sort)
-    for field, _ in keys:
-        if field not in df.columns:
-            raise ValueError(f"paging needs the sort field as a column: {field}")
-    return keys
+def bookmark_of(df: DataFrame, sort, tiebreak: str, page: DataFrame) -> str | None:
+    """Bookmark of a page's last row; None when the page is empty.
+
+    ``page`` holds what the sort reads.  Values are kept as text and read back as the type of
+    their key, so decimals, timestamps and nulls survive.
+    """
+    keys = _page_keys(page, sort, tiebreak)
+    backwards = [c.desc() if d < 0 else c.asc() for c, d in ((c, -d) for c, d in keys)]
+    texts = [c.cast("string").alias(f"k{i}") for i, (c, _) in enumerate(keys)]
+    last = page.orderBy(*backwards).select(*texts).limit(1).collect()
+    return base64.urlsafe_b64encode(json.dumps(list(last[0])).encode()).decode() if last else None
 
 
 def behind_bookmark(df: DataFrame, sort, tiebreak: str, bookmark: str) -> DataFrame:
     """Rows after the bookmark: a plain predicate, so earlier pages are not sorted again."""
-    values = json.loads(base64.urlsafe_b64decode(bookmark))
-    keys = _plain_keys(df, sort) + [(tiebreak, 1)]
+    texts = json.loads(base64.urlsafe_b64decode(bookmark))
+    keys = _page_keys(df, sort, tiebreak)
+    types = [f.dataType for f in df.select(*[c.alias(f"k{i}") for i, (c, _) in enumerate(keys)]).schema]
     branches, equal_so_far = [], F.lit(True)
-    for (name, direction), value in zip(keys, values):
-        column = F.col(name)
-        typed = value
-        if value is not None and isinstance(df.schema[name].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            branches.append(equal_so_far & _after_typed(column, value, direction, df.schema[name].dataType))
-            equal_so_far = equal_so_far & (column == F.lit(value).cast(df.schema[name].dataType))
-            continue
-        branches.append(equal_so_far & _after(column, typed, direction))
-        equal_so_far = equal_so_far & column.eqNullSafe(F.lit(typed))
+    for (column, direction), text, dtype in zip(keys, texts, types, strict=True):
+        value = F.lit(text).cast(dtype)
+        branches.append(equal_so_far & _after(column, value, direction, text is None))
+        equal_so_far = equal_so_far & column.eqNullSafe(value)
     return df.where(reduce(operator.or_, branches))
 
 
-def _after_typed(column: Column, value, direction: int, dtype) -> Column:
-    bound = F.lit(value).cast(dtype)
-    return column > bound if direction > 0 else (column < bound) | column.isNull()
-
-
 def retrieve(
     df: DataFrame,
     selector: dict | None = None,
     fields=None,
     sort=None,
-    limit: int | None = DEFAULT_LIMIT,
+    limit: int | None = None,
     include_id: bool = False,
     dialect: str = "mango",
     tiebreak: str | None = "_id",
     bookmark: str | None = None,
 ) -> DataFrame:
-    """Documents matching a selector, sorted, limited and cut to the listed fields."""
+    """Documents matching a selector, sorted, limited and cut to the listed fields.
+
+    Nothing is limited unless asked for.  A limit or bookmark always goes with a full order,
+    the tiebreak last, so pages neither lose nor repeat rows.
+    """
     found = where(df, selector, dialect) if selector else df
     if bookmark:
         found = behind_bookmark(found, sort, tiebreak, bookmark)
     order = ordering(found, sort, tiebreak)
-    if order and sort:
+    if order and (sort or limit is not None or bookmark):
         found = found.orderBy(*order)
     if limit is not None:
         found = found.limit(limit)

@@ -124,8 +124,35 @@ def batch_numbers(df: DataFrame, keys: list[str], order: list, chunk: Column, si
 
 
 # -- schema discovery ---------------------------------------------------------
-def _json_type(variant: Column, depth: int) -> Column:
-    """JSON-Schema fragment of a value, as JSON text."""
+def _deep_type(text: Column) -> Column:
+    """The same from a JSON text, at any depth; a whole number is an integer here, however written."""
+    from ..functions.jsontext import fold_json, quoted
+
+    def scalar(token):
+        # an integer literal; decimals and exponents are plain numbers
+        whole = F.schema_of_variant(F.try_parse_json(token)) == "BIGINT"
+        name = (
+            F.when(token.startswith('"'), "string")
+            .when(token.isin("true", "false"), "boolean")
+            .when(token == "null", "null")
+            .otherwise(F.when(whole, "integer").otherwise("number"))
+        )
+        return F.concat(F.lit('{"type":"'), name, F.lit('"}'))
+
+    def container(kind, members):
+        items = F.concat(F.lit('{"type":"array","items":'), F.coalesce(F.get(members, F.lit(0))["value"], F.lit("{}")), F.lit("}"))
+        named = F.transform(members, lambda m: F.concat(quoted(m["key"]), F.lit(":"), m["value"]))
+        properties = F.concat(F.lit('{"type":"object","properties":{'), F.array_join(named, ","), F.lit("}}"))
+        return F.when(kind == "[", items).otherwise(properties)
+
+    return fold_json(text, scalar, container)
+
+
+def _json_type(variant: Column, depth: int = 3) -> Column:
+    """JSON-Schema fragment of a value, as JSON text; an array by its first element.
+
+    Down to ``depth`` from typed values, below from the JSON text.
+    """
     from ..functions.jsontext import elements_of, entries_of, quoted
     from ..functions.paths import let
 
@@ -138,7 +165,7 @@ def _json_type(variant: Column, depth: int) -> Column:
         name = F.when(F.schema_of_variant(v) == "BIGINT", "integer").otherwise(kind)
         flat = F.concat(F.lit('{"type":"'), name, F.lit('"}'))
         if left == 0:
-            return flat
+            return F.when(kind.isin("array", "object"), _deep_type(text)).otherwise(flat)
         # one place for the next level: the first element, or every entry
         members = F.coalesce(
             F.transform(
@@ -164,19 +191,13 @@ def _json_type(variant: Column, depth: int) -> Column:
     return of(variant, depth)
 
 
-def infer_schema(df: DataFrame, order: list[str], limit: int | None = 1, depth: int = 3) -> DataFrame:
+def infer_schema(df: DataFrame, order: list[str], limit: int | None) -> DataFrame:
     """``field, type``: per top-level key the type in the first document that has it.
 
-    ``limit`` documents are looked at (the default of one is a sampling operator);
-    None looks at all.  ``order`` says which document comes first.
+    Only the first ``limit`` documents are looked at; None looks at all.  ``order`` says which document comes first.
     """
     if limit is not None:
         df = df.orderBy(*order).limit(limit)
     entries = df.select(*order, F.explode(document_map(F.col("doc"))).alias("field", "value"))
     first = entries.groupBy("field").agg(F.min_by("value", F.struct(*order)).alias("value"))
-    return first.select("field", _json_type(F.col("value"), depth).alias("type"))
-
-
-def discover_schema(df: DataFrame) -> DataFrame:
-    """Merged schema of all documents, as one aggregate."""
-    return df.agg(F.schema_of_variant_agg("v").alias("schema"))
+    return first.select("field", _json_type(F.col("value")).alias("type"))

@@ -200,7 +200,7 @@ def stub(messages):
         return None
     if asked == 2 and size % 7 == 0:
         return {"choices": [], "usage": {}}
-    reply = f"round {asked} of {size}; last {messages[-1]['content'][-4:]}"
+    reply = f"round {asked} of {size}; last {messages[-1]['content']}"
     return {
         "choices": [{"message": {"role": "assistant", "content": reply}}],
         "usage": {"prompt_tokens": len(messages), "completion_tokens": asked, "total_tokens": len(messages) + asked},
@@ -209,9 +209,9 @@ def stub(messages):
 
 ROUNDS_SQL = """
 with u as (select conv_id, turn, text, length(text) as size from conversations where role = 'user'),
-g as (select conv_id, turn, 1 as round, 'round 1 of ' || size || '; last ' || right(text, 4) as content from u
-      union all select conv_id, turn, 2, case when size % 7 <> 0 then 'round 2 of ' || size || '; last put.' end from u
-      union all select conv_id, turn, 3, 'round 3 of ' || size || '; last put.' from u where size % 7 <> 0 and size % 5 <> 0)
+g as (select conv_id, turn, 1 as round, 'round 1 of ' || size || '; last ' || text as content from u
+      union all select conv_id, turn, 2, case when size % 7 <> 0 then 'round 2 of ' || size || '; last Generate Next Output.' end from u
+      union all select conv_id, turn, 3, 'round 3 of ' || size || '; last Generate Next Output.' from u where size % 7 <> 0 and size % 5 <> 0)
 """
 
 

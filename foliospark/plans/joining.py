@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import lookup as L
 from ..operators import retrieve as Q
 from ..operators.updates import unknown_ids
 from .adapters import CONTEXT_SQL, MIXED_SQL, mixed_doc, table
+from ..session import scratch
 from .registry import query
 
 # Dimension rows; names repeat on purpose, and some wanted names are missing.
@@ -210,40 +213,68 @@ def set_first_non_empty(spark, sf_dir):
 ORDER_COLUMNS = ["o_orderkey", "o_orderstatus", "o_totalprice"]
 
 
+def preceded(ordered, key):
+    """Rows of a sorted frame with the ``key`` of the row before, over all rows.
+
+    The sort leaves ranges in order; rows meet their neighbour inside a range, and the first
+    row of a range the last one of the range before, from a table with a row a range.
+    """
+    from pyspark.sql import Window
+
+    placed = ordered.withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.spark_partition_id())
+    placed = stored_once(placed)
+    ends = placed.groupBy("_range").agg(F.max_by(key, "_at").alias("_last"))
+    ends = ends.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_end"))
+    inside = F.lag(key).over(Window.partitionBy("_range").orderBy("_at"))
+    rows = placed.withColumn("_inside", inside).join(ends, "_range")
+    return rows.withColumn("before", F.coalesce("_inside", "_end"))
+
+
+def stored_once(df):
+    """Written below the shared folder and read back, so that the order is taken once."""
+    path = scratch(df.sparkSession, "sorted")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @query(
     "sort_spec",
-    """select o_orderkey, o_orderstatus, o_totalprice from orders
-       order by o_orderstatus desc, o_totalprice desc, o_orderkey limit 100""",
+    """select o_orderkey, o_orderstatus, o_totalprice,
+              lag(o_orderkey) over (order by o_orderstatus desc, o_totalprice desc, o_orderkey) as before
+       from orders""",
 )
 def sort_spec(spark, sf_dir):
     """Malformed items are ignored; ``-1`` means descending in a list as well."""
     sort = [{"o_orderstatus": "DESC"}, {"a": 1, "b": 1}, 7, {"o_totalprice": -1}]
-    return Q.retrieve(table(spark, sf_dir, "orders"), sort=sort, tiebreak="o_orderkey").select(*ORDER_COLUMNS)
+    found = Q.retrieve(table(spark, sf_dir, "orders"), sort=sort, tiebreak="o_orderkey")
+    return preceded(found, "o_orderkey").select(*ORDER_COLUMNS, "before")
 
 
 @query(
     "sort_multi",
-    """select _id from (select cast(event_id as varchar) as _id, event_type,
-                               cast(regexp_extract(props, '[0-9]+') as integer) as k, value from events)
-       order by event_type, k desc, value, _id limit 100""",
+    """select _id, lag(_id) over (order by event_type, k desc, value, _id) as before
+       from (select cast(event_id as varchar) as _id, event_type,
+                    cast(regexp_extract(props, '[0-9]+') as integer) as k, value from events)""",
 )
 def sort_multi(spark, sf_dir):
     from .adapters import event_doc
 
     sort = ["event_type", {"props.k": "desc"}, {"value": "asc"}]
-    return Q.retrieve(event_doc(spark, sf_dir), sort=sort).select("_id")
+    return preceded(Q.retrieve(event_doc(spark, sf_dir), sort=sort), "_id").select("_id", "before")
 
 
 @query(
     "sort_typed",
     MIXED_SQL
-    + """select _id, size_str as size_text from mixed order by size_num desc nulls last, size_str desc nulls last, _id limit 1000""",
+    + """select _id, size_str as size_text,
+                lag(_id) over (order by size_num desc nulls last, size_str desc nulls last, _id) as before from mixed""",
 )
 def sort_typed(spark, sf_dir):
     """Numbers under ``size`` first (as numbers), then strings (as strings)."""
     sort = {"size:number": -1, "size:string": "descending"}
     text = F.when(F.col("_id").startswith("c"), F.try_variant_get("v", "$.size", "string"))
-    return Q.retrieve(mixed_doc(spark, sf_dir), sort=sort, limit=1000).select("_id", text.alias("size_text"))
+    found = preceded(Q.retrieve(mixed_doc(spark, sf_dir), sort=sort), "_id")
+    return found.select("_id", text.alias("size_text"), "before")
 
 
 @query(
@@ -263,6 +294,41 @@ def topk(spark, sf_dir):
     )
 
 
+def walked(df, sort, key, size, most=400):
+    """All pages of ``df``, one after the other, each row with the number of its page."""
+    mark, pages = None, []
+    for number in range(most):
+        page = Q.retrieve(df, sort=sort, limit=size, tiebreak=key, bookmark=mark)
+        mark = Q.bookmark_of(df, sort, key, page)
+        if mark is None:
+            break
+        pages.append(page.select(key, F.lit(number).alias("page")))
+    return reduce(lambda a, b: a.union(b), pages)
+
+
+@query(
+    "pages_of_documents",
+    MIXED_SQL
+    + """select _id, cast(floor((row_number() over (order by case when size_num is not null then 1 when size_str is not null then 2 else 0 end,
+                size_num nulls first, size_str nulls first, _id) - 1) / (select ceil(count(*) / 4.0) from mixed)) as integer) as page from mixed""",
+)
+def pages_of_documents(spark, sf_dir):
+    """Pages through documents of different kinds, sorted by a document field."""
+    docs = mixed_doc(spark, sf_dir)
+    return walked(docs, {"size": 1}, "_id", -(-docs.count() // 4))
+
+
+@query(
+    "pages_without_sort",
+    """select o_orderkey, cast(floor((row_number() over (order by o_orderkey) - 1) / (select ceil(count(*) / 5.0) from orders)) as integer) as page
+       from orders""",
+)
+def pages_without_sort(spark, sf_dir):
+    """Pages without a sort are in key order and bring every row once."""
+    orders = table(spark, sf_dir, "orders")
+    return walked(orders, None, "o_orderkey", -(-orders.count() // 5))
+
+
 @query(
     "page_2",
     """select o_orderkey, o_orderstatus, o_totalprice from orders

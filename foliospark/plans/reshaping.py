@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.jsontext import restore_key_order
+from ..functions.jsontext import prune_json, restore_key_order
+from ..functions.pytext import variant_repr
 from ..operators import reshape as R
 from .adapters import CONTEXT_SQL, LINE_SQL, context_doc, event_doc, line_doc, mixed_doc, table
 from .registry import query
@@ -203,3 +204,31 @@ def label_fallback(spark, sf_dir):
         F.when(F.col("p_size") > 10, F.col("p_brand")).alias("name"),
     )
     return R.label_rows(parts, ["display_name", "name", "p_partkey"], "p_partkey", "p_partkey")
+
+
+DEEP = 12
+
+
+def deep_documents(spark, sf_dir):
+    """Orders nested in lists and objects twelve levels deep."""
+    inner = F.concat(F.lit('{"b":"  '), "o_orderpriority", F.lit('  ","a":'), "o_orderkey", F.lit(',"z":[""," "],"n":null}'))
+    text = F.concat(F.lit('[{"k":' * DEEP), inner, F.lit("}]" * DEEP))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.parse_json(text).alias("v"))
+
+
+@query(
+    "prune_deep",
+    f"""select o_orderkey, repeat('[{{"k":', {DEEP}) || '{{"a":' || o_orderkey || ',"b":"' || o_orderpriority || '"}}' || repeat('}}]', {DEEP}) as pruned
+        from orders""",
+)
+def prune_deep(spark, sf_dir):
+    return deep_documents(spark, sf_dir).select("o_orderkey", prune_json(F.col("v")).alias("pruned"))
+
+
+@query(
+    "print_deep",
+    f"""select o_orderkey, repeat('[{{\'\'k\'\': ', {DEEP}) || '{{\'\'a\'\': ' || o_orderkey || ', \'\'b\'\': \'\'  ' || o_orderpriority
+               || '  \'\', \'\'n\'\': None, \'\'z\'\': [\'\'\'\', \'\' \'\']}}' || repeat('}}]', {DEEP}) as printed from orders""",
+)
+def print_deep(spark, sf_dir):
+    return deep_documents(spark, sf_dir).select("o_orderkey", variant_repr(F.col("v")).alias("printed"))
