@@ -14,7 +14,8 @@
    X in hash order.  If P holds t|X| of X and t|Y| of Y, their sizes still differ by a factor
    of at most 1/t.  So nodes are dealt anew, to buckets named by P and such a run, or by P and
    a size class, and step 2 is repeated for pairs of nodes and pivots not compared before, in
-   buckets that still hold several components, with some more pivots each.  All nodes of a bucket rank below the pivot it
+   buckets that still hold several components: with some more pivots each where they are
+   large, among all their components where they have at most ``SMALL`` nodes.  All nodes of a bucket rank below the pivot it
    is named by, so a linked pair meets lower and lower pivots until one of the two is the
    pivot: every link between nodes that once shared a band key is found.
 
@@ -38,7 +39,8 @@ BANDS = 28
 ROWS = 5
 BATCH = 20
 MISS = 1e-6
-#: pivots of a bucket that was dealt anew
+#: nodes of a bucket dealt anew whose pairs are all compared; larger ones get so many pivots
+SMALL = 48
 PIVOTS = 8
 
 _rng = np.random.default_rng(5)
@@ -215,8 +217,24 @@ def _compared(rows, nodes, texts, percent, width, miss):
     return stored(both.mapInArrow(lambda it: _compare(it, percent, width, miss), COMPARED), "compared")
 
 
+def _linked(pairs, nodes, texts, percent, width, miss):
+    """Links among ``pairs`` (node, pivot): signatures first, full sets for what is left; written."""
+    least = least_matches(percent, BATCH, BANDS * ROWS, miss)
+
+    def possible(batches):
+        for batch in batches:
+            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            keep = possible_pairs(col["sig_a"].to_pylist(), col["sig_b"].to_pylist(), least)
+            yield batch.select(["node", "pivot"]).filter(pa.array(keep))
+
+    sig = nodes.select("node", "sig")
+    both = pairs.join(sig.toDF("node", "sig_a"), "node").join(sig.toDF("pivot", "sig_b"), "pivot")
+    left = stored(both.mapInArrow(possible, "node long, pivot long"), "possible")
+    return _compared(left, nodes, texts, percent, width, miss).filter("linked").select("node", "pivot")
+
+
 def _dealt_anew(compared, nodes, labels):
-    """(node, pivot) for the next round, from buckets that hold several components.
+    """Buckets (bucket, node, label, rank, size) that hold several components; written.
 
     A bucket of a size class matters only with a node not linked with the pivot.
     """
@@ -231,10 +249,24 @@ def _dealt_anew(compared, nodes, labels):
         "n",
         (~F.col("part.by_size") | ~F.col("linked")).alias("open"),
     )
-    several = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("open").alias("open"))
-    several = several.filter("lo < hi and open").select("bucket")
+    several = rows.groupBy("bucket").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("open").alias("open"), F.count("*").alias("size")
+    )
+    several = several.filter("lo < hi and open").select("bucket", "size")
     rank = F.struct("n", (-F.col("node")).alias("m"))
-    rows = stored(rows.join(several, "bucket").select("bucket", "node", rank.alias("rank")), "open")
+    return stored(rows.join(several, "bucket").select("bucket", "node", "label", rank.alias("rank"), "size"), "open")
+
+
+def _small_pairs(rows):
+    """All pairs of different components in buckets of bounded size."""
+    rows = rows.filter(F.col("size") <= SMALL).select("bucket", "node", "label")
+    pairs = rows.join(rows.toDF("bucket", "pivot", "other"), "bucket").filter("node < pivot and label <> other")
+    return pairs.select("node", "pivot").distinct()
+
+
+def _pivot_pairs(rows):
+    """Nodes of larger buckets with some pivots that outrank them."""
+    rows = rows.filter(F.col("size") > SMALL).select("bucket", "node", "rank")
     slot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("slot")
     best = rows.groupBy("bucket", slot).agg(F.max("rank").alias("top")).select("bucket", "top")
     pairs = rows.join(best, "bucket").filter("rank < top")
@@ -278,15 +310,24 @@ def near_duplicates(
     texts = stored(zipped.join(wanted, "node", "left_semi").dropDuplicates(["node", "z"]), "texts")
 
     new = stored(members.filter("node <> pivot").select("node", "pivot").distinct(), "pairs")
-    compared = None
+    found = _compared(new, nodes, texts, percent, width, miss)
+    links = found.filter("linked").select("node", "pivot")
+    compared = found
     while True:
-        found = _compared(new, nodes, texts, percent, width, miss)
-        compared = found if compared is None else compared.union(found)
-        labels = components(compared.filter("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        new = _dealt_anew(compared, nodes, labels).join(compared.select("node", "pivot"), ["node", "pivot"], "left_anti")
-        new = stored(new, "pairs")
+        labels = components(links.toDF("a", "b"))
+        # only buckets named by a pivot with new nodes have changed
+        changed = compared.join(found.select("pivot").distinct(), "pivot", "left_semi")
+        rows_open = _dealt_anew(changed, nodes, labels)
+        if rows_open.isEmpty():
+            break
+        links = links.union(_linked(_small_pairs(rows_open), nodes, texts, percent, width, miss))
+        new = stored(_pivot_pairs(rows_open).join(compared.select("node", "pivot"), ["node", "pivot"], "left_anti"), "pairs")
         if new.isEmpty():
+            labels = components(links.toDF("a", "b"))
             break
+        found = _compared(new, nodes, texts, percent, width, miss)
+        links = links.union(found.filter("linked").select("node", "pivot"))
+        compared = compared.union(found)
 
     groups = groups.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("component"))
     out = rows.join(groups, ["k1", "k2"], "left")
