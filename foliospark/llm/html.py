@@ -52,7 +52,7 @@ _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|
 _SPACE = re.compile(r"\s+")
 
 #: two pages that share more of the smaller one's blocks are copies
-COPY_PERCENT = 60
+COPY_PERCENT = 90
 
 
 class _Page:

@@ -67,15 +67,15 @@ def subwords(texts: list[str]):
     # the run of n characters from each place on, grown by one character at a time; a run that
     # starts a word, or is followed by no letter, is told apart from one inside
     opens = inside & ~np.r_[False, inside[:-1]]
-    value = np.zeros(len(code), np.uint64)
-    alive = inside.copy()
+    size = len(code)
+    value, alive = np.zeros(size, np.uint64), np.ones(size, bool)
+    inside, code = np.r_[inside, np.zeros(5, bool)], np.r_[code, np.zeros(5, np.uint64)]
     for n in range(1, 5):
-        k = n - 1
-        alive = alive & np.r_[inside[k:], np.zeros(k, bool)] if k else alive
-        value = value * np.uint64(1_000_003) + np.r_[code[k:], np.zeros(k, np.uint64)]
-        closes = ~np.r_[inside[n:], np.zeros(min(n, len(inside)), bool)][: len(inside)]
+        alive = alive & inside[n - 1 : size + n - 1]
+        value = value * np.uint64(1_000_003) + code[n - 1 : size + n - 1]
         at = np.flatnonzero(alive)
-        mark = value[at] + opens[at] * np.uint64(0x9E3779B1) + closes[at] * np.uint64(0x85EBCA77) + np.uint64(n)
+        closes = ~inside[at + n]
+        mark = value[at] + opens[at] * np.uint64(0x9E3779B1) + closes * np.uint64(0x85EBCA77) + np.uint64(n)
         mark = (mark ^ (mark >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         out.append((mark >> np.uint64(48)).astype(np.int64) & (BUCKETS - 1))
         owners.append(rows[at])
