@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import operator
 import re
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +40,9 @@ DIALECTS = ("mango", "mongo")
 # Constructs of the Perl dialect that Java's engine does not have or reads otherwise.
 UNSUPPORTED_REGEX = re.compile(r"\(\?R\)|\(\?\||\\K|\(\*[A-Z]|\(\?&|\(\?P[>=]|\(\?\(")
 
+#: whole numbers below this are told apart as doubles
+EXACT_IN_DOUBLE = 1 << 53
+
 ORDERINGS = {
     "$lt": operator.lt,
     "$lte": operator.le,
@@ -93,16 +97,38 @@ class _Selector:
             if not isinstance(arg, list):
                 raise ValueError(f"{op} needs a list of selectors")
             parts = [self.document(s, leaf) if isinstance(s, dict) else self.equal(leaf, s) for s in arg]
-            if op == "$and":
-                return all_of(parts)
-            return any_of(parts) if op == "$or" else ~any_of(holds(p) for p in parts)
+            if op == "$nor":
+                return all_of(self.refused(s, leaf) for s in arg)
+            return all_of(parts) if op == "$and" else any_of(parts)
         if op == "$not":
-            inner = self.document(arg, leaf) if isinstance(arg, dict) else self.equal(leaf, arg)
-            return ~holds(inner)
+            return self.refused(arg, leaf)
         if op == "$text":
             return self.text(arg, leaf)
         return self.condition(op, arg, leaf)
 
+    def refused(self, selector, leaf: Leaf) -> Column:
+        """Negation: bare where it compares one typed column with values, so that scans see it."""
+        if isinstance(selector, dict) and len(selector) == 1:
+            ((key, arg),) = selector.items()
+            if not key.startswith("$"):
+                target = leaf.resolve(key)
+                inner = self.field(target, arg)
+                return target.column.isNull() | ~inner if self._compares(target, arg) else ~holds(inner)
+        inner = self.document(selector, leaf) if isinstance(selector, dict) else self.equal(leaf, selector)
+        return leaf.column.isNull() | ~inner if self._compares(leaf, selector) else ~holds(inner)
+
+    @staticmethod
+    def _compares(leaf: Leaf, arg) -> bool:
+        """Whether a condition on ``leaf`` is unknown only where a typed scalar column is null."""
+        if not isinstance(leaf, TypedLeaf) or leaf.fixed_kind not in ("string", "number", "boolean"):
+            return False
+        values = [arg]
+        if isinstance(arg, dict):
+            if not arg or set(arg) - {"$eq", "$in", *ORDERINGS}:
+                return False
+            values = [v for a in arg.values() for v in (a if isinstance(a, list) else [a])]
+        return all(json_kind(v) == leaf.fixed_kind for v in values)
+
     def field(self, leaf: Leaf, arg) -> Column:
         if not isinstance(arg, dict) or not arg:
             return self.equal(leaf, arg)
@@ -171,13 +197,23 @@ class _Selector:
             if kind == "null":
                 return F.is_variant_null(leaf.variant())
             if kind == "number":
-                return leaf.is_kind("number") & (leaf.number() == F.lit(float(value)))
+                return leaf.is_kind("number") & self._numbers(leaf, operator.eq, value)
             typed = leaf.string() if kind == "string" else leaf.boolean()
             return leaf.is_kind(kind) & (typed == F.lit(value))
         if leaf.fixed_kind != kind:
             return F.lit(False)
         return leaf.column == leaf.literal(value)
 
+    @staticmethod
+    def _numbers(leaf: VariantLeaf, compare, value) -> Column:
+        """Compare a document's number; whole numbers a double cannot tell apart compare exactly."""
+        rough = compare(leaf.number(), F.lit(float(value)))
+        if not isinstance(value, int) or abs(value) < EXACT_IN_DOUBLE:
+            return rough
+        whole = F.schema_of_variant(leaf.variant()).rlike(r"^(?:BIGINT|DECIMAL\(\d+,0\))$")
+        exact = F.try_variant_get(leaf.variant(), "$", "decimal(38,0)")
+        return F.coalesce(F.when(whole, compare(exact, F.lit(Decimal(value)).cast("decimal(38,0)"))), rough)
+
     def equal_deep(self, leaf: Leaf, value) -> Column:
         """Structural equality, unrolled over the literal."""
         if isinstance(value, dict):
@@ -211,7 +247,7 @@ class _Selector:
         if kind == "null":
             same = F.is_variant_null(leaf.variant()) if op in ("$lte", "$gte") else F.lit(False)
         elif kind == "number":
-            same = leaf.is_kind(kind) & compare(leaf.number(), F.lit(float(value)))
+            same = leaf.is_kind(kind) & self._numbers(leaf, compare, value)
         elif kind in ("string", "boolean"):
             typed = leaf.string() if kind == "string" else leaf.boolean()
             same = leaf.is_kind(kind) & compare(typed, F.lit(value))
@@ -247,8 +283,10 @@ class _Selector:
         if isinstance(leaf, VariantLeaf):
             flat = []
             if "number" in by_kind:
-                wanted = [float(v) for v in by_kind["number"]]
-                flat.append(leaf.is_kind("number") & leaf.number().isin(wanted))
+                large = [v for v in by_kind["number"] if isinstance(v, int) and abs(v) >= EXACT_IN_DOUBLE]
+                wanted = [float(v) for v in by_kind["number"] if v not in large]
+                flat += [leaf.is_kind("number") & leaf.number().isin(wanted)] if wanted else []
+                flat += [self.equal(leaf, v) for v in large]
             if "string" in by_kind:
                 flat.append(leaf.is_kind("string") & leaf.string().isin(by_kind["string"]))
             flat += [self.equal(leaf, v) for v in by_kind.get("boolean", [])]

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.selector import where
-from ..session import scratch
 
 
 def write_partitioned(df: DataFrame, column: str, path: str) -> str:
@@ -18,12 +17,10 @@ def write_partitioned(df: DataFrame, column: str, path: str) -> str:
     return path
 
 
-def in_partition(df: DataFrame, column: str, value, path: str | None = None) -> DataFrame:
-    """The rows of one named partition of a partitioned collection."""
-    spark = df.sparkSession
-    path = path or write_partitioned(df, column, scratch(spark, "partitioned"))
-    stored = spark.read.schema(df.schema).parquet(path)
-    return where(stored, {column: value})
+def in_partition(spark: SparkSession, path: str, column: str, value, schema=None) -> DataFrame:
+    """The rows of one named partition of a collection laid out by :func:`write_partitioned`."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return where(reader.parquet(path), {column: value})
 
 
 def create_partial_view(df: DataFrame, selector: dict, name: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.selector import where
-from ..operators.views import create_partial_view, in_partition
+from ..operators.views import create_partial_view, in_partition, write_partitioned
+from ..session import scratch
 from .adapters import LINE_SQL, MIXED_SQL, event_doc, line_doc, mixed_doc, table
 from .registry import query
 
@@ -168,13 +169,35 @@ def sel_text(spark, sf_dir):
     return where(docs, {"$text": "The und POR"}, text_columns=["text"]).select("doc_id", "lang")
 
 
+EXACT_SQL = """select o_orderkey from (select *, 9007199254740992 + o_orderkey as big from orders) where """
+
+
+def exact_docs(spark, sf_dir):
+    """Orders with keys that doubles cannot tell from their neighbours."""
+    big = F.lit(1 << 53).cast("bigint") + F.col("o_orderkey")
+    doc = F.parse_json(F.concat(F.lit('{"n":'), big, F.lit("}")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", doc.alias("v"))
+
+
+@query("sel_exact_eq", EXACT_SQL + "big = 9007199254740992 + 33")
+def sel_exact_eq(spark, sf_dir):
+    return where(exact_docs(spark, sf_dir), {"n": (1 << 53) + 33}).select("o_orderkey")
+
+
+@query("sel_exact_range", EXACT_SQL + "big > 9007199254740992 + 33 and big <= 9007199254740992 + 101 and big not in (9007199254740992 + 35)")
+def sel_exact_range(spark, sf_dir):
+    wanted = {"n": {"$gt": (1 << 53) + 33, "$lte": (1 << 53) + 101, "$nin": [(1 << 53) + 35, 7]}}
+    return where(exact_docs(spark, sf_dir), wanted).select("o_orderkey")
+
+
 @query(
     "sel_partition",
     "select doc_id, n_chars from documents where lang = 'de' and n_chars >= 500",
 )
 def sel_partition(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")
-    stored = in_partition(docs, "lang", "de")
+    path = write_partitioned(docs, "lang", scratch(spark, "partitioned"))
+    stored = in_partition(spark, path, "lang", "de", docs.schema)
     return where(stored, {"n_chars": {"$gte": 500}}).select("doc_id", "n_chars")
 
 

@@ -170,20 +170,21 @@ def as_envelope(df: DataFrame) -> DataFrame:
 def insert_docs(df: DataFrame, store: str, name: str) -> tuple[DataFrame, DataFrame]:
     """Append documents; those whose ``_id`` is taken come back as rejects.
 
+    Of documents that repeat an id the first in input order is stored.
+
     The decision is written once to the shared folder and both the appended rows
     and the rejects are read from there, so a lost executor cannot change it.
     """
     spark = df.sparkSession
-    docs = assign_ids(as_envelope(df)).drop("v")
+    docs = assign_ids(as_envelope(df)).drop("v").withColumn("_place", F.monotonically_increasing_id())
     staged = scratch(spark, "insert")
     docs.write.parquet(f"{staged}/incoming")
     incoming = spark.read.parquet(f"{staged}/incoming")
     if incoming.isEmpty():
         raise ValueError("no documents to insert")
-    # one winner per id: a map-side combined minimum, safe for a heavily repeated id
-    first = incoming.groupBy("_id").agg(
-        F.min(F.struct("doc", "_rev")).alias("first"), F.count("*").alias("n")
-    )
+    # the first supplied wins; only ids and places are grouped, and one row an id is joined back
+    counts = incoming.groupBy("_id").agg(F.min("_place").alias("_place"), F.count("*").alias("n"))
+    first = counts.join(incoming.select("_id", "_place", F.struct("doc", "_rev").alias("first")), ["_id", "_place"])
     taken = read_collection(spark, store, name).select("_id", F.lit(True).alias("taken"))
     first.join(taken, "_id", "left").select(
         "_id",

@@ -160,3 +160,10 @@ def test_errors(docs):
 def test_text_searches_all_strings(docs):
     df = docs([{"t": "James Bond\nreturns"}, {"t": {"u": ["bonding"]}}, {"bond": 1}, {"x": [{"y": "BOND"}]}])
     assert [r["_id"] for r in where(df, {"$text": "bond"}).collect()] == ["0", "3"]
+
+
+def test_negations_reach_the_scan(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    for selector in ({"o_orderstatus": {"$not": {"$eq": "O"}}}, {"$nor": [{"o_orderstatus": "O"}, {"o_totalprice": {"$gt": 1000}}]}):
+        plan = where(orders, selector)._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: []" not in plan, plan
