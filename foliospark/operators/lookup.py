@@ -1,7 +1,8 @@
 """Lookups by key: application-side "fetch the first match" loops as joins.
 
 Every dimension is reduced to one row per key before the join, so a join never
-multiplies rows.  Whether a side is broadcast is left to Spark's own size check.
+multiplies rows.  Its size is measured first: within set bounds it is broadcast, so the
+documents are not shuffled on a key of few values; beyond them both sides are salted.
 """
 
 from __future__ import annotations
@@ -10,10 +11,30 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .stats import first_match
 
 
+#: bounds of a dimension that is broadcast, and parts a key is split into beyond them
+BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 8 << 20
+SALTS = 16
+
+
+def dimension_join(df: DataFrame, side: DataFrame, key: str, side_key: str) -> DataFrame:
+    """Left join of documents with a dimension of one row per key."""
+    bytes_of_row = F.octet_length(F.to_json(F.struct("*")))
+    rows, size = side.agg(F.count("*"), F.coalesce(F.sum(bytes_of_row), F.lit(0))).first()
+    if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
+        return df.join(F.broadcast(side), F.col(key) == F.col(side_key), "left")
+    hashed = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int"))
+    spread = side.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = (F.col(key) == F.col(side_key)) & (F.col("_salt") == F.col("_part"))
+    return salted.join(spread, same, "left").drop("_salt", "_part")
+
+
 def lookup_first(
     df: DataFrame,
     dimension: DataFrame,
@@ -30,7 +51,7 @@ def lookup_first(
         F.col(dimension_key).alias("_lookup_key"), *[F.col(v).alias(f"_lookup_{v}") for v in values],
         F.lit(True).alias("_found"),
     )
-    joined = df.join(renamed, F.col(key) == F.col("_lookup_key"), "left")
+    joined = dimension_join(df, renamed, key, "_lookup_key")
     defaults = defaults or {}
     picked = [
         (F.when(F.col("_found"), F.col(f"_lookup_{v}")).otherwise(defaults[v]) if v in defaults else F.col(f"_lookup_{v}")).alias(
@@ -74,7 +95,7 @@ def assemble_context(df: DataFrame, contexts: list[tuple[DataFrame, str, str]])
         renamed = dimension.select(
             F.col(dimension_key).alias(f"_key{i}"), *[F.col(c).alias(f"_c{i}_{c}") for c in names]
         )
-        joined = joined.join(renamed, F.col(key) == F.col(f"_key{i}"), "left")
+        joined = dimension_join(joined, renamed, key, f"_key{i}")
         for c in names:
             sources.setdefault(c, []).append(F.col(f"_c{i}_{c}"))
     for c in df.columns:

@@ -148,3 +148,17 @@ def test_generation_stops(spark):
     replies = lambda m: {"choices": [{"message": {"role": "assistant", "content": str(len(m))}}]} if len(m) < 4 else None
     rows = G.generate(df, replies, 5, ["k"]).orderBy("round").collect()
     assert [r["content"] for r in rows] == ["1", "3"]
+
+
+def test_small_dimensions_do_not_shuffle_documents(spark, monkeypatch):
+    from foliospark.operators import lookup as L
+
+    docs = spark.range(1000).selectExpr("id", "concat('set', id % 5) as name")
+    sets = spark.createDataFrame([(f"{i}", f"set{i}", f"p{i}") for i in range(4)], "_id string, parameter_set_name string, parameters string")
+    small = L.lookup_parameters(docs, sets, "name")
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(L, "BROADCAST_ROWS", 1)
+    salted = L.lookup_parameters(docs, sets, "name")
+    assert "_salt" in salted._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, salted.collect()))
