@@ -65,12 +65,12 @@ WORD_BREAKS = r"[-\s({\[<]+"
 
 def title_case(s: Column) -> Column:
     parts = F.regexp_extract_all(F.lower(s), F.lit(rf"({WORD_BREAKS}|[^-\s({{\[<]+)"), F.lit(1))
-    upper_first = lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))
+    upper_first = lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))
     return F.array_join(F.transform(parts, upper_first), "")
 
 
 def capitalize(s: Column) -> Column:
-    return F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substring(s, 2, 1 << 30)))
+    return F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substr(s, F.lit(2))))
 
 
 def strip(s: Column, chars: str | None = None) -> Column:

@@ -67,7 +67,7 @@ def line_doc(spark, sf_dir) -> DataFrame:
 
 def with_note(doc, condition):
     """Add an explicit JSON null where ``condition`` holds."""
-    return F.when(condition, F.concat(F.lit('{"note":null,'), F.substring(doc, 2, 1 << 30))).otherwise(doc)
+    return F.when(condition, F.concat(F.lit('{"note":null,'), F.substr(doc, F.lit(2)))).otherwise(doc)
 
 
 def mixed_doc(spark, sf_dir) -> DataFrame:

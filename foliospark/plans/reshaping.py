@@ -130,7 +130,7 @@ def key_order(spark, sf_dir):
     user, k = F.get_json_object("doc", "$.user_id"), F.get_json_object("doc", "$.props.k")
     props = F.format_string('"props":{"z":%s,"k":%s}', user, k)
     original = F.regexp_replace("doc", F.lit('"props":[{][^}]*[}]'), props)
-    changed = F.parse_json(F.concat(F.lit('{"added":1,'), F.substring(original, 2, 1 << 30)))
+    changed = F.parse_json(F.concat(F.lit('{"added":1,'), F.substr(original, F.lit(2))))
     ordered = restore_key_order(changed, original)
     return docs.select(
         F.col("_id").cast("bigint").alias("event_id"),
