@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..session import configure
+from .checks import ARCHIVE_SQL, CONTAMINATION_SQL, RULES_SQL
 from .decontaminate import contamination
 from .html import main_text
 from .language import identified
@@ -53,7 +54,7 @@ def op3(spark, sf_dir):
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), vocabulary()))
 
 
-@query("op4_decontaminate")
+@query("op4_decontaminate", CONTAMINATION_SQL)
 def op4(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -68,7 +69,7 @@ def op9(spark, sf_dir):
     return personal_data(table(spark, sf_dir, "documents"))
 
 
-@query("op10_quality_rules")
+@query("op10_quality_rules", RULES_SQL)
 def op10(spark, sf_dir):
     return quality_report(table(spark, sf_dir, "documents"))
 
@@ -97,6 +98,6 @@ def op5(spark, sf_dir):
     return main_text(table(spark, sf_dir, "pages"))
 
 
-@query("op6_warc")
+@query("op6_warc", ARCHIVE_SQL)
 def op6(spark, sf_dir):
     return archived_pages(table(spark, sf_dir, "pages")).drop("intact")
