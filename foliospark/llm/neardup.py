@@ -38,9 +38,9 @@ from .words import SPACED, mix, shingles, text_blocks, word_hashes
 BANDS = 28
 ROWS = 5
 BATCH = 20
-MISS = 1e-6
+MISS = 1e-5
 #: nodes of a bucket dealt anew whose pairs are all compared; larger ones get so many pivots
-SMALL = 48
+SMALL = 256
 PIVOTS = 8
 
 _rng = np.random.default_rng(5)
@@ -149,7 +149,7 @@ def _zipped(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["node", "z"])
 
 
-COMPARED = "node long, pivot long, linked boolean, runs array<long>, classes array<long>"
+COMPARED = "node long, pivot long, linked boolean, need int, have int, length int, runs array<long>, classes array<long>"
 
 
 def _compare(batches, percent, width, miss):
@@ -172,7 +172,7 @@ def _compare(batches, percent, width, miss):
     for batch in batches:
         col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
         possible = possible_pairs(col["sig_a"].to_pylist(), col["sig_b"].to_pylist(), least)
-        linked, keys, classes = [], [], []
+        linked, keys, classes, needs = [], [], [], []
         for i in range(batch.num_rows):
             x, y = runs(col["z_a"][i].as_py()), runs(col["z_b"][i].as_py())
             only = np.setdiff1d(x, y, assume_unique=True)
@@ -180,11 +180,13 @@ def _compare(batches, percent, width, miss):
             inside = 100 * both >= percent * len(x)
             linked.append(bool(possible[i]) and 100 * both >= percent * (len(x) + len(y) - both))
             short = max(1, -(-percent * len(x) // 100) - both)
+            needs.append((short, len(only), len(x)))
             keys.append(only[: max(len(only) - short + 1, 0)].view(np.int64))
             k = int(np.log(len(x)) / step)
             classes.append([k, k + 1] if inside else [])
         longs = pa.list_(pa.int64())
-        columns = [col["node"], col["pivot"], pa.array(linked), pa.array(keys, longs), pa.array(classes, longs)]
+        counts = [pa.array(c, pa.int32()) for c in (zip(*needs, strict=True) if needs else ([], [], []))]
+        columns = [col["node"], col["pivot"], pa.array(linked, pa.bool_()), *counts, pa.array(keys, longs), pa.array(classes, longs)]
         yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in COMPARED.split(", ")])
 
 
@@ -247,6 +249,10 @@ def _dealt_anew(compared, nodes, labels):
         "node",
         "label",
         "n",
+        # runs outside the pivot that a link must share; none where the pivot holds enough of both
+        F.when(F.col("part.by_size"), F.lit(0)).otherwise(F.col("need")).alias("need"),
+        "have",
+        "length",
         (~F.col("part.by_size") | ~F.col("linked")).alias("open"),
     )
     several = rows.groupBy("bucket").agg(
@@ -254,14 +260,16 @@ def _dealt_anew(compared, nodes, labels):
     )
     several = several.filter("lo < hi and open").select("bucket", "size")
     rank = F.struct("n", (-F.col("node")).alias("m"))
-    return stored(rows.join(several, "bucket").select("bucket", "node", "label", rank.alias("rank"), "size"), "open")
+    return stored(rows.join(several, "bucket").select("bucket", "node", "label", rank.alias("rank"), "size", "need", "have", "length"), "open")
 
 
-def _small_pairs(rows):
-    """All pairs of different components in buckets of bounded size."""
-    rows = rows.filter(F.col("size") <= SMALL).select("bucket", "node", "label")
-    pairs = rows.join(rows.toDF("bucket", "pivot", "other"), "bucket").filter("node < pivot and label <> other")
-    return pairs.select("node", "pivot").distinct()
+def _small_pairs(rows, percent):
+    """The pairs of different components in buckets of bounded size that counts allow to be linked."""
+    rows = rows.filter(F.col("size") <= SMALL).select("bucket", "node", "label", "need", "have", "length")
+    pairs = rows.join(rows.toDF("bucket", "pivot", "other", "need2", "have2", "length2"), "bucket")
+    pairs = pairs.filter("node < pivot and label <> other and need <= have2 and need2 <= have")
+    near = 100 * F.least("length", "length2") >= percent * F.greatest("length", "length2")
+    return pairs.filter(near).select("node", "pivot").distinct()
 
 
 def _pivot_pairs(rows):
@@ -320,7 +328,7 @@ def near_duplicates(
         rows_open = _dealt_anew(changed, nodes, labels)
         if rows_open.isEmpty():
             break
-        links = links.union(_linked(_small_pairs(rows_open), nodes, texts, percent, width, miss))
+        links = links.union(_linked(_small_pairs(rows_open, percent), nodes, texts, percent, width, miss))
         new = stored(_pivot_pairs(rows_open).join(compared.select("node", "pivot"), ["node", "pivot"], "left_anti"), "pairs")
         if new.isEmpty():
             labels = components(links.toDF("a", "b"))
