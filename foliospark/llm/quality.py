@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from .words import ALNUM, SPACED, mix, text_blocks, word_hashes
 
 #: rated documents used for fitting, about, at most
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 6_000
 #: distinct features of one rated document used for fitting, those that hash lowest
-TRAIN_FEATURES = 4096
+TRAIN_FEATURES = 2048
 #: chi-square value, with one degree of freedom, from which a feature is used
 CLEAR = 18.0
 EPOCHS = 10
