@@ -65,9 +65,42 @@ def write_batches(stream: DataFrame, out: str, checkpoint: str, mode: str = "upd
     return _trigger(writer, interval).start()
 
 
-def latest_state(spark: SparkSession, out: str, key: str, columns: list[str]) -> DataFrame:
-    """The newest row per key over all written batches."""
+def batches(spark: SparkSession, out: str, folded: str | None = None) -> DataFrame:
+    """Rows of the written batches; of those folded into ``folded`` the folded rows instead."""
     rows = spark.read.parquet(out)
+    if folded is None:
+        return rows
+    done = spark.read.parquet(folded)
+    upto = done.agg(F.max("batch")).first()[0]
+    return rows.where(F.col("batch") > upto).unionByName(done)
+
+
+def fold_state(spark: SparkSession, out: str, key: str, into: str, folded: str | None = None) -> str:
+    """Fold the finished batches of a state into one, the newest row per key.
+
+    The batches stay where they are for the query that wrote them; readers given ``into`` skip
+    them.  ``folded`` is an earlier result, which is folded again.
+    """
+    rows = batches(spark, out, folded)
+    kept = [c for c in rows.columns if c not in (key, "batch")]
+    upto = rows.agg(F.max("batch")).first()[0]
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*kept), F.col("batch")).alias("_s")).select(key, "_s.*")
+    newest.write.parquet(f"{into}/batch={upto}")
+    return into
+
+
+def fold_log(spark: SparkSession, log: str, into: str, seq: str = "seq", folded: str | None = None) -> str:
+    """Fold the batches of a change log into one, the last value per id and field."""
+    rows = batches(spark, log, folded)
+    upto = rows.agg(F.max("batch")).first()[0]
+    last = rows.groupBy("_id", "field").agg(F.max_by("value", seq).alias("value"), F.max(seq).alias(seq))
+    last.write.parquet(f"{into}/batch={upto}")
+    return into
+
+
+def latest_state(spark: SparkSession, out: str, key: str, columns: list[str], folded: str | None = None) -> DataFrame:
+    """The newest row per key over all written batches."""
+    rows = batches(spark, out, folded)
     newest = rows.groupBy(key).agg(F.max_by(F.struct(*columns), F.col("batch")).alias("_s"))
     return newest.select(key, *[F.col(f"_s.{c}").alias(c) for c in columns])
 
@@ -99,6 +132,6 @@ def upserted(base: DataFrame, log: DataFrame, seq: str = "seq") -> DataFrame:
 
 
 __all__ = [
-    "intake", "iteration_state", "latest_state", "read_json_stream",
+    "batches", "fold_log", "fold_state", "intake", "iteration_state", "latest_state", "read_json_stream",
     "read_parquet_stream", "upsert", "upserted", "write_batches",
 ]
