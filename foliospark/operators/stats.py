@@ -30,10 +30,6 @@ def token_totals(df: DataFrame, keys=(), usage: str = "usage") -> DataFrame:
     return df.groupBy(*keys).agg(*sums)
 
 
-def count_by(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n"))
-
-
 def all_hold(df: DataFrame, column: str, keys=()) -> DataFrame:
     return df.groupBy(*keys).agg(F.every(F.col(column)).alias("all_hold"))
 

@@ -162,3 +162,18 @@ def test_small_dimensions_do_not_shuffle_documents(spark, monkeypatch):
     salted = L.lookup_parameters(docs, sets, "name")
     assert "_salt" in salted._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, salted.collect()))
+
+
+def test_blank_rows_data_urls_and_message_lists(spark, tmp_path):
+    from foliospark.operators.messages import rendered_messages
+    from foliospark.operators.reshape import typed_rows
+    from foliospark.sources.objects import read_data_urls
+
+    assert [tuple(r) for r in typed_rows(spark, 2, {"a": "int", "b": "bool", "c": "str"}, "-").collect()] == [(0, False, "-")] * 2
+    assert typed_rows(spark, 0, ["a"]).count() == 0
+    (tmp_path / "x.txt").write_bytes(b"hi")
+    assert [r.data_url for r in read_data_urls(spark, str(tmp_path)).collect()] == ["data:text/plain;base64,aGk="]
+    people = spark.createDataFrame([("Ada",)], "name string")
+    starter = [{"role": "system", "content": "Hi {{ name }}"}, {"role": "user", "content": [{"type": "text", "text": "{{ name }}?"}]}]
+    got = people.select(F.to_json(rendered_messages(people, starter)).alias("m")).first()["m"]
+    assert json.loads(got) == [{"role": "system", "content": "Hi Ada"}, {"role": "user", "content": [{"type": "text", "text": "Ada?"}]}]
