@@ -33,8 +33,10 @@ from .tables import stored
 END_ID = 1
 LENGTH = 2048
 ROWS_PER_BATCH = 128
-CACHED_WORDS = 200_000
+CACHED_WORDS = 1_000_000
 LONGEST_CACHED = 48
+#: letters before this code point stay single letters when normalised and lower-cased
+LATIN_END = "\u0100"
 
 
 class Encoder:
@@ -47,31 +49,61 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4")
+        # tokens that end a run of letters, where the vocabulary marks them
+        self.closing = np.zeros(size, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closing[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {"": b""}
         self.end = np.array([end_id], self.dtype).tobytes()
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
+    def _one_by_one(self, pieces: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in out]
 
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """Runs of Latin letters, encoded as one text and cut behind the closing tokens."""
+        ids = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, self.dtype)
+        ends = (np.flatnonzero(self.closing[ids]) + 1) * self.dtype.itemsize
+        if len(ends) != len(runs):
+            return self._one_by_one(runs)
+        data, starts = ids.tobytes(), [0, *ends[:-1].tolist()]
+        return [data[i:j] for i, j in zip(starts, ends.tolist(), strict=True)]
+
+    def _new(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces not met before.
+
+        The tokenizer splits letters from all else, so a run of letters with a mark behind it
+        is the run's ids and the mark's.
+        """
+        letters = [w for w in pieces if w.isalpha() and max(w) < LATIN_END]
+        out = dict(zip(letters, self._runs(letters), strict=True)) if letters else {}
+        others = [w for w in pieces if w not in out]
+        marked = [w for w in others if w[-1] in ".," and w[:-1].isalpha() and max(w) < LATIN_END]
+        if marked:
+            marks = dict(zip(".,", self._one_by_one([".", ","]), strict=True))
+            runs = list({w[:-1] for w in marked} - out.keys())
+            found = out | (dict(zip(runs, self._runs(runs), strict=True)) if runs else {})
+            out |= {w: found[w[:-1]] + marks[w[-1]] for w in marked}
+            others = [w for w in others if w not in out]
+        if others:
+            out |= zip(others, self._one_by_one(others), strict=True)
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as bytes of ``dtype``."""
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > CACHED_WORDS:
-            self.known = known = {"": b""}
-            new = list({w for words in split for w in words if w})
-        now = dict(zip(new, self._ids(new), strict=True)) if new else {}
-        if len(now) + len(known) <= CACHED_WORDS:
-            known.update(now)
-            look = known.__getitem__
-            out = [b"".join(map(look, words)) + self.end for words in split]
-            for w in [w for w in new if len(w) > LONGEST_CACHED]:
-                del known[w]
-            return out
-        now[""] = b""
-        return [b"".join(map(now.__getitem__, words)) + self.end for words in split]
+        new = set().union(*split).difference(self.known)
+        if len(self.known) + len(new) > CACHED_WORDS:
+            self.known = {"": b""}
+            new = set().union(*split) - {""}
+        now = self._new(list(new)) if new else {}
+        look = self.known | now if len(now) > CACHED_WORDS else self.known
+        if look is self.known:
+            look.update(now)
+        out = [b"".join(map(look.__getitem__, words)) + self.end for words in split]
+        for w in [w for w in now if len(w) > LONGEST_CACHED]:
+            look.pop(w)
+        return out
 
 
 _encoders: dict[tuple, Encoder] = {}
