@@ -8,8 +8,10 @@
    the longer path prefix.  Neighbours come from ranges of the order, and the edges of the
    ranges from a table with one row a range, so a host of any size is spread over many tasks.
 3. The block hashes of the pair are aligned by longest common subsequence.  Shared blocks
-   outside an article are template lines and go.  Two pages that share most of their
-   blocks are copies of each other, not a template: nothing is deleted then.
+   outside an article are template lines and go.  Inside an article shared blocks go as well
+   (notices, adverts, links), but body paragraphs stay, and so do blocks next to a
+   body paragraph that is shared too: those are a passage both articles have.  Two pages that
+   share most of their blocks are copies of each other, not a template: nothing is deleted then.
 4. Pages with an article keep the article's blocks, others all that is left.
 """
 
@@ -37,6 +39,8 @@ NEVER = frozenset(
 #: their content is not markup
 RAW = frozenset("script style textarea title noscript iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: in an article, elements whose text is the body even where the neighbour has it too
+BODY = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre caption td th dt dd".split())
 #: an open p ends before these
 ENDS_P = BLOCKS - {"br", "html", "body", "head"}
 #: words in class, id or role that mark something other than main text
@@ -56,7 +60,7 @@ COPY_PERCENT = 90
 
 
 class _Page:
-    """Blocks of one page: [(text, inside an article, never main text)]."""
+    """Blocks of one page: [(text, inside an article, never main text, body paragraph)]."""
 
     def __init__(self):
         self.blocks, self.held = [], []
@@ -71,7 +75,10 @@ class _Page:
             line = _SPACE.sub(" ", html.unescape("".join(self.held))).strip()
             self.held = []
             if line:
-                self.blocks.append((line, any(a for _, a, _ in self.open), any(n for _, _, n in self.open)))
+                # what stands in a list item belongs to the list, also when it is a paragraph
+                around = [e for e, _, _ in self.open if e in BODY or e == "li"]
+                body = bool(around) and "li" not in around
+                self.blocks.append((line, any(a for _, a, _ in self.open), any(n for _, _, n in self.open), body))
 
     def start(self, name: str, attributes: str):
         if name in BLOCKS:
@@ -102,8 +109,8 @@ class _Page:
                 return
 
 
-def blocks_of(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, in an article, never main text) of each block, in page order."""
+def blocks_of(page: str) -> list[tuple[str, bool, bool, bool]]:
+    """(text, in an article, never main text, body paragraph) of each block, in page order."""
     out, at = _Page(), 0
     while (m := _TAG.search(page, at)) is not None:
         out.text(page[at : m.start()])
@@ -173,7 +180,7 @@ def _line_rows(batches):
             m = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)", url or "")
             hosts.append(m[1].lower() if m else "")
             paths.append(m[2] if m else (url or ""))
-            lines.append([_number(text) for text, _, _ in blocks_of(page or "")])
+            lines.append([_number(text) for text, *_ in blocks_of(page or "")])
         columns = [batch.column(0), pa.array(hosts), pa.array(paths), batch.column(3), pa.array(lines, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in LINES.split(", ")])
 
@@ -226,13 +233,37 @@ def template_lines(lines: DataFrame) -> DataFrame:
     return both.mapInArrow(_shared, "n long, shared array<int>").filter(F.size("shared") > 0)
 
 
+def article_template(blocks: list[tuple[str, bool, bool, bool]], shared: frozenset[int]) -> set[int]:
+    """Places of the shared blocks of an article that are template lines.
+
+    A block goes when it is no body paragraph and the nearest body paragraphs on both sides are
+    the page's own.  Where every block is shared the articles are copies and nothing goes.
+    """
+    places = [k for k, (_, a, never, _) in enumerate(blocks) if a and not never]
+    if shared.issuperset(places):
+        return set()
+    out, held, copied = set(), [], False
+    for k in places:
+        if not blocks[k][3]:
+            if k in shared:
+                held.append(k)
+            continue
+        if not copied and k not in shared:
+            out.update(held)
+        held, copied = [], k in shared
+    if not copied:
+        out.update(held)
+    return out
+
+
 def _texts(batches):
     for batch in batches:
         shared = batch.column(3).to_pylist()
         texts = []
         for page, gone in zip(batch.column(2).to_pylist(), shared, strict=True):
             blocks, gone = blocks_of(page or ""), frozenset(gone or ())
-            kept = [(t, a) for k, (t, a, never) in enumerate(blocks) if not never and (a or k not in gone)]
+            template = article_template(blocks, gone)
+            kept = [(t, a) for k, (t, a, never, _) in enumerate(blocks) if not never and k not in (template if a else gone)]
             if any(a for _, a in kept):
                 kept = [(t, a) for t, a in kept if a]
             texts.append("\n".join(t for t, _ in kept))

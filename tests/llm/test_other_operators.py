@@ -170,6 +170,23 @@ def test_main_text(spark):
     assert html.main_text(pages_of(spark, [])).count() == 0
 
 
+def test_differencing_decides_inside_articles(spark):
+    def article(k, extra=""):
+        return PAGE.replace("{body}", f"<article><h1>Title {k}</h1><div>Read us daily</div><p>body {k}</p>{extra}<p>end {k}</p><ul><li>Best of</li><li>link {k}</li></ul></article>")
+
+    passage = "<p>quoted by both</p><div>by its author</div><p>quoted further</p>"
+    copy = "<article><div>line</div><div>next</div></article><div>{}</div><div>{}</div>"
+    rows = [(1, "http://h/a/1", article(1)), (2, "http://h/a/2", article(2))]
+    rows += [(3, "http://i/a/1", article(3, passage)), (4, "http://i/a/2", article(4, passage))]
+    rows += [(k, f"http://j/c/{k}", PAGE.replace("{body}", copy.format(k, -k))) for k in (5, 6)]
+    text = {r.page_id: r.text for r in html.main_text(pages_of(spark, rows)).collect()}
+    for k in (1, 2):
+        assert text[k] == f"Title {k}\nbody {k}\nend {k}\nlink {k}"
+    for k in (3, 4):
+        assert text[k] == f"Title {k}\nbody {k}\nquoted by both\nby its author\nquoted further\nend {k}\nlink {k}"
+    assert text[5] == text[6] == "line\nnext"
+
+
 def test_common_lines_is_longest():
     rng = random.Random(3)
     for _ in range(300):
