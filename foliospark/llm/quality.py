@@ -6,7 +6,10 @@ by all grades and ordered thresholds b_0 < b_1 < ...  Features are the words of
 case and length classes, of words repeated at once), each under a 64-bit hash, so texts of
 any length do not collide.  Training is stochastic gradient descent in numpy over a bounded
 sample of rated documents, of which the driver sees hashes and counts, never texts; only
-features whose frequency differs clearly between grades get a weight.  Every document is
+features whose frequency differs clearly between grades get a weight.  How clearly, and the
+tail probability from which a document is kept, are chosen on a held-out third of the rated
+rows: as many accepted documents as possible are to stay, and as few as possible of those of
+any lower grade that hold a word telling them apart.  Every document is
 scored in its own task from its whole text: expected grade, and tail probability
 P(grade >= accepted) for selection.
 """
@@ -26,13 +29,18 @@ from .words import ALNUM, SPACED, mix, text_blocks, word_hashes
 TRAIN_ROWS = 6_000
 #: distinct features of one rated document used for fitting, those that hash lowest
 TRAIN_FEATURES = 2048
-#: chi-square value, with one degree of freedom, from which a feature is used
-CLEAR = 18.0
-EPOCHS = 10
-RATE = 0.3
-SHRINK = 1e-4
-#: an accepted document reaches this tail probability
+#: chi-square values, with one degree of freedom, from which a feature is used: one of these
+CLEAR = (18.0, 30.0, 50.0)
+EPOCHS = 20
+RATE = 3.0
+SHRINK = 1e-3
+#: an accepted document reaches this tail probability, where no better one can be told
 THRESHOLD = 0.3
+#: tail probabilities tried on the held-out rows, and how many rows a grade must have there
+CUTS = np.arange(0.3, 0.96, 0.05)
+ENOUGH = 5
+#: a word tells lower grades apart when at most this share of its rows is accepted
+TELLING = 0.05
 
 
 def features(data: np.ndarray, offsets: np.ndarray):
@@ -87,6 +95,11 @@ class Grader:
     keys: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
+    #: per k the tail P(grade > k) from which a document counts as above k
+    cuts: np.ndarray | None = None
+
+    def cut(self, accepted: int) -> float:
+        return THRESHOLD if self.cuts is None else float(self.cuts[accepted - 1])
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) for every k, one row a score."""
@@ -106,7 +119,7 @@ class Grader:
         return np.bincount(own, weights=x * self.weights[at], minlength=n)
 
 
-def clear_features(rows, grades: int) -> np.ndarray:
+def clear_features(rows, grades: int, clear: float = CLEAR[0]) -> np.ndarray:
     """Features whose presence, or mean value for shapes, tells some grade from the ones below."""
     keys, inverse = np.unique(np.concatenate([w for _, w, _ in rows]), return_inverse=True)
     grade = np.repeat([g for g, _, _ in rows], [len(w) for _, w, _ in rows])
@@ -124,13 +137,13 @@ def clear_features(rows, grades: int) -> np.ndarray:
         spread = np.maximum(squares / len(rows) - mean**2, 1e-12) * (1 / low + 1 / high)
         best = np.maximum(best, (sums[0] / low - sums[1] / high) ** 2 / spread)
     often = np.bincount(inverse, minlength=len(keys)) >= 5
-    return keys[often & (best >= CLEAR)]
+    return keys[often & (best >= clear)]
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, epochs: int = EPOCHS, rate: float = RATE) -> Grader:
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, epochs: int = EPOCHS, rate: float = RATE, clear: float = CLEAR[0]) -> Grader:
     """Train on (grade, features, values); the order is fixed by a seed."""
     rng = np.random.default_rng(3)
-    keys = clear_features(rows, grades)
+    keys = clear_features(rows, grades, clear)
     b = np.linspace(-1, 1, grades - 1)
     w, square = np.zeros(len(keys)), np.full(len(keys), 1e-8)
     inputs = []
@@ -151,6 +164,64 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, epochs: int
     return Grader(keys, w, b)
 
 
+def telling_words(rows, grades: int) -> list[np.ndarray]:
+    """Per k the clearest words of which nearly no row has a grade above k."""
+    keys = np.zeros(0, np.uint64)
+    for clear in reversed(CLEAR):
+        keys = clear_features(rows, grades, clear)
+        keys = keys[(keys & np.uint64(1)) == 0]
+        if len(keys):
+            break
+    above = np.zeros((grades, len(keys)))
+    for grade, which, _ in rows:
+        above[: grade + 1, np.isin(keys, which)] += 1
+    return [keys[above[k + 1] <= TELLING * above[0]] for k in range(grades - 1)]
+
+
+def chosen_cuts(grader: Grader, held, words: list[np.ndarray], grades: int) -> tuple[np.ndarray, float]:
+    """Cuts for every k on held-out rows, and what they gain in all.
+
+    The gain is twice the share of higher rows kept (what is lost there is lost for good) less
+    the share kept of the lower grade that is kept most, counting of the lower rows those
+    with a telling word.  The cut is the lowest whose gain is within one standard error of the
+    best, as a higher one costs sound rows for what may be chance.
+    """
+    scores = np.zeros(len(held))
+    for i, (_, which, x) in enumerate(held):
+        own = np.isin(which, grader.keys)
+        scores[i] = grader.weights[np.searchsorted(grader.keys, which[own])] @ x[own].astype(float)
+    tails, grade = grader.tails(scores), np.array([g for g, _, _ in held])
+    cuts, total = np.full(grades - 1, THRESHOLD), 0.0
+    for k in range(grades - 1):
+        told = np.array([np.isin(which, words[k]).any() for _, which, _ in held])
+        lower = [m for m in ((grade == g) & told for g in range(k + 1)) if m.sum() >= ENOUGH]
+        if not lower or (grade > k).sum() < ENOUGH:
+            continue
+        kept = tails[:, k, None] >= CUTS
+        left = np.max([kept[m].mean(axis=0) for m in lower], axis=0)
+        gain, n = 2 * kept[grade > k].mean(axis=0) - left, min(m.sum() for m in lower)
+        p = (left[gain.argmax()] * n + 1) / (n + 2)
+        cuts[k] = CUTS[(gain >= gain.max() - np.sqrt(p * (1 - p) / n)).argmax()]
+        total += gain.max()
+    return cuts, total
+
+
+def fit_and_cut(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int) -> Grader:
+    """Train on all rows, with the selection and the cuts that do best on a held-out third."""
+    part = np.random.default_rng(4).permutation(len(rows)) % 3
+    first, held = ([r for r, p in zip(rows, part, strict=True) if (p == 0) == side] for side in (False, True))
+    cuts, clear = np.full(grades - 1, THRESHOLD), CLEAR[0]
+    if first and held:
+        words, best = telling_words(first, grades), -np.inf
+        for value in CLEAR:
+            found, gain = chosen_cuts(fit(first, grades, clear=value), held, words, grades)
+            if gain > best:
+                cuts, clear, best = found, value, gain
+    grader = fit(rows, grades, clear=clear)
+    grader.cuts = cuts
+    return grader
+
+
 def train_grader(rated: DataFrame, grades: int, id_col="doc_id", grade_col="grade", text_col="text", rows: int = TRAIN_ROWS) -> Grader:
     """Fit on at most ``rows`` rated documents, those whose ids hash lowest; all where fewer.
 
@@ -167,7 +238,7 @@ def train_grader(rated: DataFrame, grades: int, id_col="doc_id", grade_col="grad
     sample = sorted(counted.limit(2 * rows).toLocalIterator(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["which"]))
     if not sample:
         return Grader(np.zeros(0, np.uint64), np.zeros(0), np.full(grades - 1, -60.0))
-    return fit([(r["grade"], np.frombuffer(r["which"], "<u8"), np.frombuffer(r["share"], "<f4")) for r in sample], grades)
+    return fit_and_cut([(r["grade"], np.frombuffer(r["which"], "<u8"), np.frombuffer(r["share"], "<f4")) for r in sample], grades)
 
 
 def _graded(batches, shared, accepted):
@@ -181,29 +252,31 @@ def _graded(batches, shared, accepted):
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "expected_grade", "tail"])
 
 
-def grade(docs: DataFrame, grader: Grader, accepted: int, id_col="doc_id", text_col="text", threshold: float = THRESHOLD) -> DataFrame:
+def grade(docs: DataFrame, grader: Grader, accepted: int, id_col="doc_id", text_col="text", threshold: float | None = None) -> DataFrame:
     """(doc_id, expected_grade, tail, kept) for every row: tail is P(grade >= accepted).
 
+    Kept is what reaches ``threshold``, by default the grader's own cut.
+
     A null text is an empty one, which has no feature: its grade follows from the
     thresholds alone.  Repeated rows are each graded; other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(grader)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = rows.mapInArrow(lambda it: _graded(it, shared, accepted), "doc_id long, expected_grade double, tail double")
-    return out.withColumn("kept", F.col("tail") >= threshold)
+    return out.withColumn("kept", F.col("tail") >= (grader.cut(accepted) if threshold is None else threshold))
 
 
-def keep_graded(docs: DataFrame, grader: Grader, accepted: int, text_col="text", threshold: float = THRESHOLD) -> DataFrame:
+def keep_graded(docs: DataFrame, grader: Grader, accepted: int, text_col="text", threshold: float | None = None) -> DataFrame:
     """The rows of ``docs`` that are accepted; columns unchanged, one pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(grader)
-    columns = docs.columns
+    columns, least = docs.columns, grader.cut(accepted) if threshold is None else threshold
 
     def chosen(batches):
         for batch in batches:
             texts = batch.column(columns.index(text_col)).cast(pa.large_string()).fill_null("")
             pair = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), texts], ["doc_id", "text"])
             tail = np.concatenate([np.asarray(b.column("tail")) for b in _graded([pair], shared, accepted)] or [np.zeros(0)])
-            yield batch.filter(pa.array(tail >= threshold))
+            yield batch.filter(pa.array(tail >= least))
 
     return docs.mapInArrow(chosen, docs.schema)
 

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from foliospark.llm import html, language, mixing, quality, warc
@@ -108,6 +109,21 @@ def test_grader_on_held_out_documents(spark):
     assert {r.doc_id for r in quality.keep_graded(test, grader, 2).collect()} == {i for i, r in got.items() if r.kept}
 
 
+def test_toxic_words_outweigh_sound_ones(spark):
+    """Toxic documents with a clear word go, though all their other words speak for them."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rated = quality.ratings(docs, spark.read.parquet("/root/testdata/sf0.1/labels.parquet")).cache()
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
+    grader = quality.train_grader(rated.filter(half == 0), 3)
+    held = rated.filter(half == 1)
+    kept = quality.grade(held, grader, 2).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    toxic = F.lower("text").rlike(r"\b(trash|pathetic|idiot|disgusting|worthless|stupid|clown|loser|scum|moron)\b")
+    shares = held.join(kept, "doc_id").select("grade", toxic.alias("word"), F.col("kept").cast("int").alias("kept"))
+    share = {(r.grade, r.word): r.share for r in shares.groupBy("grade", "word").agg(F.avg("kept").alias("share")).collect()}
+    rated.unpersist()
+    assert share[1, True] <= 0.15 and share[2, False] >= 0.95 and share[0, False] <= 0.02, share
+
+
 def test_grader_edges(spark):
     empty = rated(spark, 3, 1).limit(0)
     neutral = quality.train_grader(empty, 3)
