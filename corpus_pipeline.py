@@ -25,11 +25,11 @@ def quality(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """The document with the smallest id of each group of near copies.
+    """The document with the smallest id of each group of near copies, of similarity 0.8 or more.
 
     Rows that repeat an id all go or stay together; rows without an id stay.
     """
-    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    gone = near_duplicates(docs, percent=80).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -124,6 +124,14 @@ def test_toxic_words_outweigh_sound_ones(spark):
     assert share[1, True] <= 0.15 and share[2, False] >= 0.95 and share[0, False] <= 0.02, share
 
 
+def test_near_dedup_stage_links_from_four_fifths(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = base[:54] + [f"x{k}" for k in range(6)]  # 50 of 62 runs shared
+    far = base[:51] + [f"y{k}" for k in range(9)]  # 47 of 65 with the first, 47 of 65 with the second
+    rows = docs_of(spark, [(1, " ".join(base), "a"), (2, " ".join(near), "a"), (3, " ".join(far), "a")])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, rows, None).collect()) == [1, 3]
+
+
 def test_grader_edges(spark):
     empty = rated(spark, 3, 1).limit(0)
     neutral = quality.train_grader(empty, 3)
