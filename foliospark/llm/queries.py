@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..session import configure
-from .checks import ARCHIVE_SQL, CONTAMINATION_SQL, RULES_SQL
+from .checks import ARCHIVE_SQL, CONTAMINATION_SQL, REPAIR_SQL, RULES_SQL, SPELLING_SQL
 from .decontaminate import contamination
 from .html import main_text
 from .language import identified
 from .mixing import mixture
 from .neardup import near_duplicates
+from .packing import packed
 from .pii import personal_data
 from .quality import grade, ratings, train_grader
+from .repair import damaged, repair_report
 from .rules import quality_report
+from .spelling import lexicon, spelling_variants
 from .tokens import read_tokens, write_tokens
 from .warc import archived_pages
 
@@ -101,3 +106,20 @@ def op5(spark, sf_dir):
 @query("op6_warc", ARCHIVE_SQL)
 def op6(spark, sf_dir):
     return archived_pages(table(spark, sf_dir, "pages")).drop("intact")
+
+
+@query("op11_spelling_variants", SPELLING_SQL)
+def op11(spark, sf_dir):
+    return spelling_variants(lexicon(table(spark, sf_dir, "documents"), slip=199))
+
+
+@query("op12_conversation_repair", REPAIR_SQL)
+def op12(spark, sf_dir):
+    return repair_report(damaged(table(spark, sf_dir, "conversations")))
+
+
+@query("op13_best_fit_packing")
+def op13(spark, sf_dir):
+    pieces = packed(table(spark, sf_dir, "documents"), vocabulary())
+    digest = F.crc32("ids").alias("ids_crc32")
+    return pieces.select("doc_id", "piece", "start", "length", digest, "sequence_id", "offset")
