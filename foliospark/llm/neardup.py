@@ -5,15 +5,23 @@ Steps, all Spark jobs:
 1. Every text becomes a set of 5-word runs (A-Z folded), a MinHash signature and one key per
    band.  Equal word sequences are one node (smallest doc_id), so a group of exact copies of
    any size costs one node.
-2. Nodes sharing a band key are candidates.  Inside a bucket nodes are compared with a few
-   pivots, never all with all.  The first pivot is the text with most copies.  Whatever a
-   round links is merged, and only buckets that still hold several components go on, with
-   more pivots each; the last round compares what is left between components, so every
-   pair the bands proposed is either inside one component or has been compared.
+2. Nodes sharing a band key are candidates.  Inside a bucket nodes are first compared with
+   the bucket's pivot only: the node that shares most buckets with others, so the one nearest
+   to the middle of its group.  What this links is merged.
 3. A pair's signatures are read in batches.  After each batch the pair is dropped when the
    posterior probability (uniform prior, binomial likelihood) that its similarity reaches the
    threshold is below ``miss``.  Batches never accept a pair.
 4. Survivors are confirmed on the full sets with integer arithmetic.
+5. Pairs of a bucket that lie in different components still have to be compared, but not all
+   with all.  Every node is described by its difference from the pivot: the runs it adds and
+   those it lacks.  Of two such nodes one at least is not linked with the pivot, so a linked pair
+   differs from the pivot in the same way for more than half of the nearer one's difference.
+   Hence it shares a run in the first half of the one's differences and the first of the
+   other's, in any order both keep (``prefix_lengths``).  The order puts the rarest first, as
+   counted on a sample of the group, so what a whole group shares comes last and near copies
+   that differ each in its own way meet no partner.  A join on (pivot, differing run) with the
+   bounds on sizes and positions proposes the pairs, and steps 3 and 4 verify them.  Nothing is
+   lost: a wrong count only makes the order worse.
 
 With 28 bands of 5 rows a pair of similarity 0.85 shares no band with probability 7e-8.
 """
@@ -167,6 +175,123 @@ def _confirm(batches, percent, width):
         yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
 
+def prefix_lengths(a, size, pivot, percent: int):
+    """How many of its ``a`` differences from a pivot a node must show: as the nearer one, as the far one.
+
+    Sets x, y are linked when their difference is at most q (x + y), q = (100 - percent) / (100 +
+    percent).  With differences a, b from the pivot p they share s = (a + b - difference) / 2 of
+    them.  If y is not linked with p, b > q (y + p), so s > (a + q (p - x)) / 2.  Also a is at least b
+    less the pair's difference, so s >= b - q (x + y), where x <= 100 y / percent.  Of two sets
+    that share s members, the first len - s + 1 members in a common order share one.
+    """
+    whole, less = 100 + percent, 100 - percent
+    near = (a * whole + less * (pivot - size)) // (2 * whole) + 1
+    far = -(-(a * whole * percent - less * size * whole) // (whole * percent))
+    return np.maximum(a - near + 1, 0), a - np.maximum(far, 1) + 1
+
+
+_LACKED = np.uint64(0x9E6C63D0876A9A47)
+PREFIX = "pivot long, run long, node long, label long, far boolean, a long, size long, place long, near_one boolean, far_one boolean"
+
+
+def _differences(batches, percent, width, whole):
+    """Prefix rows of (node, pivot) pairs; with ``whole``, all differences in any order."""
+    unpack, runs = zstandard.ZstdDecompressor(), {}
+
+    def shown(z):
+        if z not in runs:
+            if len(runs) > 64:
+                runs.clear()
+            data = np.frombuffer(unpack.decompress(z), np.uint8)
+            runs[z] = shingles(word_hashes(data, np.array([0, len(data)]), SPACED)[0], width)
+        return runs[z]
+
+    names = [f.split()[0] for f in PREFIX.split(", ")]
+    held, size = [], 0
+
+    def block():
+        differ, same = zip(*held, strict=True)
+        n = np.array([len(d) for d in differ])
+        pivot, node, label, far, a, own, near, long_ = (np.repeat(v, n) for v in zip(*same, strict=True))
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        run = np.concatenate(differ).view(np.int64)
+        columns = [pivot, run, node, label, far, a, own, place, place < near, place < long_]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    for batch in batches:
+        rows = (batch.column(c).to_pylist() for c in ("pivot", "node", "label", "far", "z_a", "z_b", "common"))
+        for pivot, node, label, far, own, other, common in zip(*rows, strict=True):
+            x, p = shown(own), shown(other)
+            differ = np.concatenate([np.setdiff1d(x, p, True), np.setdiff1d(p, x, True) ^ _LACKED])
+            a = len(differ)
+            if common:
+                # rarest first: what the sample did not show often, then by its count there
+                known = np.frombuffer(common, "<u8").reshape(-1, 2)
+                at = np.minimum(np.searchsorted(known[:, 0], differ), len(known) - 1)
+                often = np.where(known[at, 0] == differ, known[at, 1], 0)
+                differ = differ[np.lexsort((differ, often))]
+            else:
+                differ.sort()
+            near, long_ = (int(v) for v in prefix_lengths(a, len(x), len(p), percent))
+            long_ = long_ if far else 0
+            n = a if whole else max(near, long_)
+            if n:
+                held.append((differ[:n], (pivot, node, label, far, a, len(x), near, long_)))
+                size += n
+            if size > 1 << 17:
+                yield block()
+                held, size = [], 0
+    if held:
+        yield block()
+
+
+#: one node in so many of a pivot's group is looked at for the order, and the share that makes a run common
+SAMPLE, COMMON = 8, 32
+
+
+def _proposed(rows, texts, percent, width):
+    """Pairs (a, b) of nodes with different labels that may be linked, of ``rows`` (node, pivot, label, far)."""
+    z = rows.join(texts.toDF("node", "z_a"), "node").join(texts.toDF("pivot", "z_b"), "pivot")
+    sample = z.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).withColumn("common", F.lit(None).cast("binary"))
+    seen = sample.mapInArrow(lambda it: _differences(it, percent, width, True), PREFIX)
+    size = rows.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).groupBy("pivot").agg(F.countDistinct("node").alias("nodes"))
+    counts = seen.groupBy("pivot", "run").agg(F.count("*").alias("n")).filter("n > 1").join(size, "pivot").filter(F.col("n") * COMMON >= F.col("nodes"))
+    # per pivot (run, count) pairs, sorted by run as unsigned numbers; at most COMMON times a mean difference
+    one = F.struct(F.col("run").bitwiseXOR(F.lit(-(1 << 63))).alias("by"), "run", "n")
+    flip = F.transform(F.sort_array(F.collect_list(one)), lambda r: F.array(r["run"], r["n"]))
+    common = counts.groupBy("pivot").agg(F.flatten(flip).alias("common"))
+    common = stored(common, "common")
+    full = z.join(common, "pivot", "left")
+    prefix = stored(full.mapInArrow(lambda it: _differences(_packed_common(it), percent, width, False), PREFIX), "prefix")
+    one = prefix.filter("near_one").select("pivot", "run", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "far", "a", "size", "place")])
+    two = prefix.filter("far_one").select("pivot", "run", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "a", "size", "place")])
+    whole, less = 100 + percent, 100 - percent
+    both = F.col("x_size") + F.col("y_size")
+    shared = whole * (F.col("x_a") + F.col("y_a")) - less * both
+    left = F.least(F.col("x_a") - F.col("x_place"), F.col("y_a") - F.col("y_place"))
+    order = F.struct("x_a", "x_node") < F.struct(F.col("y_a").alias("x_a"), F.col("y_node").alias("x_node"))
+    fits = (
+        (one["pivot"] == two["pivot"])
+        & (one["run"] == two["run"])
+        & (F.col("x_label") != F.col("y_label"))
+        & (~F.col("x_far") | order)
+        & (100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size"))
+        & (whole * F.abs(F.col("x_a") - F.col("y_a")) <= less * both)
+        & (2 * whole * left >= shared)
+    )
+    pairs = one.join(two, fits).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+    return pairs.distinct()
+
+
+def _packed_common(batches):
+    """The list column ``common`` as bytes."""
+    for batch in batches:
+        at = batch.schema.get_field_index("common")
+        lists = batch.column(at).to_pylist()
+        data = [None if v is None else np.array(v, np.int64).astype("<i8").tobytes() for v in lists]
+        yield batch.set_column(at, "common", pa.array(data, pa.binary()))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable over ``edges`` (a, b), for every node in them.
 
@@ -223,40 +348,30 @@ def near_duplicates(
     nodes = first.select("node", "n", groups["k1"], groups["k2"], "sig", "bands").dropDuplicates(["node", "k1", "k2"])
 
     rows_of = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    several = rows_of.groupBy("bucket").agg(
-        F.max(F.struct(F.col("n"), (-F.col("node")).alias("m"))).alias("best"), F.min("node").alias("lo"), F.max("node").alias("hi")
-    )
-    several = several.filter("lo < hi").select("bucket", (-F.col("best.m")).alias("pivot"))
-    members = stored(rows_of.join(several, "bucket").select("bucket", "node", "pivot"), "members")
+    sizes = rows_of.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("held"))
+    shared = stored(rows_of.join(sizes.filter("lo < hi").select("bucket", "held"), "bucket"), "shared")
+    met = shared.groupBy("node").agg(F.sum("held").alias("met"))
+    best = F.max(F.struct("met", "n", (-F.col("node")).alias("m"))).alias("best")
+    pivots = shared.join(met, "node").groupBy("bucket").agg(best).select("bucket", (-F.col("best.m")).alias("pivot"))
+    members = stored(shared.select("bucket", "node").join(pivots, "bucket"), "members")
     wanted = members.select("node").distinct()
     nodes = stored(nodes.join(wanted, "node", "left_semi").select("node", "sig"), "nodes")
     zipped = picked.filter("doc_id is not null").mapInArrow(_zipped, "node long, z binary")
     texts = stored(zipped.join(wanted, "node", "left_semi").dropDuplicates(["node", "z"]), "texts")
 
-    links, spread, last, open_rows = None, 1, False, members
-    while True:
-        if spread == 1:
-            pairs = open_rows.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        else:
-            # per bucket up to ``spread`` pivots (all members in the last round), picked by hash
-            slot = F.col("node") if last else F.pmod(F.xxhash64("node"), F.lit(spread))
-            picks = open_rows.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node", F.lit(spread)).alias("h"), "node", "label")).alias("p"))
-            picks = picks.select("bucket", F.col("p.node").alias("pivot"), F.col("p.label").alias("plabel"))
-            pairs = open_rows.join(picks, "bucket").filter("label <> plabel")
-            pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        found = _check(stored(pairs.distinct(), "pairs"), nodes, texts, percent, width, miss)
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        if spread > 1 and last:
-            break
-        held = members.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        split = held.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
-        open_rows = stored(held.join(split.select("bucket", "size"), "bucket"), "open")
-        most = open_rows.agg(F.max("size")).first()[0]
-        if not most:
-            break
-        spread *= 8
-        last = most <= 4 * spread
+    spokes = members.filter("node <> pivot").select("node", "pivot").distinct()
+    pairs = spokes.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    links = _check(stored(pairs.distinct(), "pairs"), nodes, texts, percent, width, miss)
+    labels = components(links)
+
+    # pairs without the pivot, in buckets where not all others are in one component
+    held = members.filter("node <> pivot").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = held.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+    open_rows = held.join(split.select("bucket"), "bucket").select("node", "pivot", "label").distinct()
+    linked = links.select(F.col("a").alias("node"), F.col("b").alias("pivot")).union(links.select("b", "a")).withColumn("linked", F.lit(True))
+    open_rows = open_rows.join(linked, ["node", "pivot"], "left").select("node", "pivot", "label", F.col("linked").isNull().alias("far"))
+    found = _check(stored(_proposed(stored(open_rows, "open"), texts, percent, width), "pairs"), nodes, texts, percent, width, miss)
+    labels = components(links.union(found))
 
     groups = groups.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("component"))
     out = rows.join(groups, ["k1", "k2"], "left")

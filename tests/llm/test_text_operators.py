@@ -76,6 +76,53 @@ def test_near_duplicates_match_all_pairs(spark, texts):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(s), want[i], want[i] == i) for i, s in sets.items()}
 
 
+def near_copies(rng):
+    """Texts at all distances from a middle: the words replaced, cut, added, or only a passage shared."""
+    out = []
+    base = words(150, rng)
+    for _ in range(260):
+        own = list(base)
+        for _ in range(int(rng.random() ** 2 * 30)):
+            own[rng.randrange(len(own))] = f"r{rng.randrange(10**6)}"
+        out.append(own)
+    absent = words(120, rng)  # no text is this one, and all lack another part of it
+    for _ in range(200):
+        own = list(absent)
+        for _ in range(rng.randint(3, 9)):
+            own[rng.randrange(len(own))] = rng.choice(["x", "y", f"q{rng.randrange(9)}"])
+        out.append(own)
+    out += [base[: 150 - k] for k in range(0, 110, 2)] + [base + [f"t{j}" for j in range(k)] for k in range(1, 60)]
+    out += [absent[:60] + words(rng.randint(2, 60), rng) for _ in range(120)]
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+def test_groups_of_near_copies_match_all_pairs(spark):
+    rows = near_copies(random.Random(11))
+    sets = shingle_sets(rows)
+    for percent in (85, 80):
+        want = component_ids(sets, percent)
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, rows), percent=percent).collect()}
+        assert got == want
+
+
+def test_linked_sets_share_a_prefix():
+    rng = random.Random(2)
+    for _ in range(4000):
+        percent = rng.choice([80, 85, 90])
+        p = set(rng.sample(range(90), rng.randint(3, 60)))
+        x = {v for v in p if rng.random() < 0.8} | set(rng.sample(range(90), rng.randint(1, 6)))
+        y = {v for v in x if rng.random() < 0.97} | set(rng.sample(range(90), rng.randint(0, 2)))
+        if 100 * len(x & y) < percent * len(x | y) or 100 * len(y & p) >= percent * len(y | p):
+            continue
+        order = rng.sample(range(90), 90)
+        a, b = ([v for v in order if v in s ^ p] for s in (x, y))
+        near, _ = neardup.prefix_lengths(len(a), len(x), len(p), percent)
+        _, far = neardup.prefix_lengths(len(b), len(y), len(p), percent)
+        if len(x) == len(y) == len(x & y):
+            continue  # equal sets have equal differences
+        assert len(x ^ p) == 0 or set(a[:near]) & set(b[:far])
+
+
 def test_near_duplicates_edges(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (9, "A B C d e f"), (None, None)]
