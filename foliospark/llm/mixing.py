@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import fresh, own_columns, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: weights of the sources in order, repeating
@@ -177,11 +177,11 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS) -> DataFrame:
     """The rows of ``docs``, each as often as its number of copies; columns unchanged."""
+    words, key, source, size, many, copy = fresh(docs.columns, "_words", "_key", "_source", "_size", "_many", "_copy")
     own = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     copies = copies_of(docs, id_col, text_col, source_col, weights).filter("copies > 0")
-    copies = copies.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    rows = docs.withColumn("_own", own)
-    same = rows[id_col].eqNullSafe(copies["_id"]) & rows[source_col].cast("string").eqNullSafe(copies["_source"]) & (rows["_own"] == copies["_size"])
-    rows = rows.join(copies, same)
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return rows.select(*[F.col(c) for c in docs.columns])
+    copies = copies.select(*[F.col(c).alias(n) for c, n in (("doc_id", key), ("source", source), ("size", size), ("copies", many))])
+    rows = docs.withColumn(words, own)
+    same = F.col(id_col).eqNullSafe(F.col(key)) & F.col(source_col).cast("string").eqNullSafe(F.col(source)) & (F.col(words) == F.col(size))
+    rows = rows.join(copies, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(many))))
+    return rows.select(*own_columns(docs))

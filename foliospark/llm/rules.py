@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import fresh, own_columns
+
 #: a word: anything but blank, tab, line feed, vertical tab, form feed, carriage return
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -132,8 +134,10 @@ def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, text_col: str
     A null text counts as an empty one.
     """
     order = measured_order(docs, base_rules() + method_rules() if rules is None else rules, text_col)
-    rows = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_words", words_of(F.col("_text")))
-    return rows.withColumn("kept", cascade(order, F.col("_text"), F.col("_words"))).drop("_text", "_words")
+    text, words = fresh(docs.columns, "_text", "_words")
+    rows = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit(""))).withColumn(words, words_of(F.col(text)))
+    kept = cascade(order, F.col(text), F.col(words)).alias("kept")
+    return rows.select(*[c for c, n in zip(own_columns(docs), docs.columns, strict=True) if n.lower() != "kept"], kept)
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import scratch
 
@@ -16,3 +17,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh(taken, *names: str) -> list[str]:
+    """``names``, lengthened until none is a column in ``taken``; Spark does not tell case apart."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own_columns(df: DataFrame) -> list:
+    """All columns by name, whatever characters the names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
