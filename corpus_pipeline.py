@@ -15,6 +15,7 @@ from foliospark.llm.mixing import mixed_documents
 from foliospark.llm.neardup import near_duplicates
 from foliospark.llm.quality import keep_graded
 from foliospark.llm.queries import SOUND, quality_grader, table, vocabulary
+from foliospark.llm.tables import fresh, own_columns
 from foliospark.llm.tokens import read_tokens, write_tokens
 from foliospark.session import configure, scratch
 
@@ -29,8 +30,9 @@ def near_dedup(spark, docs, sf_dir):
 
     Rows that repeat an id all go or stay together; rows without an id stay.
     """
-    gone = near_duplicates(docs, percent=80).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    (key,) = fresh(docs.columns, "_gone")
+    gone = near_duplicates(docs, percent=80).filter("not kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti").select(*own_columns(docs))
 
 
 def decontaminate(spark, docs, sf_dir):
@@ -38,10 +40,11 @@ def decontaminate(spark, docs, sf_dir):
 
     Of rows that repeat an id all go if one is hit; rows without an id are told by their text.
     """
+    (hit,) = fresh(docs.columns, "_hit")
     key = F.coalesce(F.col("doc_id"), -F.abs(F.xxhash64("text")) - 1)
-    found = contamination(docs.withColumn("doc_id", key), table(spark, sf_dir, "benchmark"))
-    hit = found.filter("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, key == F.col("_hit"), "left_anti").select(*docs.columns)
+    found = contamination(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = found.filter("contaminated").select(F.col("doc_id").alias(hit)).distinct()
+    return docs.join(gone, key == F.col(hit), "left_anti").select(*own_columns(docs))
 
 
 def mix(spark, docs, sf_dir):
