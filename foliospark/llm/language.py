@@ -1,11 +1,13 @@
 """Language identification from averaged hashed subword embeddings and a linear softmax.
 
-A text is the mean of the embeddings of its subwords (words, and runs of 1 to 4 characters
-inside words, hashed into a table); a linear layer and a softmax give the languages'
+A text is the mean of the embeddings of its subwords (runs of 1 to 4 letters, told apart by
+where in a word they stand, hashed into a table); a linear layer and a softmax give the languages'
 probabilities.  Embeddings and layer are trained together by stochastic gradient descent in
-numpy, on hashed counts of a bounded sample of labelled rows.  A part of that sample is set
-aside to calibrate: one temperature makes the probabilities honest, and the rejection bound
-is the lowest at which the accepted part reaches the wanted precision.
+numpy, on hashed counts of a bounded sample of labelled rows.  The sample holds as many rows of
+each language, or all it has, so a rare language is learned at any size of the corpus; the
+shares in the corpus come back as priors.  A part of the sample is set aside to calibrate, each row
+weighing as many as it stands for: one temperature makes the probabilities honest, and the
+rejection bound is the lowest at which the accepted part reaches the wanted precision.
 
 Prediction reads whole texts.  The mean of embeddings times the layer is the mean of
 (embedding times layer), so each subword costs one look-up of a few numbers.
@@ -13,6 +15,7 @@ Prediction reads whole texts.  The mean of embeddings times the layer is the mea
 
 from __future__ import annotations
 
+import pickle
 import sys
 import unicodedata
 from dataclasses import dataclass
@@ -27,8 +30,6 @@ BUCKETS = 1 << 16
 WIDTH = 16
 #: labelled rows used for training and calibration, at most
 TRAIN_ROWS = 8_000
-#: subword occurrences taken from one labelled row for training, spread over the whole text
-TRAIN_SUBWORDS = 4096
 EPOCHS = 5
 RATE = 0.2
 PRECISION = 0.99
@@ -103,13 +104,11 @@ def _counted(batches):
             which, edges = which[order], np.searchsorted(rows[order], np.arange(b - a + 1))
             out = []
             for i in range(b - a):
-                own = which[edges[i] : edges[i + 1]]
-                own = own[:: -(-len(own) // TRAIN_SUBWORDS)] if len(own) else own
-                out.append(own.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(out, pa.binary())],
-                ["doc_id", "lang", "which"],
-            )
+                own, n = np.unique(which[edges[i] : edges[i + 1]], return_counts=True)
+                out.append((own.astype("<u4").tobytes(), n.astype("<u4").tobytes()))
+            which, times = zip(*out, strict=True)
+            columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(which, pa.binary()), pa.array(times, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "which", "times"])
 
 
 @dataclass
@@ -132,59 +131,96 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _calibrate(logits: np.ndarray, truth: np.ndarray, precision: float) -> tuple[float, float]:
+def _calibrate(logits: np.ndarray, truth: np.ndarray, weight: np.ndarray, precision: float) -> tuple[float, float]:
     """The temperature of least log loss, and the lowest score whose accepted rows reach ``precision``."""
     if not len(truth):
         return 1.0, 0.5
     heats = np.geomspace(0.05, 10, 60)
-    loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in heats]
+    loss = [-np.average(np.log(np.maximum(softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)), weights=weight) for t in heats]
     best = float(heats[int(np.argmin(loss))])
     p = softmax(logits / best)
     top, right = p.max(axis=1), p.argmax(axis=1) == truth
     order = np.argsort(-top, kind="stable")
-    enough = np.cumsum(right[order]) >= precision * np.arange(1, len(order) + 1)
+    enough = np.cumsum((right * weight)[order]) >= precision * np.cumsum(weight[order])
     return best, float(top[order][np.flatnonzero(enough)[-1]]) if enough.any() else 1.0
 
 
-def fit(rows: list[tuple[str, np.ndarray]], epochs: int = EPOCHS, rate: float = RATE, precision: float = PRECISION) -> Languages:
-    """Train on (language, subwords); every fifth row, in the given order, is kept for calibration."""
-    names = sorted({lang for lang, _ in rows})
+def fit(rows, stands: dict[str, float] | None = None, epochs: int = EPOCHS, rate: float = RATE, precision: float = PRECISION) -> Languages:
+    """Train on (language, subwords, their counts); a row of a language stands for ``stands`` rows.
+
+    Every fifth row, in the given order, is kept for calibration.
+    """
+    names = sorted({lang for lang, _, _ in rows})
+    stands = stands or {}
     rng = np.random.default_rng(11)
     embed, layer, bias = rng.normal(0, 0.1, (BUCKETS, WIDTH)), np.zeros((WIDTH, len(names))), np.zeros(len(names))
     number = {n: i for i, n in enumerate(names)}
+    rows = [(lang, which, times / max(times.sum(), 1)) for lang, which, times in rows]
     held = [r for i, r in enumerate(rows) if i % 5 == 4]
     used = [r for i, r in enumerate(rows) if i % 5 != 4] or rows
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(used)):
-            lang, which = used[i]
+            lang, which, share = used[i]
             if not len(which):
                 continue
-            mean = embed[which].mean(axis=0)
+            mean = share @ embed[which]
             error = softmax(mean @ layer + bias)
             error[number[lang]] -= 1
             back = layer @ error
             layer -= step * np.outer(mean, error)
             bias -= 0.1 * step * error
-            own, n = np.unique(which, return_counts=True)
             # the step of a table row counts its occurrences, relative to the text's length
-            embed[own] -= step * 20 * np.outer(n / len(which), back)
+            embed[which] -= step * 20 * np.outer(share, back)
+    # a language drawn more sparsely than others is more likely than the sample says
+    weight = np.array([stands.get(n, 1.0) for n in names])
+    bias = bias + np.log(weight / weight.mean()) if len(names) else bias
     model = Languages(names, embed @ layer, bias, 1.0, 0.0)
-    logits = np.array([model.table[w].mean(axis=0) + bias if len(w) else bias for _, w in held]).reshape(-1, len(names))
-    model.temperature, model.bound = _calibrate(logits, np.array([number[lang] for lang, _ in held], int), precision)
+    logits = np.array([share @ model.table[w] + bias if len(w) else bias for _, w, share in held]).reshape(-1, len(names))
+    truth = np.array([number[lang] for lang, _, _ in held], int)
+    model.temperature, model.bound = _calibrate(logits, truth, weight[truth], precision)
     return model
 
 
+def level(counts: list[int], rows: int) -> int:
+    """The most rows a language may give so that all together give about ``rows``, at least 1."""
+    left = rows
+    for i, n in enumerate(sorted(counts)):
+        share = max(1, left // (len(counts) - i))
+        if n > share:
+            return share
+        left -= n
+    return max([1, *counts])
+
+
+def _trained(batches, stands):
+    """One row: the model fitted to all the sample's rows, whose order does not matter."""
+    rows = [row for batch in batches for row in batch.to_pylist()]
+    if rows:
+        rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["which"], r["times"]))
+        model = fit([(r["lang"], np.frombuffer(r["which"], "<u4"), np.frombuffer(r["times"], "<u4").astype(float)) for r in rows], stands)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+
 def train_languages(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", rows: int = TRAIN_ROWS) -> Languages | None:
-    """Fit on at most about ``rows`` labelled rows, those whose ids hash lowest; None without any."""
+    """Fit on about ``rows`` labelled rows, as many of each language or all it has; None without any.
+
+    Rows are drawn by a hash of id and text; rows that agree in id, language and text count once.
+    The fitting runs in one task; the driver gets the rows per language and the model.
+    """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     labelled = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    n = labelled.select("doc_id").count()
-    if n > rows:
-        labelled = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * rows / n)))
-    counted = labelled.mapInArrow(_counted, "doc_id long, lang string, which binary").limit(2 * rows)
-    sample = sorted(counted.toLocalIterator(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["which"]))
-    return fit([(r["lang"], np.frombuffer(r["which"], "<u4")) for r in sample]) if sample else None
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return None
+    most = level(list(counts.values()), rows)
+    stands = {lang: max(1.0, n / most) for lang, n in counts.items()}
+    if sum(counts.values()) > rows:
+        rate = docs.sparkSession.createDataFrame([(lang, int((1 << 20) / s)) for lang, s in stands.items()], "lang string, rate long")
+        labelled = labelled.join(rate, "lang").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("rate"))
+    counted = labelled.select("doc_id", "lang", "text").dropDuplicates().mapInArrow(_counted, "doc_id long, lang string, which binary, times binary")
+    found = counted.repartition(1).mapInArrow(lambda it: _trained(it, stands), "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def _predicted(batches, shared):

@@ -5,7 +5,7 @@ by all grades and ordered thresholds b_0 < b_1 < ...  Features are the words of
 (letters and digits, A-Z folded; present or not) and its shape (shares of word endings, of
 case and length classes, of words repeated at once), each under a 64-bit hash, so texts of
 any length do not collide.  Training is stochastic gradient descent in numpy over a bounded
-sample of rated documents, of which the driver sees hashes and counts, never texts; only
+sample of rated documents, of which one task gets all hashes and counts, never texts; only
 features whose frequency differs clearly between grades get a weight.  How clearly, and the
 tail probability from which a document is kept, are chosen on a held-out third of the rated
 rows: as many accepted documents as possible are to stay, and as few as possible of those of
@@ -16,6 +16,7 @@ P(grade >= accepted) for selection.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +28,6 @@ from .words import ALNUM, SPACED, mix, text_blocks, word_hashes
 
 #: rated documents used for fitting, about, at most
 TRAIN_ROWS = 6_000
-#: distinct features of one rated document used for fitting, those that hash lowest
-TRAIN_FEATURES = 2048
 #: chi-square values, with one degree of freedom, from which a feature is used: one of these
 CLEAR = (18.0, 30.0, 50.0)
 EPOCHS = 20
@@ -71,7 +70,7 @@ def values(keys: np.ndarray, counts: np.ndarray, n_words) -> np.ndarray:
     return np.where(keys & np.uint64(1), np.sqrt(counts / np.maximum(n_words, 1)), 1.0)
 
 
-def _counted(batches, limit):
+def _counted(batches):
     for batch in batches:
         ids, grades = batch.column(0), batch.column(1)
         for row, data, offsets in text_blocks(batch.column(2)):
@@ -81,8 +80,7 @@ def _counted(batches, limit):
             out = []
             for i in range(len(offsets) - 1):
                 own, n = np.unique(keys[edges[i] : edges[i + 1]], return_counts=True)
-                own, x = own[:limit], values(own, n, n_words[i])[:limit]
-                out.append((own.astype("<u8").tobytes(), x.astype("<f4").tobytes()))
+                out.append((own.astype("<u8").tobytes(), values(own, n, n_words[i]).astype("<f4").tobytes()))
             which, share = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(row, len(out)), grades.slice(row, len(out)), pa.array(which, pa.binary()), pa.array(share, pa.binary())],
@@ -222,23 +220,30 @@ def fit_and_cut(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int) ->
     return grader
 
 
+def _trained(batches, grades):
+    """One row: the grader fitted to all the sample's rows, whose order does not matter."""
+    rows = [row for batch in batches for row in batch.to_pylist()]
+    if rows:
+        rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["grade"], r["which"]))
+        found = fit_and_cut([(r["grade"], np.frombuffer(r["which"], "<u8"), np.frombuffer(r["share"], "<f4")) for r in rows], grades)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found)], pa.binary())], ["model"])
+
+
 def train_grader(rated: DataFrame, grades: int, id_col="doc_id", grade_col="grade", text_col="text", rows: int = TRAIN_ROWS) -> Grader:
-    """Fit on at most ``rows`` rated documents, those whose ids hash lowest; all where fewer.
+    """Fit on about ``rows`` rated documents, drawn by a hash of id and text; on all where there are fewer.
 
-    Rows without a grade or with one outside 0 .. grades-1 are not used.  With no rated rows
-    the grader is neutral and accepts everything.
+    Rows without a grade or with one outside 0 .. grades-1 are not used, rows that agree in id,
+    grade and text count once.  With no rated rows the grader is neutral and accepts
+    everything.  The fitting runs in one task; the driver gets the weights.
     """
     used = rated.filter(F.col(grade_col).between(0, grades - 1))
     used = used.select(F.col(id_col).cast("long").alias("doc_id"), F.col(grade_col).cast("int").alias("grade"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    share = used.select("doc_id").count()
-    if share > rows:
-        # about ``rows`` of them by hash, before any text is read
-        used = used.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * rows / share)))
-    counted = used.mapInArrow(lambda it: _counted(it, TRAIN_FEATURES), "doc_id long, grade int, which binary, share binary")
-    sample = sorted(counted.limit(2 * rows).toLocalIterator(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["which"]))
-    if not sample:
-        return Grader(np.zeros(0, np.uint64), np.zeros(0), np.full(grades - 1, -60.0))
-    return fit_and_cut([(r["grade"], np.frombuffer(r["which"], "<u8"), np.frombuffer(r["share"], "<f4")) for r in sample], grades)
+    n = used.select("doc_id").count()
+    if n > rows:
+        used = used.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.lit(int((1 << 20) * rows / n)))
+    counted = used.dropDuplicates().mapInArrow(_counted, "doc_id long, grade int, which binary, share binary")
+    found = counted.repartition(1).mapInArrow(lambda it: _trained(it, grades), "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else Grader(np.zeros(0, np.uint64), np.zeros(0), np.full(grades - 1, -60.0))
 
 
 def _graded(batches, shared, accepted):

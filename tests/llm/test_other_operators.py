@@ -4,17 +4,19 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliospark.llm import html, language, mixing, quality, warc
+from foliospark.llm import html, language, mixing, quality, rules, warc
 from foliospark.llm.queries import QUERIES
 from foliospark.session import scratch
 
 SF = "/root/testdata/sf0.01"
+FOLD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def docs_of(spark, rows):
@@ -285,3 +287,65 @@ def test_stages_take_empty_and_null_rows(spark):
 
 def test_ten_operators_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+
+
+def test_stages_keep_columns_with_the_names_they_use(spark):
+    names = ["_id", "_own", "_hit", "_words", "_text", "_copy", "_copies", "_source", "_size", "_gone", "_KEY", "a.b", "kept_"]
+    rows = [(1, "one two three four five six seven eight nine ten", "a"), (None, "some other text here", None), (3, None, "a"), (None, None, None)]
+    docs = docs_of(spark, rows).select("*", *[F.lit(n).alias(n) for n in names])
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.decontaminate, corpus_pipeline.mix):
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns
+        got = out.select(*[f"`{n}`" for n in names]).distinct().collect()
+        assert [tuple(r) for r in got] == [tuple(names)]
+    out = rules.apply_rules(docs)
+    assert out.columns == [*docs.columns, "kept"] and {r["_words"] for r in out.collect()} == {"_words"}
+
+
+def test_scores_are_those_of_a_plain_count(spark):
+    """Word by word over the trained weights, in place of the blocks."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    known = quality.ratings(docs, spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
+    grader = quality.train_grader(known, 3)
+    weight = dict(zip(grader.keys.tolist(), grader.weights.tolist(), strict=True))
+    got = {r.doc_id: r for r in quality.grade(docs, grader, 2).collect()}
+    for r in docs.collect():
+        data = (r.text or "").encode()
+        counts: Counter = Counter()
+        for piece in re.findall(rb"[0-9A-Za-z\x80-\xff]+", data):
+            counts[int(quality.features(np.frombuffer(piece, np.uint8), np.array([0, len(piece)]))[0][0])] = 1
+        n, before = sum(counts.values()), None
+        n = len(re.findall(rb"[0-9A-Za-z\x80-\xff]+", data))
+        for piece in re.findall(rb"[^\x20\x09-\x0d]+", data):
+            shapes = quality.features(np.frombuffer(piece, np.uint8), np.array([0, len(piece)]))[0]
+            counts.update(int(s) for s in shapes if s & np.uint64(1))
+            if piece.translate(FOLD_BYTES) == before:
+                counts[int(quality.features(np.frombuffer(b"x x", np.uint8), np.array([0, 3]))[0][-1])] += 1
+            before = piece.translate(FOLD_BYTES)
+        score = sum(weight.get(k, 0.0) * (np.sqrt(c / max(n, 1)) if k & 1 else 1.0) for k, c in counts.items())
+        tail = 1 / (1 + np.exp(-(score - grader.thresholds[1])))
+        assert abs(tail - got[r.doc_id].tail) < 1e-6
+
+
+def test_language_scores_are_those_of_a_plain_mean(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.train_languages(docs)
+    got = {r.doc_id: r for r in language.predict(docs, model).collect()}
+    for r in docs.limit(60).collect():
+        rows = [model.table[w] for word in re.findall(r"[^\W\d_]+", r.text or "") for w in language.subwords([word])[0]]
+        z = ((np.mean(rows, axis=0) if rows else 0) + model.bias) / model.temperature
+        p = np.exp(z - z.max())
+        if rows:
+            assert got[r.doc_id].lang_pred == model.names[int(p.argmax())]
+            assert abs(got[r.doc_id].score - p.max() / p.sum()) < 1e-6
+
+
+def test_a_rare_language_is_learned_at_any_size(spark):
+    assert language.level([5, 10_000, 20_000], 9_000) == 4497 and language.level([3, 4], 100) == 4
+    many = [(i, f"the house and the river {i}", "en") for i in range(4_000)]
+    rare = [(10_000 + i, f"zxq vbx qqz {'zq' * (i % 3 + 1)}", "zz") for i in range(4)]
+    docs = spark.createDataFrame(many + rare + [(None, "same text", "en")] * 500, "doc_id long, text string, lang string")
+    model = language.train_languages(docs, rows=400)
+    assert model.names == ["en", "zz"]
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs.filter("lang = 'zz'"), model).collect()}
+    assert set(got.values()) == {"zz"}
