@@ -1,8 +1,7 @@
 """Walking JSON values with native expressions.
 
 Spark has no recursive expressions.  Where a value is rewritten from its leaves up, its JSON
-text is cut into tokens and folded with a stack, so nesting has no bound.  Putting keys in
-another value's order is unrolled to a depth instead.
+text is cut into tokens and folded with a stack, so nesting has no bound.
 """
 
 from __future__ import annotations
@@ -10,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .paths import as_json, let, text_kind
-
-DEFAULT_DEPTH = 5
+from .paths import as_json, let
+from .rawjson import aligned_text
 
 
 def quoted(text: Column) -> Column:
@@ -141,57 +139,10 @@ def object_text(entries: Column) -> Column:
     )
 
 
-def restore_key_order(value: Column, original: Column, depth: int = DEFAULT_DEPTH) -> Column:
-    """JSON text of the VARIANT ``value`` with keys ordered as in the text ``original``.
+def restore_key_order(value: Column, original: Column) -> Column:
+    """JSON text of the VARIANT ``value`` with keys ordered as in the text ``original``, at any depth.
 
     Keys the original lacks come last.  Lists are walked only when both sides
     have the same length and hold nothing but objects.
     """
-
-    def level(v: Column, o: Column, left: int) -> Column:
-        if left == 0:
-            return as_json(v)
-        return let(as_json(v), lambda text: reordered(v, text, o, left))
-
-    def object_members(m: Column, om: Column) -> Column:
-        have, keys = F.map_keys(m), F.map_keys(om)
-        order = F.concat(
-            F.filter(keys, lambda k: F.array_contains(have, k)), F.array_except(have, keys)
-        )
-        return F.transform(
-            order, lambda k: F.struct(k.alias("key"), m[k].alias("value"), om[k].alias("original"))
-        )
-
-    def reordered(v: Column, text: Column, o: Column, left: int) -> Column:
-        head = F.substring(text, 1, 1)
-        as_map = F.from_json(F.when(head == "{", text), "map<string,variant>")
-        o_map = F.from_json(F.when(F.substring(F.ltrim(o), 1, 1) == "{", o), "map<string,string>")
-        values = F.when(head == "[", elements_of(v))
-        originals = F.from_json(F.when(F.substring(F.ltrim(o), 1, 1) == "[", o), "array<string>")
-        only_objects = F.forall(values, lambda x: F.substring(as_json(x), 1, 1) == "{") & F.forall(
-            originals, lambda x: F.substring(F.ltrim(x), 1, 1) == "{"
-        )
-        paired = F.when(
-            (F.size(values) == F.size(originals)) & only_objects,
-            F.zip_with(
-                values,
-                originals,
-                lambda x, y: F.struct(
-                    F.lit(None).cast("string").alias("key"), x.alias("value"), y.alias("original")
-                ),
-            ),
-        )
-        members = F.coalesce(
-            let(as_map, lambda m: let(o_map, lambda om: object_members(m, om))), paired
-        )
-        done = F.transform(
-            members,
-            lambda m: F.concat(
-                F.coalesce(F.concat(quoted(m["key"]), F.lit(":")), F.lit("")),
-                level(m["value"], m["original"], left - 1),
-            ),
-        )
-        close = F.when(head == "{", "}").otherwise("]")
-        return F.coalesce(F.concat(head, F.array_join(done, ","), close), text)
-
-    return level(value, original, depth)
+    return aligned_text(as_json(value), original)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .reshape import document_map
+from ..functions.rawjson import raw_entries, spliced
 
 
 def require(df: DataFrame, *columns: str) -> None:
@@ -68,19 +68,21 @@ def merge_set(target: DataFrame, updates: DataFrame, key: str, fields, seq: str)
 
 
 def merge_documents(target: DataFrame, updates: DataFrame, seq: str = "seq") -> DataFrame:
-    """``merge_set`` for documents: top-level keys of the update replace those of the target."""
+    """``merge_set`` for documents: top-level keys of the update replace those of the target.
+
+    Values are put in as they are written in the update; the rest of the target's text stays as
+    it is.  Keys the target lacks come last, in order of name.
+    """
     require(updates, "_id", "doc", seq)
-    fields = updates.select("_id", seq, F.explode(document_map(F.col("doc"))).alias("field", "value"))
-    fields = fields.where(F.col("field") != "_id")
-    last = fields.groupBy("_id", "field").agg(F.max_by(F.to_json("value"), F.col(seq)).alias("value"))
+    fields = updates.select("_id", seq, F.explode(raw_entries(F.col("doc"))).alias("e")).select("_id", seq, "e.key", "e.value")
+    fields = fields.where(F.col("key") != "_id")
+    last = fields.groupBy("_id", "key").agg(F.max_by("value", F.col(seq)).alias("value"))
     # as many entries per id as the document has keys
-    changes = last.groupBy("_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_changes")
-    )
-    parsed = F.transform_values("_changes", lambda _, v: F.parse_json(v))
-    merged = F.to_json(F.map_concat(document_map(F.col("doc")), parsed))
+    changes = last.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("key", "value"))).alias("_changes"))
     joined = target.join(changes, "_id", "left")
-    out = joined.withColumn("doc", F.when(F.col("_changes").isNotNull(), merged).otherwise(F.col("doc")))
+    changed = F.col("_changes").isNotNull()
+    merged = spliced(F.when(changed, F.col("doc")), F.col("_changes.key"), F.col("_changes.value"))
+    out = joined.withColumn("doc", F.coalesce(merged, "doc"))
     return out.drop("_changes", "v").withColumn("v", F.try_parse_json("doc"))
 
 

@@ -232,3 +232,16 @@ def prune_deep(spark, sf_dir):
 )
 def print_deep(spark, sf_dir):
     return deep_documents(spark, sf_dir).select("o_orderkey", variant_repr(F.col("v")).alias("printed"))
+
+
+@query(
+    "key_order_deep",
+    """select o_orderkey, repeat('{"z":0,"k":', 9) || '{"b":' || o_orderkey || ',"a":[{"y":1,"x":2}],"new":1}' || repeat(',"new":1}', 9) as ordered from orders""",
+)
+def key_order_deep(spark, sf_dir):
+    """Keys come back in the original's order nine levels down; keys it lacks come last."""
+    inner = F.concat(F.lit('{"b":'), "o_orderkey", F.lit(',"a":[{"y":1,"x":2}]}'))
+    original = F.concat(F.lit('{"z":0,"k":' * 9), inner, F.lit("}" * 9))
+    changed = F.parse_json(F.replace(original, F.lit("}"), F.lit(',"new":1}')))
+    changed = F.parse_json(F.replace(F.to_json(changed), F.lit('{"new":1,"x"'), F.lit('{"x"')))
+    return table(spark, sf_dir, "orders").select("o_orderkey", restore_key_order(changed, original).alias("ordered"))

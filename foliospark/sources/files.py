@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import scratch
 
 
 def _path(spark: SparkSession, path: str):
@@ -33,3 +37,42 @@ def has_data(spark: SparkSession, path: str) -> bool:
     if not is_folder(spark, path):
         return path.endswith(".parquet") and exists(spark, path)
     return matches(spark, path.rstrip("/") + "/*.parquet")
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names inside a folder; none where there is no folder."""
+    p, fs = _path(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    p, fs = _path(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def put_new(spark: SparkSession, path: str, text: str) -> None:
+    """A file that appears whole or not at all, and replaces none."""
+    p, fs = _path(spark, path)
+    draft, _ = _path(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = fs.create(draft, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if fs.exists(p) or not fs.rename(draft, p):
+        fs.delete(draft, False)
+        raise FileExistsError(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once below the shared folder and read from there."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
