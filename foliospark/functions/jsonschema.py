@@ -4,6 +4,12 @@
 yields the normalized value (defaults filled, undeclared keys stripped) and the
 first error with its path.  The schema is walked when the plan is built; rows are
 checked natively.
+
+A schema that refers to itself has no finite expression.  ``validate_documents`` checks it level
+by level: the values a recurring ``$ref`` applies to become rows of their own, those below them rows
+of the next level, until none is left; then the levels are judged from the deepest up, each
+with the results of the one below at hand.  The plan's size depends on the schema only, the
+number of rounds on the records' nesting, and a record's values are spread over tasks.
 """
 
 from __future__ import annotations
@@ -11,15 +17,17 @@ from __future__ import annotations
 import json
 import re
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .jsontext import elements_of, key_path
+from ..sources.files import saved
 from .paths import as_json, json_path, let, text_kind, variant_literal
 from .pytext import variant_number_text_of, variant_repr
+from .rawjson import aligned_text, raw_entries
 
-REF_DEPTH = 6  # how often one $ref may be followed inside itself
 # Fixed value: the schema used when none is given.
 PERMISSIVE = {"$schema": "http://json-schema.org/draft-07/schema#", "type": "object"}
 
@@ -66,8 +74,22 @@ def no_text() -> Column:
     return F.lit(None).cast("string")
 
 
-def state(value: Column, error: Column) -> Column:
-    return F.struct(value.alias("v"), error.alias("err"))
+#: stands in a message for a value that is printed later; a code point no text may use
+VALUE_HERE = "\ufdd0"
+
+
+def state(value: Column, error: Column, seen: Column | None = None) -> Column:
+    """A value, its error, and the values that the error's text leaves out."""
+    seen = F.lit(None).cast("array<variant>") if seen is None else seen
+    return F.struct(value.alias("v"), error.alias("err"), seen.alias("seen"))
+
+
+def printed(s: Column) -> Column:
+    """``struct<v, err>`` with the left-out values printed into the error's text."""
+    parts = F.split(s["err"], VALUE_HERE, -1)
+    full = lambda part, i: F.concat(part, F.coalesce(variant_repr(F.get(s["seen"], i)), F.lit("")))
+    text = F.when(s["seen"].isNull(), s["err"]).otherwise(F.array_join(F.transform(parts, full), ""))
+    return F.struct(s["v"].alias("v"), text.alias("err"))
 
 
 def first_of(*errors: Column | None) -> Column:
@@ -96,35 +118,176 @@ def has_type(v: Column, text: Column, name: str) -> Column:
     return F.lit(True)
 
 
+def no_variant() -> Column:
+    return F.lit(None).cast("variant")
+
+
+def joined(arrays: list[Column]) -> Column:
+    """One array of several, of which some may be null."""
+    full = F.filter(F.array(*arrays), lambda a: a.isNotNull())
+    return F.flatten(full) if len(arrays) > 1 else arrays[0]
+
+
+class Place(NamedTuple):
+    """Where a value stands: as messages show it, as a JSON pointer, and its text in the record."""
+
+    shown: Column | None = None
+    at: Column | None = None
+    raw: Column | None = None
+
+    def child(self, key) -> Place:
+        column = key if isinstance(key, Column) else F.lit(key)
+        # the whole record is shown as nothing, also where a level's row stands for it
+        shown = column if self.shown is None else F.concat_ws(".", self.shown, column)
+        at = raw = None
+        if self.at is not None:
+            escaped = F.replace(F.replace(column, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+            at = F.concat(self.at, F.lit("/"), escaped)
+        if self.raw is not None and isinstance(key, str) and "'" not in key:
+            raw = F.get_json_object(self.raw, f"$['{key}']")
+        elif self.raw is not None and isinstance(key, Column):
+            raw = F.try_element_at(F.from_json(self.raw, "map<string,string>"), key)
+        return Place(shown, at, raw)
+
+    def item(self, i: Column) -> Place:
+        index = F.concat(F.lit("["), i.cast("string"), F.lit("]"))
+        shown = index if self.shown is None else F.concat(F.coalesce(self.shown, F.lit("")), index)
+        at = None if self.at is None else F.concat(self.at, F.lit("/"), i.cast("string"))
+        return Place(shown, at, None if self.raw is None else F.get(F.from_json(self.raw, "array<string>"), i))
+
+
+def below(schema: dict) -> list[tuple[str, object, object]]:
+    """(how, key, schema) of the schemas inside a schema, in the order they are checked."""
+    same = [("same", None, s) for word in ("allOf", "oneOf", "anyOf") for s in schema.get(word, [])]
+    same += [("same", None, schema["not"])] if "not" in schema else []
+    keys = [("key", k, s) for k, s in schema.get("properties", {}).items()]
+    rest = [("rest", list(schema.get("properties", {})), schema.get("additionalProperties"))]
+    return same + keys + rest + [("items", None, schema.get("items"))]
+
+
 class SchemaCompiler:
     def __init__(self, root, strip_unknown: bool = True, strict_one_of: bool = False):
         self.root, self.strip, self.strict = root, strip_unknown, strict_one_of
+        self.recurring = self.find_recurring()
+        self.results: Column | None = None  # of the values a recurring $ref applies to, by number and pointer
+
+    # -- references ------------------------------------------------------------
+    def find_recurring(self) -> list[str]:
+        """References that lead back to themselves, in order of first appearance."""
+        found: list[str] = []
+        done: set[str] = set()
+
+        def walk(schema, path: tuple):
+            if not isinstance(schema, dict):
+                return
+            ref = schema.get("$ref")
+            if ref is None:
+                for _, _, s in below(schema):
+                    walk(s, path)
+            elif ref in path:
+                found.extend(r for r in path[path.index(ref) :] if r not in found)
+            elif ref not in done:
+                walk(resolve_ref(ref, self.root), (*path, ref))
+                done.add(ref)
+
+        walk(self.root, ())
+        return found
+
+    def reaches(self, schema, seen: tuple = ()) -> bool:
+        """Whether a recurring reference can be met inside a schema."""
+        if not isinstance(schema, dict):
+            return False
+        ref = schema.get("$ref")
+        if ref is not None:
+            return ref in self.recurring or ref not in seen and self.reaches(resolve_ref(ref, self.root), (*seen, ref))
+        return any(self.reaches(s, seen) for _, _, s in below(schema))
+
+    def key(self, ref: str, place: Place) -> Column:
+        return F.concat(F.lit(str(self.recurring.index(ref))), place.at)
+
+    def targets(self, schema, v: Column, place: Place, met: set | None = None, where: tuple = ()) -> list[Column]:
+        """Arrays of the values inside ``v`` that a recurring reference applies to, each named once."""
+        met = set() if met is None else met
+        if not self.reaches(schema):
+            return []
+        if "$ref" in schema:
+            ref = schema["$ref"]
+            if ref not in self.recurring:
+                return self.targets(resolve_ref(ref, self.root), v, place, met, where)
+            if (ref, where) in met:
+                return []
+            met.add((ref, where))
+            number = F.lit(self.recurring.index(ref)).alias("ref")
+            raw, shown = (no_text() if c is None else c for c in (place.raw, place.shown))
+            one = F.struct(number, self.key(ref, place).alias("key"), place.at.alias("at"), shown.alias("shown"), raw.alias("raw"), v.alias("value"))
+            return [F.array(one)]
+        out, text = [], as_json(v)
+        for how, key, sub in below(schema):
+            step = {"same": (), "items": (None,), "rest": (True,)}.get(how, (key,))
+            if self.fresh(sub, met, (*where, *step)):
+                out.append(self.targets_in(how, key, sub, v, text, place, met, (*where, *step)))
+        return out
+
+    def targets_in(self, how, key, sub, v: Column, text: Column, place: Place, met: set, where: tuple) -> Column:
+        """``targets`` of one schema inside another, as one array."""
+
+        def inside(x: Column, at: Place) -> Column:
+            return joined(self.targets(sub, x, at, met, where))
+
+        if how == "same":
+            return inside(v, place)
+        if how == "key":
+            default = variant_literal(sub["default"]) if "default" in sub else no_variant()
+            found = F.coalesce(F.try_variant_get(v, json_path([key]), "variant"), default)
+            return let(found, lambda x: F.when(x.isNotNull(), inside(x, place.child(key))))
+        if how == "items":
+            items = F.when(F.substring(text, 1, 1) == "[", elements_of(v))
+            each = F.transform(items, lambda x, i: inside(x, place.item(i)))
+        else:
+            known = F.array(*[F.lit(k) for k in key]) if key else F.array().cast("array<string>")
+            keys = F.array_except(F.json_object_keys(F.when(F.substring(text, 1, 1) == "{", text)), known)
+            each = F.transform(keys, lambda k: inside(F.try_variant_get(v, key_path(k), "variant"), place.child(k)))
+        return F.flatten(F.filter(each, lambda a: a.isNotNull()))
+
+    def fresh(self, schema, met: set, where: tuple) -> bool:
+        """Whether ``targets`` would name anything of this schema that is not named yet."""
+        if not self.reaches(schema):
+            return False
+        ref = schema.get("$ref")
+        if ref is not None:
+            return (ref, where) not in met if ref in self.recurring else self.fresh(resolve_ref(ref, self.root), met, where)
+        steps = {"same": (), "items": (None,), "rest": (True,)}
+        return any(self.fresh(sub, met, (*where, *steps.get(how, (key,)))) for how, key, sub in below(schema))
 
     # -- one node ------------------------------------------------------------
-    def node(self, schema, v: Column, path: Column | None, refs: tuple = (), order: Column | None = None) -> Column:
+    def node(self, schema, v: Column, path: Place, order: Column | None = None) -> Column:
         """``struct<v, err>`` for a present value ``v``."""
         if isinstance(schema, dict) and "$ref" in schema:
             ref = schema["$ref"]
-            if refs.count(ref) >= REF_DEPTH:
-                return state(v, self.message(path, f"$ref {ref} is nested deeper than {REF_DEPTH} levels"))
-            return self.node(resolve_ref(ref, self.root), v, path, (*refs, ref), order)
+            if ref not in self.recurring:
+                return self.node(resolve_ref(ref, self.root), v, path, order)
+            if self.results is None:
+                raise ValueError(f"$ref {ref} refers to itself; use validate_documents")
+            known = F.try_element_at(self.results, self.key(ref, path))
+            changed = F.coalesce(known["v"], v) if self.rewrites(schema) else v
+            return let(known, lambda r: state(changed, r["err"]))
         if not isinstance(schema, dict):
             if schema is False:
                 return state(v, self.message(path, "schema is 'false', value not allowed"))
             return state(v, no_text())
         steps = []
         for sub in schema.get("allOf", []):
-            steps.append(lambda x, sub=sub: self.node(sub, x, path, refs))
+            steps.append(lambda x, sub=sub: self.node(sub, x, path))
         if "oneOf" in schema:
-            steps.append(lambda x: self.one_of(schema["oneOf"], x, path, refs))
+            steps.append(lambda x: self.one_of(schema["oneOf"], x, path))
         if "anyOf" in schema:
-            steps.append(lambda x: self.any_of(schema["anyOf"], x, path, refs))
+            steps.append(lambda x: self.any_of(schema["anyOf"], x, path))
         if any(k in schema for k in ("not", "const", "enum", "type")):
-            steps.append(lambda x: state(x, self.plain_checks(schema, x, path, refs)))
+            steps.append(lambda x: self.plain_checks(schema, x, path))
         if any(k in schema for k in ("properties", "required", "additionalProperties")):
-            steps.append(lambda x: self.object(schema, x, path, refs, order))
+            steps.append(lambda x: self.object(schema, x, path, order))
         if any(k in schema for k in ("items", "minItems", "maxItems")):
-            steps.append(lambda x: self.array(schema, x, path, refs))
+            steps.append(lambda x: self.array(schema, x, path))
         if any(k in schema for k in ("minLength", "maxLength", "minimum", "maximum")):
             steps.append(lambda x: state(x, self.bounds(schema, x, path)))
         if not steps:
@@ -140,52 +303,44 @@ class SchemaCompiler:
         return lambda s: F.when(s["err"].isNotNull(), s).otherwise(step(s["v"]))
 
     @staticmethod
-    def message(path: Column | None, *parts) -> Column:
-        where = F.lit("<root>") if path is None else path
+    def message(path: Place, *parts) -> Column:
+        where = F.lit("<root>") if path.shown is None else F.coalesce(path.shown, F.lit("<root>"))
         return F.concat(where, F.lit(": "), *[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
-    @staticmethod
-    def child(path: Column | None, key) -> Column:
-        key = key if isinstance(key, Column) else F.lit(key)
-        return key if path is None else F.concat(path, F.lit("."), key)
-
     # -- combinators ---------------------------------------------------------
-    def tried(self, subs, v, path, refs) -> Column:
+    def tried(self, subs, v, path) -> Column:
         """Results of all branches, in order."""
-        return F.array(*[self.node(s, v, path, refs) for s in subs])
+        return F.array(*[self.node(s, v, path) for s in subs])
 
-    def no_match(self, word, path, results: Column) -> Column:
+    def no_match(self, word, v, path, results: Column) -> Column:
         lines = F.transform(results, lambda r, i: F.concat(F.lit(f"  {word}["), i.cast("string"), F.lit("]: "), r["err"]))
         failed = F.filter(lines, lambda x: x.isNotNull())
-        return self.message(path, f"value did not match any schema in '{word}':\n", F.array_join(failed, "\n"))
+        seen = F.flatten(F.filter(F.transform(results, lambda r: r["seen"]), lambda x: x.isNotNull()))
+        return state(v, self.message(path, f"value did not match any schema in '{word}':\n", F.array_join(failed, "\n")), seen)
 
-    def one_of(self, subs, v, path, refs) -> Column:
+    def one_of(self, subs, v, path) -> Column:
         def pick(results):
             matches = F.filter(results, lambda r: r["err"].isNull() & ~F.is_variant_null(r["v"]))
             found = F.get(matches, F.lit(0))
-            out = F.when(F.size(matches) == 0, state(v, self.no_match("oneOf", path, results)))
+            out = F.when(F.size(matches) == 0, self.no_match("oneOf", v, path, results))
             if self.strict:
                 twice = self.message(path, "matched more than one schema in 'oneOf'")
                 out = out.when(F.size(matches) > 1, state(v, twice))
             return out.otherwise(found)
 
-        return let(self.tried(subs, v, path, refs), pick)
+        return let(self.tried(subs, v, path), pick)
 
-    def any_of(self, subs, v, path, refs) -> Column:
+    def any_of(self, subs, v, path) -> Column:
         def pick(results):
             found = F.get(F.filter(results, lambda r: r["err"].isNull()), F.lit(0))
             nothing = found.isNull() | F.is_variant_null(found["v"])
-            return F.when(nothing, state(v, self.no_match("anyOf", path, results))).otherwise(found)
+            return F.when(nothing, self.no_match("anyOf", v, path, results)).otherwise(found)
 
-        return let(self.tried(subs, v, path, refs), pick)
+        return let(self.tried(subs, v, path), pick)
 
     # -- checks that never change the value -----------------------------------
-    def plain_checks(self, schema, v, path, refs) -> Column:
-        errors = []
+    def plain_checks(self, schema, v, path) -> Column:
         text = as_json(v)
-        if "not" in schema:
-            accepted = self.node(schema["not"], v, path, refs)["err"].isNull()
-            errors.append(F.when(accepted, self.message(path, "value must not match 'not' schema")))
         tests = []
         if "const" in schema:
             wrong = f" does not equal const {schema['const']!r}"
@@ -201,13 +356,15 @@ class SchemaCompiler:
             for name in names:
                 fits = fits | has_type(v, text, name)
             tests.append((~fits, f" is not of type {schema['type']}"))
+        out = state(v, no_text())
         if tests:
-            # which test fails is found first; the value is printed once, on failure only
-            reason = F.coalesce(*[F.when(bad, why) for bad, why in tests])
-            errors.append(
-                let(reason, lambda r: F.when(r.isNotNull(), self.message(path, "value ", variant_repr(v), r)))
-            )
-        return first_of(*errors)
+            # which test fails is found here; the value is printed once, at the end
+            told = lambda r: state(v, F.when(r.isNotNull(), self.message(path, "value ", VALUE_HERE, r)), F.when(r.isNotNull(), F.array(v)))
+            out = let(F.coalesce(*[F.when(bad, why) for bad, why in tests]), told)
+        if "not" not in schema:
+            return out
+        accepted = self.node(schema["not"], v, path)["err"].isNull()
+        return F.when(accepted, state(v, self.message(path, "value must not match 'not' schema"))).otherwise(out)
 
     def bounds(self, schema, v, path) -> Column:
         text = as_json(v)
@@ -229,7 +386,7 @@ class SchemaCompiler:
         return first_of(*errors)
 
     # -- arrays --------------------------------------------------------------
-    def array(self, schema, v, path, refs) -> Column:
+    def array(self, schema, v, path) -> Column:
         arr = F.when(F.substring(as_json(v), 1, 1) == "[", elements_of(v))
         n = F.size(arr)
         errors = []
@@ -243,19 +400,16 @@ class SchemaCompiler:
         if not isinstance(items, dict) and items is not False:
             return state(v, count_error)
 
-        def at(i):
-            index = F.concat(F.lit("["), i.cast("string"), F.lit("]"))
-            return index if path is None else F.concat(path, index)
-
         def folded(results):
-            bad = F.get(F.filter(results, lambda r: r["err"].isNotNull()), F.lit(0))["err"]
+            bad = F.get(F.filter(results, lambda r: r["err"].isNotNull()), F.lit(0))
             changed = F.to_variant_object(F.transform(results, lambda r: r["v"])) if self.rewrites(items) else v
-            return F.when(results.isNull(), state(v, no_text())).otherwise(state(changed, first_of(count_error, bad)))
+            failed = state(changed, first_of(count_error, bad["err"]), F.when(count_error.isNull(), bad["seen"]))
+            return F.when(results.isNull(), state(v, no_text())).otherwise(failed)
 
-        return let(F.transform(arr, lambda x, i: self.node(items, x, at(i), refs)), folded)
+        return let(F.transform(arr, lambda x, i: self.node(items, x, path.item(i))), folded)
 
     # -- objects -------------------------------------------------------------
-    def object(self, schema, v, path, refs, order) -> Column:
+    def object(self, schema, v, path, order=None) -> Column:
         properties = schema.get("properties", {})
         additional = schema.get("additionalProperties", True)
         text = as_json(v)
@@ -267,8 +421,8 @@ class SchemaCompiler:
             return F.coalesce(found, variant_literal(properties[key]["default"])) if key in defaults else found
 
         def checked(key):
-            sub, place = properties[key], self.child(path, key)
-            return lambda x: F.when(x.isNull(), absent).otherwise(self.node(sub, x, place, refs))
+            sub, place = properties[key], path.child(key)
+            return lambda x: F.when(x.isNull(), absent).otherwise(self.node(sub, x, place))
 
         missing = [
             F.when(value_of(k).isNull() if k in properties else F.try_variant_get(v, json_path([k]), "variant").isNull(), repr(k))
@@ -284,7 +438,7 @@ class SchemaCompiler:
                 ),
             )
         # declared properties, then the others
-        done = [
+        own = [
             F.struct(
                 F.lit(k).alias("key"),
                 let(value_of(k), checked(k)).alias("r"),
@@ -297,34 +451,42 @@ class SchemaCompiler:
         def extra(k):
             x = F.try_variant_get(v, key_path(k), "variant")
             if additional is False:
-                note = self.message(self.child(path, k), "additional property not allowed")
+                note = self.message(path.child(k), "additional property not allowed")
                 r = absent if self.strip else state(x, note)
             elif isinstance(additional, dict):
-                r = self.node(additional, x, self.child(path, k), refs)
+                r = self.node(additional, x, path.child(k))
             else:
                 r = state(x, no_text())
             return F.struct(k.alias("key"), r.alias("r"))
 
         extras_matter = self.rewrites(schema) or additional is not True
         parts = []
-        if done:
-            parts.append(F.array(*done))
-        if extras_matter or not done:
+        if own:
+            parts.append(F.array(*own))
+        if extras_matter or not own:
             parts.append(F.transform(extra_keys, extra))
         members = parts[0] if len(parts) == 1 else F.concat(*parts)
 
         def folded(ms):
             bad = F.filter(ms, lambda m: m["r"]["err"].isNotNull())
-            if order is not None:
+            keys = order if order is not None or path.raw is None else F.json_object_keys(path.raw)
+            if keys is not None:
                 # the first failing key in the order of the record; defaults come last
-                at = lambda m: F.coalesce(F.nullif(F.array_position(order, m["key"]), F.lit(0)), F.lit(1 << 30).cast("bigint"))
-                first = F.array_min(F.transform(bad, lambda m, i: F.struct(at(m).alias("at"), i.alias("i"), m["r"]["err"].alias("err"))))["err"]
+                at = lambda m: F.coalesce(F.nullif(F.array_position(keys, m["key"]), F.lit(0)), F.lit(1 << 30).cast("bigint"))
             else:
-                first = F.array_min(F.transform(bad, lambda m: F.struct(m["key"].alias("k"), m["r"]["err"].alias("err"))))["err"]
+                at = lambda m: m["key"]
+            # the record's text is looked at only where several keys fail
+            least = lambda b: F.array_min(F.transform(b, lambda m, i: F.struct(at(m).alias("at"), i.alias("i"))))["i"]
+            first = lambda b: F.get(b, F.when(F.size(b) > 1, least(b)).otherwise(0))["r"]
+            return let(let(bad, first), lambda r: done(ms, r))
+
+        def done(ms, bad):
+            error = first_of(required_error, bad["err"])
+            seen = bad["seen"] if required_error is None else F.when(required_error.isNull(), bad["seen"])
             if not self.rewrites(schema):
-                return state(v, first_of(required_error, first))
+                return state(v, error, seen)
             kept = F.filter(F.transform(ms, lambda m: F.struct(m["key"], m["r"]["v"])), lambda e: e["v"].isNotNull())
-            return state(F.to_variant_object(F.map_from_entries(kept)), first_of(required_error, first))
+            return state(F.to_variant_object(F.map_from_entries(kept)), error, seen)
 
         return F.when(F.substring(text, 1, 1) == "{", let(members, folded)).otherwise(state(v, no_text()))
 
@@ -362,30 +524,118 @@ def validate(
     strip_unknown: bool = True,
     strict_one_of: bool = False,
     key_order: Column | None = None,
+    record: Column | None = None,
 ) -> Column:
     """``struct<normalized, error>`` for a VARIANT column.
 
     ``normalized`` is JSON text, NULL on error.  ``key_order`` (the record's keys in
-    their original order) makes the reported error the first one in that order.
+    their original order) makes the reported error the first one in that order; ``record`` (the
+    record's JSON text) does so inside nested values too.  A schema that refers to itself needs
+    ``validate_documents``.
     """
     parsed = parse_schema(schema)
     root = PERMISSIVE if parsed is None else parsed
     compiler = SchemaCompiler(root, strip_unknown, strict_one_of)
-    missing = data.isNull() | F.is_variant_null(data)
+    return judged(compiler, data, key_mapping, key_order, record)
+
+
+# Fixed value: the message for a record that is not there.
+DATA_REQUIRED = "'data' is required in the input payload"
+
+
+def printed_once(node: Column) -> Column:
+    return let(node, printed)
+
+
+def judged(compiler: SchemaCompiler, data: Column, key_mapping, key_order, record, at: Column | None = None) -> Column:
+    """``struct<normalized, error>`` of the whole record."""
 
     def checked(v):
         return let(
-            compiler.node(root, v, None, order=key_order),
+            printed_once(compiler.node(compiler.root, v, Place(None, at, record), key_order)),
             lambda s: F.struct(
                 F.when(s["err"].isNull(), as_json(s["v"])).alias("normalized"), s["err"].alias("error")
             ),
         )
 
+    missing = data.isNull() | F.is_variant_null(data)
     working = remapped(data, key_mapping) if key_mapping else data
-    required = F.struct(no_text().alias("normalized"), F.lit("'data' is required in the input payload").alias("error"))
+    required = F.struct(no_text().alias("normalized"), F.lit(DATA_REQUIRED).alias("error"))
     return F.when(missing, required).otherwise(let(working, checked))
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def judged_by_level(df: DataFrame, column: str, compiler: SchemaCompiler, out: str, key_mapping=None, key_order=None, record=None) -> DataFrame:
+    """``df`` with ``out``, the result of ``judged``, for a schema that refers to itself.
+
+    A value under a recurring reference is judged as it stands in the record (or in a default),
+    whatever an ``allOf`` before it may have filled in or stripped.
+    """
+    row = fresh_name(df, "_row")
+    base = saved(df.withColumn(row, F.monotonically_increasing_id()), "records")
+    data = F.col(column)
+    working = remapped(data, key_mapping) if key_mapping else data
+    text = no_text() if record is None else record
+    kind = "array<struct<ref:int,key:string,at:string,shown:string,raw:string,value:variant>>"
+
+    def spread(rows, own, found):
+        """Rows of the values named by ``found``, told apart by their record and pointer."""
+        each = rows.select(row, own.alias("parent"), F.explode(found.cast(kind)).alias("t"))
+        return saved(each.select(row, "parent", *[F.col(f"t.{f}").alias(f) for f in ("ref", "key", "at", "shown", "raw", "value")]), "level")
+
+    def named(schema, value, place):
+        return joined(compiler.targets(schema, value, place)) if compiler.reaches(schema) else F.array()
+
+    def by_reference(each):
+        """One expression for the schema that a row's number stands for."""
+        choice = None
+        for n, ref in enumerate(compiler.recurring):
+            value = each(resolve_ref(ref, compiler.root))
+            choice = F.when(F.col("ref") == n, value) if choice is None else choice.when(F.col("ref") == n, value)
+        return choice
+
+    here = Place(F.col("shown"), F.col("at"), F.col("raw") if record is not None else None)
+    start = base.select(row, working.alias("value"), text.alias("raw"))
+    top = Place(None, F.lit(""), F.col("raw") if record is not None else None)
+    present = F.col("value").isNotNull() & ~F.is_variant_null(F.col("value"))
+    levels = [spread(start.where(present), F.lit(""), named(compiler.root, F.col("value"), top))]
+    # the same two expressions serve every round
+    lower = by_reference(lambda s: named(s, F.col("value"), here))
+    while not levels[-1].isEmpty():
+        levels.append(spread(levels[-1], F.col("key"), lower))
+
+    def results_of(level):
+        found = F.map_from_entries(F.collect_list(F.struct("key", "result")))
+        return level.groupBy(row, "parent").agg(found.alias("results"))
+
+    compiler.results = F.col("results")
+    verdict = by_reference(lambda s: printed_once(compiler.node(s, F.col("value"), here))) if len(levels) > 1 else None
+    known = None
+    for level in reversed(levels[:-1]):
+        below_ = df.sparkSession.createDataFrame([], f"{row} long, parent string, results map<string,struct<v:variant,err:string>>") if known is None else known
+        rows = level.join(below_.withColumnRenamed("parent", "key"), [row, "key"], "left")
+        known = results_of(saved(rows.select(row, "parent", "key", verdict.alias("result")), "judged"))
+    if known is None:
+        return base.drop(row).withColumn(out, judged_none(compiler, data, key_mapping, key_order, record))
+    own = fresh_name(base, "results")
+    compiler.results = F.col(own)
+    rows = base.join(known.select(row, F.col("results").alias(own)), row, "left")
+    result = judged(compiler, data, key_mapping, key_order, record, F.lit(""))
+    return rows.withColumn(out, result).drop(row, own)
+
+
+def judged_none(compiler: SchemaCompiler, data, key_mapping, key_order, record) -> Column:
+    """``judged`` where no record holds a value under a recurring reference."""
+    compiler.results = F.lit(None).cast("map<string,struct<v:variant,err:string>>")
+    return judged(compiler, data, key_mapping, key_order, record, F.lit(""))
+
+
 def validation_log(
     data: Column, result: Column, schema=None, key_mapping=None, strip_unknown: bool = True
 ) -> Column:
@@ -407,6 +657,14 @@ def validation_log(
     return F.when(result["error"].isNull(), F.array_compact(steps))
 
 
+def renamed_keys(text: Column, mapping: dict[str, str]) -> Column:
+    """An object's text with its outermost keys renamed and nothing else changed."""
+    names = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    entry = lambda e: F.concat(as_json(F.coalesce(F.try_element_at(names, e["key"]), e["key"]).cast("variant")), F.lit(":"), e["value"])
+    put = F.concat(F.lit("{"), F.array_join(F.transform(raw_entries(text), entry), ","), F.lit("}"))
+    return F.coalesce(put, text)
+
+
 POLICIES = ("passthrough", "none", "raise")
 
 
@@ -425,14 +683,45 @@ def apply_policy(result: Column, original: Column, policy: str = "passthrough",
     return F.when(result["error"].isNotNull(), F.raise_error(result["error"])).otherwise(result["normalized"])
 
 
-def validate_documents(df: DataFrame, schema=None, column: str = "v", verbose: bool = False, **options) -> DataFrame:
-    """Add ``normalized``, ``error`` and, when verbose, ``log``."""
-    if "doc" in df.columns and "key_order" not in options:
-        options["key_order"] = F.json_object_keys("doc")
-    result = validate(F.col(column), schema, **options)
-    out = df.withColumn("_result", result)
+def validate_documents(
+    df: DataFrame,
+    schema=None,
+    column: str = "v",
+    verbose: bool = False,
+    record_order: bool = False,
+    key_mapping: dict[str, str] | None = None,
+    strip_unknown: bool = True,
+    strict_one_of: bool = False,
+    key_order: Column | None = None,
+) -> DataFrame:
+    """Add ``normalized``, ``error`` and, when verbose, ``log``.
+
+    Where ``df`` has the text ``doc``, the error reported is the first in the record's order, at any depth.
+    With ``record_order``, ``normalized`` has the record's keys in the record's order, its numbers and
+    strings as they are written there; filled-in defaults come last.
+    """
+    record = None
+    if "doc" in df.columns and key_order is None:
+        record = F.col("doc")
+        key_order = F.json_object_keys("doc")
+        if key_mapping:
+            names = F.create_map(*[F.lit(x) for pair in key_mapping.items() for x in pair])
+            key_order = F.transform(key_order, lambda k: F.coalesce(F.try_element_at(names, k), k))
+            record = None
+    parsed = parse_schema(schema)
+    compiler = SchemaCompiler(PERMISSIVE if parsed is None else parsed, strip_unknown, strict_one_of)
+    found = fresh_name(df, "_result")
+    if compiler.recurring:
+        out = judged_by_level(df, column, compiler, found, key_mapping, key_order, record)
+    else:
+        out = df.withColumn(found, judged(compiler, F.col(column), key_mapping, key_order, record))
     if verbose:
-        mapping, strip = options.get("key_mapping"), options.get("strip_unknown", True)
-        log = validation_log(F.col(column), F.col("_result"), schema, mapping, strip)
+        log = validation_log(F.col(column), F.col(found), schema, key_mapping, strip_unknown)
         out = out.withColumn("log", log)
-    return out.withColumns({"normalized": F.col("_result.normalized"), "error": F.col("_result.error")}).drop("_result")
+    normalized = F.col(f"{found}.normalized")
+    if record_order:
+        original = F.col("doc") if "doc" in df.columns else as_json(F.col(column))
+        if key_mapping:
+            original = renamed_keys(original, key_mapping)
+        normalized = aligned_text(normalized, original, spelling=True)
+    return out.withColumns({"normalized": normalized, "error": F.col(f"{found}.error")}).drop(found)

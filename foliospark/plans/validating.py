@@ -184,6 +184,88 @@ error_query(
 )
 
 
+# -- schemas that refer to themselves, and records kept in their own order ------------------
+CHAIN = 12
+CHAIN_SCHEMA = {
+    "type": "object", "required": ["key"], "additionalProperties": False,
+    "properties": {"key": {"type": "integer", "maximum": 40000}, "next": {"$ref": "#"}, "tag": {"default": "none"}},
+}
+
+
+def chain_doc(spark, sf_dir):
+    """Orders as links in links, twelve deep; the innermost holds the order's own values."""
+    o = table(spark, sf_dir, "orders")
+    inner = F.concat(F.lit('{"key":'), "o_orderkey", F.lit(',"status":"'), "o_orderstatus", F.lit('"}'))
+    return envelope(o, F.col("o_orderkey"), F.concat(F.lit('{"key":1,"next":' * CHAIN), inner, F.lit("}" * CHAIN)))
+
+
+error_query(
+    "val_chain", chain_doc, CHAIN_SCHEMA,
+    f"""select cast(o_orderkey as varchar) as _id,
+        case when o_orderkey > 40000 then repeat('next.', {CHAIN}) || 'key: value ' || o_orderkey || ' > maximum 40000' else '-' end as error,
+        case when o_orderkey > 40000 then '-' else repeat('{{"key":1,"next":', {CHAIN}) || '{{"key":' || o_orderkey || ',"tag":"none"}}' ||
+          repeat(',"tag":"none"}}', {CHAIN}) end as normalized from orders""",
+    normalized=True,
+)
+
+
+def tree_doc(spark, sf_dir):
+    """Customers as trees of two kinds of branches."""
+    c = table(spark, sf_dir, "customer")
+    leaf = F.concat(F.lit('{"n":'), F.col("c_custkey") % 10, F.lit("}"))
+    side = F.concat(F.lit('{"n":'), F.col("c_nationkey"), F.lit(',"right":{"left":'), leaf, F.lit("}}"))
+    return envelope(c, F.col("c_custkey"), F.concat(F.lit('{"right":['), side, F.lit(","), leaf, F.lit('],"left":'), side, F.lit("}")))
+
+
+error_query(
+    "val_tree", tree_doc,
+    {
+        "definitions": {"branch": {"properties": {"left": {"$ref": "#/definitions/branch"}, "right": {"$ref": "#/definitions/side"}, "n": {"maximum": 6}}},
+                        "side": {"anyOf": [{"type": "array", "items": {"$ref": "#/definitions/branch"}}, {"type": "object", "required": ["left"], "additionalProperties": {"$ref": "#/definitions/branch"}}]}},
+        "$ref": "#/definitions/branch",
+    },
+    """with c as (select cast(c_custkey as varchar) as _id, c_custkey % 10 as k, c_nationkey as n from customer),
+       s as (select *, 'value did not match any schema in ''anyOf'':' || chr(10) as head from c),
+       inner_ as (select *, case when n > 6 then 'P.n: value ' || n || ' > maximum 6' when k > 6 then 'P.right: ' || head ||
+           '  anyOf[0]: P.right: value {''left'': {''n'': ' || k || '}} is not of type array' || chr(10) || '  anyOf[1]: P.right.left.n: value ' || k || ' > maximum 6' end as bad from s),
+       list_ as (select *, coalesce(replace(bad, 'P', 'right[0]'), case when k > 6 then 'right[1].n: value ' || k || ' > maximum 6' end) as first from inner_)
+       select _id, case when first is not null then 'right: ' || head || '  anyOf[0]: ' || first || chr(10) ||
+           '  anyOf[1]: right: value [{''n'': ' || n || ', ''right'': {''left'': {''n'': ' || k || '}}}, {''n'': ' || k || '}] is not of type object'
+         when bad is not null then replace(bad, 'P', 'left') else '-' end as error from list_""",
+)
+error_query(
+    "val_nested_first", lambda spark, sf_dir: nested_doc(spark, sf_dir),
+    {"properties": {"p": {"properties": {"b": {"maximum": 10}, "z": {"maximum": 10}}}, "l": {"items": {"properties": {"b": {"maximum": 10}, "z": {"maximum": 10}}}}}},
+    """select cast(p_partkey as varchar) as _id, case when p_size <= 10 then '-' when p_partkey % 2 = 0 then 'l[1].z: value ' || p_size || ' > maximum 10'
+       else 'p.z: value ' || p_size || ' > maximum 10' end as error from part""",
+)
+
+
+def nested_doc(spark, sf_dir):
+    """Parts with keys out of order inside a nested object and a list, whichever comes first."""
+    p = table(spark, sf_dir, "part")
+    pair = F.concat(F.lit('{"z":'), "p_size", F.lit(',"b":'), "p_size", F.lit("}"))
+    one, two = F.concat(F.lit('"p":'), pair), F.concat(F.lit('"l":[{},'), pair, F.lit("]"))
+    body = F.when(F.col("p_partkey") % 2 == 0, F.concat(two, F.lit(","), one)).otherwise(F.concat(one, F.lit(","), two))
+    return envelope(p, F.col("p_partkey"), F.concat(F.lit("{"), body, F.lit("}")))
+
+
+def spelled_doc(spark, sf_dir):
+    """Parts with unsorted keys at several levels and numbers written in their own way."""
+    p = table(spark, sf_dir, "part")
+    inner = F.concat(F.lit('{"size": '), "p_size", F.lit('.0, "brand": "'), "p_brand", F.lit('", "extra": 1}'))
+    return envelope(p, F.col("p_partkey"), F.concat(F.lit('{"z": 1.50, "inner": '), inner, F.lit(', "a": [1.0, {"d": 1e2, "c": 2}]}')))
+
+
+error_query(
+    "val_record_text", spelled_doc,
+    {"properties": {"inner": {"additionalProperties": False, "properties": {"size": {"type": "number"}, "brand": {}, "added": {"default": [2]}}}}},
+    """select cast(p_partkey as varchar) as _id, '-' as error, '{"z":1.50,"inner":{"size":' || p_size || '.0,"brand":"' || p_brand ||
+       '","added":[2]},"a":[1.0,{"d":1e2,"c":2}]}' as normalized from part""",
+    normalized=True, record_order=True,
+)
+
+
 @query(
     "val_policy",
     MIXED_SQL + """select _id, size_num is not null as plain_kept, true as covered_kept, case when size_num is not null then 'null' else 'value' end as covered_size from mixed""".replace(
