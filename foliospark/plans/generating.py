@@ -10,6 +10,7 @@ from ..operators import envelope as E
 from ..operators import generation as G
 from ..operators import messages as M
 from ..operators.stats import chunked_running
+from ..session import scratch
 from ..sources.objects import data_url
 from .adapters import table
 from .registry import query
@@ -223,6 +224,34 @@ def gen_rounds(spark, sf_dir):
     return out.select("conv_id", "turn", "round", F.coalesce("content", F.lit("-")).alias("content"), total.alias("total"))
 
 
+def echo(messages):
+    """Deterministic: a third of the conversations stop after the first answer."""
+    asked = len([m for m in messages if m["role"] == "user"])
+    if asked > 1 and len(messages[0]["content"]) % 3 == 0:
+        return None
+    return {"choices": [{"message": {"role": "assistant", "content": f"{asked}: {messages[0]['content'][:20]}"}}]}
+
+
+@query(
+    "gen_stored",
+    """select conv_id, turn, cast(round as integer) as round, round || ': ' || text[:20] as content, case when round = 2 then 'heard ' || (2 * round) else '-' end as error
+       from conversations, (select unnest([1, 2, 3]) as round) where round = 1 or length(text) % 3 <> 0""",
+)
+def gen_stored(spark, sf_dir):
+    """All turns of all conversations; a repeated call goes on behind the rounds that are written."""
+    c = table(spark, sf_dir, "conversations")
+    asked = c.select("conv_id", "turn", F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages"))
+    store = scratch(spark, "generated")
+    G.generate(asked, echo, 1, ["conv_id", "turn"], on_iteration=heard, store=store)
+    out = G.generate(asked, echo, 3, ["conv_id", "turn"], on_iteration=heard, store=store)
+    return out.select("conv_id", "turn", "round", "content", F.coalesce("error", F.lit("-")).alias("error"))
+
+
+def heard(number, result, messages):
+    if number == 1:
+        raise ValueError(f"heard {len(messages)}")
+
+
 @query(
     "gen_transcript",
     """select conv_id, turn, 'conv ' || conv_id || '|' || text || '|re: ' || text || '|' || upper(role) as transcript from conversations""",
