@@ -7,12 +7,18 @@ itself instead of adding rows twice.
 
 from __future__ import annotations
 
+import json
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..functions.paths import as_json
+from ..functions.rawjson import raw_entries
 from ..operators.updates import merge_documents, usage_present
+from ..sources import files
 
 
 def _trigger(writer, interval: str | None):
@@ -55,6 +61,67 @@ def iteration_state(calls: DataFrame, key: str = "iteration_id", seq: str = "cal
     )
 
 
+STATE = "first_call long, iterations_completed long, total_tokens long, prompt long, completion long, total long, usage_call long, last_call long"
+
+
+def ending_iterations(
+    calls: DataFrame, length: int, key: str = "iteration_id", seq: str = "call", idle_seconds: float | None = None
+) -> DataFrame:
+    """``iteration_state`` whose state ends: at ``length`` calls, or after ``idle_seconds`` without one.
+
+    Rows are ``key``, the STATE columns and ``ended``.  What ends is forgotten; calls that come after
+    begin a new part, named by ``first_call`` (a call seen when it began), and ``ended_totals`` adds a
+    document's parts up, so no call is lost or counted twice.  A document's calls have numbers of
+    their own; those of a batch are read piece by piece.
+    """
+    names = [f.split()[0] for f in STATE.split(", ")]
+    usage = [F.col(f"usage.{f}_tokens").alias(f) for f in ("prompt", "completion", "total")]
+    flat = calls.select(key, F.col(seq).cast("long").alias("seq"), *usage)
+    kind = flat.schema[key].dataType.simpleString()
+
+    def follow(group, frames, state):
+        if state.hasTimedOut:
+            known = state.get
+            state.remove()
+            yield pd.DataFrame([(*group, *known, True)], columns=[key, *names, "ended"])
+            return
+        first, done, tokens, p, c, t, at, last = state.get if state.exists else (None, 0, None, None, None, None, None, None)
+        for frame in frames:
+            done += len(frame)
+            first = int(frame["seq"].min()) if first is None else first
+            last = int(frame["seq"].max()) if last is None else max(last, int(frame["seq"].max()))
+            used = frame[frame[["prompt", "completion", "total"]].notna().any(axis=1)]
+            if len(used):
+                tokens = (tokens or 0) + int(used["total"].fillna(0).sum())
+                newest = used.loc[used["seq"].idxmax()]
+                if at is None or newest["seq"] > at:
+                    at = int(newest["seq"])
+                    p, c, t = (None if pd.isna(newest[f]) else int(newest[f]) for f in ("prompt", "completion", "total"))
+        now = (first, done, tokens, p, c, t, at, last)
+        if done >= length:
+            state.remove()
+        else:
+            state.update(now)
+            if idle_seconds is not None:
+                state.setTimeoutDuration(int(idle_seconds * 1000))
+        yield pd.DataFrame([(*group, *now, done >= length)], columns=[key, *names, "ended"]).astype(dict.fromkeys(names, "Int64"))
+
+    timeout = GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
+    return flat.groupBy(key).applyInPandasWithState(follow, f"`{key}` {kind}, {STATE}, ended boolean", STATE, "update", timeout)
+
+
+def ended_totals(rows: DataFrame, key: str = "iteration_id") -> DataFrame:
+    """``iteration_state`` per document from the written batches of ``ending_iterations``."""
+    parts = rows.groupBy(key, "first_call").agg(F.max_by(F.struct(*[f.split()[0] for f in STATE.split(", ")[1:]]), "batch").alias("s"))
+    usage = F.struct(F.col("s.prompt").alias("prompt_tokens"), F.col("s.completion").alias("completion_tokens"), F.col("s.total").alias("total_tokens"))
+    return parts.groupBy(key).agg(
+        F.sum("s.iterations_completed").alias("iterations_completed"),
+        F.sum("s.total_tokens").alias("total_tokens"),
+        F.max_by(usage, F.col("s.usage_call")).alias("last_token_count"),
+        F.max("s.last_call").alias("last_call"),
+    )
+
+
 def write_batches(stream: DataFrame, out: str, checkpoint: str, mode: str = "update", interval: str | None = None):
     """Each micro-batch as its own folder, replaced when replayed."""
 
@@ -66,15 +133,85 @@ def write_batches(stream: DataFrame, out: str, checkpoint: str, mode: str = "upd
 
 
 def batches(spark: SparkSession, out: str, folded: str | None = None) -> DataFrame:
-    """Rows of the written batches; of those folded into ``folded`` the folded rows instead."""
-    rows = spark.read.parquet(out)
+    """Rows of the written batches; of those folded into ``folded`` the folded rows instead.
+
+    Where ``compact`` has run, its newest snapshot and the batches behind it.
+    """
     if folded is None:
-        return rows
+        known = manifest(spark, out)
+        if known is None:
+            return spark.read.parquet(out)
+        done = spark.read.parquet(known["snapshot"])
+        later = [f"{out}/batch={n}" for n in batch_numbers_in(spark, out) if n > known["upto"]]
+        if not later:
+            return done
+        return spark.read.option("basePath", out).parquet(*later).unionByName(done)
+    rows = spark.read.parquet(out)
     done = spark.read.parquet(folded)
     upto = done.agg(F.max("batch")).first()[0]
     return rows.where(F.col("batch") > upto).unionByName(done)
 
 
+def batch_numbers_in(spark: SparkSession, out: str) -> list[int]:
+    """Numbers of the batches that are written whole."""
+    names = [n for n in files.children(spark, out) if n.startswith("batch=")]
+    return sorted(int(n[6:]) for n in names if files.exists(spark, f"{out}/{n}/_SUCCESS"))
+
+
+def manifest(spark: SparkSession, out: str) -> dict | None:
+    """The newest manifest of ``compact``: version, snapshot, upto and the batches retired before it."""
+    versions = [n for n in files.children(spark, f"{out}-folded") if n.endswith(".json")]
+    return json.loads(files.read_text(spark, f"{out}-folded/{max(versions)}")) if versions else None
+
+
+def compact(spark: SparkSession, out: str, fold) -> dict | None:
+    """Fold what is written into one snapshot and retire the batches folded the time before.
+
+    ``fold(rows) -> rows`` is the folding, such as ``newest_rows`` or ``last_fields``.  A snapshot counts
+    from the moment its manifest appears, which happens in one step; readers see the old state
+    or the new one, and a run that dies before leaves files no one names.  Batches live on
+    for one compaction more, for readers that began before.  Of the batches the newest is left
+    out, as a restarted stream may write it again.
+    """
+    known = manifest(spark, out)
+    upto = -1 if known is None else known["upto"]
+    ready = [n for n in batch_numbers_in(spark, out)[:-1] if n > upto]
+    if not ready:
+        return known
+    version = 0 if known is None else known["version"] + 1
+    rows = spark.read.option("basePath", out).parquet(*[f"{out}/batch={n}" for n in ready])
+    if known is not None:
+        rows = rows.unionByName(spark.read.parquet(known["snapshot"]))
+    snapshot = f"{out}-folded/{version:08d}-{uuid.uuid4().hex}"
+    fold(rows).withColumn("batch", F.lit(ready[-1])).write.parquet(snapshot)
+    new = {"version": version, "snapshot": snapshot, "upto": ready[-1], "retired": upto}
+    files.put_new(spark, f"{out}-folded/{version:08d}.json", json.dumps(new))
+    for number in batch_numbers_in(spark, out):
+        if number <= upto:
+            files.remove(spark, f"{out}/batch={number}")
+    return new
+
+
+def newest_rows(key: str):
+    """Folding of a state: the newest row per key."""
+
+    def fold(rows: DataFrame) -> DataFrame:
+        kept = [c for c in rows.columns if c not in (key, "batch")]
+        newest = rows.groupBy(key).agg(F.max_by(F.struct(*kept), F.col("batch")).alias("_s"))
+        return newest.select(key, "_s.*")
+
+    return fold
+
+
+def last_fields(seq: str = "seq"):
+    """Folding of a change log: the last value per id and field."""
+
+    def fold(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("_id", "field").agg(F.max_by("value", seq).alias("value"), F.max(seq).alias(seq))
+
+    return fold
+
+
 def fold_state(spark: SparkSession, out: str, key: str, into: str, folded: str | None = None) -> str:
     """Fold the finished batches of a state into one, the newest row per key.
 
@@ -111,8 +248,8 @@ def upsert(updates: DataFrame, target: str, checkpoint: str, seq: str = "seq", i
     Every batch is reduced to the last value per id and field (map-side combined) and
     written as its own folder; ``upserted`` applies the log to the base collection.
     """
-    fields = updates.select("_id", seq, F.explode(F.from_json("doc", "map<string,variant>")).alias("field", "value"))
-    fields = fields.select("_id", seq, "field", as_json(F.col("value")).alias("value"))
+    fields = updates.select("_id", seq, F.explode(raw_entries(F.col("doc"))).alias("e"))
+    fields = fields.select("_id", seq, F.col("e.key").alias("field"), "e.value")
 
     def save(batch: DataFrame, batch_id: int):
         last = batch.groupBy("_id", "field").agg(
@@ -132,6 +269,7 @@ def upserted(base: DataFrame, log: DataFrame, seq: str = "seq") -> DataFrame:
 
 
 __all__ = [
-    "batches", "fold_log", "fold_state", "intake", "iteration_state", "latest_state", "read_json_stream",
-    "read_parquet_stream", "upsert", "upserted", "write_batches",
+    "batches", "compact", "ended_totals", "ending_iterations", "fold_log", "fold_state", "intake", "iteration_state",
+    "last_fields", "latest_state", "manifest", "newest_rows", "read_json_stream", "read_parquet_stream", "upsert",
+    "upserted", "write_batches",
 ]
