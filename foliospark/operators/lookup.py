@@ -119,7 +119,7 @@ def lookup_tiers(
         best = dimension.groupBy(F.col(dimension_key).alias(f"_k{i}")).agg(
             F.min(value).alias(f"_m{i}"), F.count("*").alias(f"_n{i}")
         )
-        joined = joined.join(best, F.col(key) == F.col(f"_k{i}"), "left")
+        joined = dimension_join(joined, best, key, f"_k{i}")
     n = len(tiers)
     tier = F.coalesce(*[F.when(F.col(f"_k{i}").isNotNull(), F.lit(i + 1)) for i in range(n)], F.lit(0))
     return joined.select(

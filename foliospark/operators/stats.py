@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import as_json, text_kind
+from ..sources.files import saved
 from .reshape import document_map
 from .updates import EMPTY_USAGE_FIELDS, usage_present
 
@@ -113,10 +114,24 @@ def first_match(df: DataFrame, key: str, order: list[str], keep: list[str]) -> D
     return best.select(key, *[F.col(f"_best.{c}").alias(c) for c in keep])
 
 
-def batch_numbers(df: DataFrame, keys: list[str], order: list, chunk: Column, size: int = 100) -> DataFrame:
-    """Consecutive batches of ``size`` rows per key."""
+def in_ranges(df: DataFrame, order: list, name: str = "_range") -> DataFrame:
+    """``df`` cut into ranges of ``order`` of about equal size, numbered in ``name``.
+
+    Spark samples the order for the bounds, so a range holds about as many rows whatever the
+    values are and however many rows share a key.  The cut is written once to the shared folder.
+    """
+    return saved(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()), "ranges")
+
+
+def batch_numbers(df: DataFrame, keys: list[str], order: list, chunk: Column | None = None, size: int = 100) -> DataFrame:
+    """Consecutive batches of ``size`` rows per key.
+
+    Rows are numbered chunk by chunk; without a ``chunk`` they are cut into ranges of (keys, order).
+    """
+    if chunk is None:
+        df, chunk = in_ranges(df, [*keys, *order]), F.col("_range")
     numbered = chunked_running(df, keys, order, chunk, {"_rn": F.lit(1).cast("bigint")})
-    return numbered.withColumn("batch", F.floor((F.col("_rn") - 1) / size)).drop("_rn")
+    return numbered.withColumn("batch", F.floor((F.col("_rn") - 1) / size)).drop("_rn", "_range")
 
 
 # -- schema discovery ---------------------------------------------------------

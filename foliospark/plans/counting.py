@@ -160,3 +160,15 @@ def win_batches(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     numbered = S.batch_numbers(lines, ["l_suppkey"], LINE_ORDER, F.date_trunc("month", "l_shipdate"))
     return numbered.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "batch")
+
+
+@query(
+    "win_batches_ranged",
+    f"""select l_returnflag, l_orderkey, l_linenumber, l_partkey,
+               (row_number() over (partition by l_returnflag order by {', '.join(LINE_ORDER)}) - 1) // 100 as batch
+        from lineitem""",
+)
+def win_batches_ranged(spark, sf_dir):
+    """Three keys share all rows; ranges of the order bound what one task sorts."""
+    numbered = S.batch_numbers(table(spark, sf_dir, "lineitem"), ["l_returnflag"], LINE_ORDER)
+    return numbered.select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "batch")

@@ -7,13 +7,15 @@ that selectors read only the paths they name.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch
+from ..functions.rawjson import raw_elements
+from ..session import qualified, scratch
 from . import files
 
 DOC_SCHEMA = T.StructType(
@@ -58,10 +60,10 @@ def read_json_documents(
 
 
 def _explode_lists(docs: DataFrame) -> DataFrame:
-    """Elements of list-valued documents; any other value stays one document."""
+    """Elements of list-valued documents, as they are written; any other value stays one document."""
     v = F.col("v")
     listed = F.try_variant_get(v, "$", "array<variant>")
-    parts = F.when(listed.isNotNull(), F.transform(listed, lambda x: F.to_json(x))).otherwise(F.array("doc"))
+    parts = F.when(listed.isNotNull(), raw_elements(F.when(listed.isNotNull(), F.col("doc")))).otherwise(F.array("doc"))
     return docs.select("collection", F.explode(parts).alias("doc")).withColumn(
         "v", F.parse_json("doc")
     )
@@ -206,15 +208,20 @@ def insert_docs(df: DataFrame, store: str, name: str) -> tuple[DataFrame, DataFr
 
 
 def collection_counts(spark: SparkSession, store: str, names: list[str]) -> DataFrame:
-    """Exact document count per existing collection (Parquet footers, no data read)."""
-    counts = [
-        read_collection(spark, store, n).groupBy().count().select(F.lit(n).alias("name"), "count")
-        for n in names
-        if files.has_data(spark, collection_path(store, n))
-    ]
-    if not counts:
+    """Exact document count per existing collection: one scan that reads the deletion marks only."""
+    paths = {n: collection_path(store, n) for n in dict.fromkeys(names)}
+    paths = {n: p for n, p in paths.items() if files.has_data(spark, p)}
+    if not paths:
         return spark.createDataFrame([], "name string, count bigint")
-    return reduce(DataFrame.unionByName, counts)
+    places = {n: re.sub("^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", qualified(spark, p)) for n, p in paths.items()}
+    single = [places[n] for n, p in paths.items() if not files.is_folder(spark, p)]
+    rows = spark.read.schema("_deleted boolean").parquet(*paths.values())
+    file = F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+    place = F.when(file.isin(single), file).otherwise(F.regexp_replace(file, "/[^/]*$", ""))
+    live_rows = F.count_if(~F.coalesce(F.col("_deleted"), F.lit(False)))
+    counts = rows.groupBy(place.alias("_place")).agg(live_rows.alias("count"))
+    named = spark.createDataFrame(list(places.items()), "name string, _at string")
+    return named.join(counts, F.col("_at") == F.col("_place"), "left").select("name", F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def collection_status(
