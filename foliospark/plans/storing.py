@@ -8,6 +8,7 @@ from ..functions.selector import where
 from ..operators import updates as U
 from ..operators.stats import collect_messages
 from ..session import scratch
+from ..sources import buckets as L
 from ..sources import documents as D
 from ..sources import objects as B
 from .adapters import TURNS_SQL, event_doc, mixed_doc, table, turns
@@ -67,6 +68,21 @@ def src_json_mapping(spark, sf_dir):
     return docs.groupBy("collection").agg(F.count("*").alias("n"), F.max(last).alias("last"))
 
 
+@query(
+    "src_raw_lists",
+    """select event_id, '{"z": ' || event_id || '.50, "a": {"k": 1.0, "b": [2, {}]}}' as doc from events""",
+)
+def src_raw_lists(spark, sf_dir):
+    """Elements of a list file keep the order of their keys and the spelling of their numbers."""
+    base = scratch(spark, "lists")
+    e = table(spark, sf_dir, "events").withColumn("block", F.floor(F.col("event_id") / FILE_ROWS))
+    one = F.concat(F.lit('{"z": '), "event_id", F.lit('.50, "a": {"k": 1.0, "b": [2, {}]}}'))
+    lists = e.groupBy("block").agg(F.concat(F.lit("[ "), F.array_join(F.collect_list(one), " ,"), F.lit("]")).alias("content"))
+    B.put_objects(lists.select(F.concat(F.col("block").cast("string"), F.lit(".json")).alias("key"), "content"), base).count()
+    docs = D.read_json_mapping(spark, {"files": [f"{base}/*.json"]})
+    return docs.select(F.floor(F.try_variant_get("v", "$.z", "double")).alias("event_id"), "doc")
+
+
 @query(
     "src_folder_tree",
     """select 'c_' || lower(o_orderpriority[1:1]) as collection, o_orderstatus as status, count(*) as n
@@ -383,6 +399,23 @@ def upd_last_wins(spark, sf_dir):
     )
 
 
+@query(
+    "upd_raw_text",
+    """select user_id, '{"z": 1.50, "nested": {"b": 1.0, "a": [1, 2.0]}, "type":"' || t || '", "kept": {"y":1,"x":"\\u00e9"},"added":{"d":' || k || '.0,"c":1}}' as doc
+       from (select user_id, max_by(event_type, event_id) as t, max_by(cast(regexp_extract(props, '[0-9]+') as integer), event_id) as k from events group by 1)""",
+)
+def upd_raw_text(spark, sf_dir):
+    """An update replaces the slices of its own keys; the rest of the text stays as it is written."""
+    e = table(spark, sf_dir, "events")
+    user = F.col("user_id").cast("string").alias("_id")
+    base = '{"z": 1.50, "nested": {"b": 1.0, "a": [1, 2.0]}, "type":null, "kept": {"y":1,"x":"\\u00e9"}}'
+    target = e.groupBy(user).agg(F.lit(base).alias("doc"))
+    k = F.regexp_extract("props", "[0-9]+", 0).cast("int").cast("string")
+    doc = F.concat(F.lit('{"added":{"d":'), k, F.lit('.0,"c":1},"type":"'), "event_type", F.lit('"}'))
+    merged = U.merge_documents(target, e.select(user, F.col("event_id").alias("seq"), doc.alias("doc")))
+    return merged.select(F.col("_id").cast("bigint").alias("user_id"), "doc")
+
+
 def append_inputs(spark, sf_dir):
     t = turns(spark, sf_dir)
     usage_type = "struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>"
@@ -443,3 +476,21 @@ def upd_append_messages(spark, sf_dir):
     return docs.select(
         "iteration_id", "segment", F.size("messages").cast("bigint").alias("n"), F.array_join(line, "\n").alias("transcript")
     )
+
+
+@query(
+    "upd_laid_out",
+    """select o_orderkey, case when o_orderkey % 97 = 0 then '{"status":"X","total":1.50}' else '{"status":"' || o_orderstatus || '"}' end as doc from orders
+       where o_orderkey % 89 <> 0 union all select -o_orderkey, '{"new":true}' from orders where o_orderkey % 89 = 0""",
+)
+def upd_laid_out(spark, sf_dir):
+    """Updates and inserts of a collection laid out by id; only the partitions they fall into are replaced."""
+    path = scratch(spark, "laid")
+    o = table(spark, sf_dir, "orders").withColumn("_id", F.col("o_orderkey").cast("string"))
+    body = F.concat(F.lit('{"status":"'), "o_orderstatus", F.lit('"}'))
+    L.lay_out(o.where("o_orderkey % 89 <> 0").select("_id", F.lit(None).cast("string").alias("_rev"), body.alias("doc")), path, 16, 8)
+    changes = o.where("o_orderkey % 97 = 0").select("_id", F.lit(1).alias("seq"), F.lit('{"status":"X","total":1.50}').alias("doc"))
+    L.update_laid_out(spark, path, changes, lambda stored: U.merge_documents(stored, changes), 16, 8)
+    new = o.where("o_orderkey % 89 = 0").select(F.concat(F.lit("-"), "_id").alias("_id"), F.lit(None).cast("string").alias("_rev"), F.lit('{"new":true}').alias("doc"))
+    L.update_laid_out(spark, path, new, lambda stored: L.insert_new(stored, new), 16, 8)
+    return L.laid_out(spark, path, 16, 8).select(F.col("_id").cast("bigint").alias("o_orderkey"), "doc")
