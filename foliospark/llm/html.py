@@ -4,21 +4,24 @@
    references decoded, white space runs as one blank) and its place: inside an article, inside
    an element that is never main text (menus, headers, footers, asides, forms, scripts,
    notices, adverts, comments, by tag, role or class name), or neither.
-2. Pages of one host are ordered by URL path; a page is paired with the neighbour that shares
-   the longer path prefix.  Neighbours come from ranges of the order, and the edges of the
-   ranges from a table with one row a range, so a host of any size is spread over many tasks.
-3. The block hashes of the pair are aligned by longest common subsequence.  Shared blocks
-   outside an article are template lines and go.  Inside an article shared blocks go as well
-   (notices, adverts, links), but body paragraphs stay, and so do blocks next to a
-   body paragraph that is shared too: those are a passage both articles have.  Two pages that
-   share most of their blocks are copies of each other, not a template: nothing is deleted then.
-4. Pages with an article keep the article's blocks, others all that is left.
+2. Pages of one host are ordered by URL path.  Neighbours with the same blocks are one page here; a
+   page is paired with that neighbour of other content that shares the longer path prefix.
+   Neighbours come from ranges of the order, and the edges of the ranges from a table with a
+   few rows a range, so a host of any size is spread over many tasks.
+3. The block hashes of the pair are aligned by longest common subsequence.  Shared blocks are
+   template lines and go.  Only inside an article do the tags decide on some of them: body
+   paragraphs stay, and so do blocks next to a body paragraph that is shared too, as those
+   are a passage both articles have; where all of an article is shared, all of it stays.
+4. Of the blocks that differ, those in elements that are never main text go, as menus may
+   change from page to page.  Pages with an article keep the article's blocks, others all
+   that is left.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html
+import math
 import re
 
 import pyarrow as pa
@@ -51,89 +54,148 @@ MARKS = re.compile(
 )
 MAIN = re.compile(r"(?:^|[\s_-])(?:article(?:-?body)?|post-?(?:body|content)|entry-?content|main-?content|articlebody)(?:$|[\s_-])", re.I)
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile("[\"'>]")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
-
-#: two pages that share more of the smaller one's blocks are copies
-COPY_PERCENT = 90
+#: an end tag does not reach out of these, nor out of an article
+WALLS = frozenset(("nav", "footer", "aside", "table", "td"))
 
 
 class _Page:
-    """Blocks of one page: [(text, inside an article, never main text, body paragraph)]."""
+    """Blocks of one page: [(text, inside an article, never main text, body paragraph)].
+
+    What is open is counted by kind, and the places of open elements are kept by name, so a tag
+    costs the same however deep it stands.
+    """
 
     def __init__(self):
         self.blocks, self.held = [], []
         self.open: list[tuple[str, bool, bool]] = []  # element, starts an article, starts what is never main
+        self.places: dict[str, list[int]] = {}
+        self.walls: list[int] = []
+        self.articles = self.nevers = self.bodies = 0
 
     def text(self, piece: str):
         if piece:
             self.held.append(piece)
 
+    def has(self, name: str) -> bool:
+        return bool(self.places.get(name))
+
     def cut(self):
         if self.held:
             line = _SPACE.sub(" ", html.unescape("".join(self.held))).strip()
             self.held = []
             if line:
                 # what stands in a list item belongs to the list, also when it is a paragraph
-                around = [e for e, _, _ in self.open if e in BODY or e == "li"]
-                body = bool(around) and "li" not in around
-                self.blocks.append((line, any(a for _, a, _ in self.open), any(n for _, _, n in self.open), body))
+                body = self.bodies > 0 and not self.has("li")
+                self.blocks.append((line, self.articles > 0, self.nevers > 0, body))
+
+    def push(self, name: str, article: bool, never: bool):
+        self.places.setdefault(name, []).append(len(self.open))
+        if article or name in WALLS:
+            self.walls.append(len(self.open))
+        self.articles += article
+        self.nevers += never
+        self.bodies += name in BODY
+        self.open.append((name, article, never))
+
+    def pop(self):
+        name, article, never = self.open.pop()
+        self.places[name].pop()
+        if self.walls and self.walls[-1] == len(self.open):
+            self.walls.pop()
+        self.articles -= article
+        self.nevers -= never
+        self.bodies -= name in BODY
 
     def start(self, name: str, attributes: str):
         if name in BLOCKS:
             self.cut()
-        if name in ENDS_P and any(e == "p" for e, _, _ in self.open):
+        if name in ENDS_P and self.has("p"):
             self.end("p")
-        if name == "li" and any(e == "li" for e, _, _ in self.open) and self.open[-1][0] != "ul" and self.open[-1][0] != "ol":
+        if name == "li" and self.has("li") and self.open[-1][0] not in ("ul", "ol"):
             self.end("li")
         if name in VOID or attributes.rstrip().endswith("/") and name not in ("p", "div", "article"):
             return
         names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)) if "=" in attributes else ""
         main = name in ("article", "main") or bool(names and MAIN.search(names))
-        inside = any(a for _, a, _ in self.open)
-        never = name in NEVER and not (name in ("header", "figure", "figcaption") and inside) or bool(
+        never = name in NEVER and not (name in ("header", "figure", "figcaption") and self.articles) or bool(
             names and not main and name not in ("html", "body") and MARKS.search(names)
         )
-        self.open.append((name, main and not never, never))
+        self.push(name, main and not never, never)
 
     def end(self, name: str):
         if name in BLOCKS:
             self.cut()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == name:
-                del self.open[k:]
-                return
-            # an end tag does not reach out of the part of the page it stands in
-            if self.open[k][1] or self.open[k][0] in ("nav", "footer", "aside", "table", "td"):
-                return
+        if not self.has(name) or self.walls and self.places[name][-1] < self.walls[-1]:
+            return
+        for _ in range(len(self.open) - self.places[name][-1]):
+            self.pop()
 
 
-def blocks_of(page: str) -> list[tuple[str, bool, bool, bool]]:
-    """(text, in an article, never main text, body paragraph) of each block, in page order."""
-    out, at = _Page(), 0
-    while (m := _TAG.search(page, at)) is not None:
-        out.text(page[at : m.start()])
-        at, name = m.end(), (m[2] or "").lower()
-        if not name:
+def tags_of(page: str):
+    """Yield (text before, name, is an end tag, attributes), last with an empty name, reading from left to right once.
+
+    A ``<`` that starts no tag is text.  Quotes in a tag hide ``>``; once a tag's quotes do not
+    close, they hide nothing in the rest of the page.
+    """
+    at, last, quotes, text = 0, page.rfind(">"), True, []
+    while (begin := page.find("<", at)) >= 0:
+        comment = page.startswith("!--", begin + 1)
+        if begin > last and not comment:
+            break
+        text.append(page[at:begin])
+        at = begin + 1
+        if comment:
+            end = page.find("-->", at + 3)
+            at = len(page) if end < 0 else end + 3
             continue
-        if m[1]:
-            out.end(name)
+        if page.startswith(("!", "?"), at):
+            at = page.find(">", at) + 1
+            continue
+        m = _NAME.match(page, at)
+        if m is None:
+            text.append("<")
             continue
-        out.start(name, m[3])
-        if name in RAW:
+        end = m.end()
+        while quotes and (stop := _STOP.search(page, end)) is not None and stop[0] != ">":
+            end = page.find(stop[0], stop.end()) + 1
+            if not end:
+                quotes = False
+        if quotes and stop is None:
+            quotes = False
+        end = stop.start() if quotes else page.find(">", m.end())
+        name = m[1].lower()
+        yield "".join(text), name, page[at] == "/", page[m.end() : end]
+        text, at = [], end + 1
+        if name in RAW and page[begin + 1] != "/":
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = close.start() if close else len(page)
-    out.text(page[at:])
+    text.append(page[at:])
+    yield "".join(text), "", False, ""
+
+
+def blocks_of(page: str) -> list[tuple[str, bool, bool, bool]]:
+    """(text, in an article, never main text, body paragraph) of each block, in page order."""
+    out = _Page()
+    for text, name, ends, attributes in tags_of(page):
+        out.text(text)
+        if ends:
+            out.end(name)
+        elif name:
+            out.start(name, attributes)
     out.cut()
     return out.blocks
 
 
-def common_lines(a: list[int], b: list[int]) -> list[int]:
+def common_lines(a: list, b: list) -> list[int]:
     """Places in ``a`` of a longest common subsequence with ``b``.
 
     Common ends are taken first, then lines are matched by rows of a table of the middle
-    parts, kept as one integer a row (bit-parallel), so long pages cost little.
+    parts, kept as one integer a row (bit-parallel), so long pages cost little.  Of the rows
+    some are kept, a root's worth, and those between are computed again on the way back.
     """
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
@@ -142,31 +204,52 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     mid_a, mid_b = a[head : len(a) - tail], b[head : len(b) - tail]
-    places: dict[int, int] = {}
+    places: dict = {}
     for k, line in enumerate(mid_b):
-        places[line] = places.get(line, 0) | 1 << k
-    row, rows, full = (1 << len(mid_b)) - 1, [], (1 << len(mid_b)) - 1
-    for line in mid_a:
-        rows.append(row)
-        hit = row & places.get(line, 0)
-        row = ((row + hit) | (row - hit)) & full
+        places.setdefault(line, []).append(k)
+    wanted = set(mid_a)
+    lines = {line: _bits(own) for line, own in places.items() if line in wanted}
+    full = (1 << len(mid_b)) - 1
+
+    def following(row, line):
+        hit = row & lines.get(line, 0)
+        return ((row + hit) | (row - hit)) & full
+
+    span = max(1, math.isqrt(len(mid_a)))
+    kept, row = [], full
+    for i, line in enumerate(mid_a):
+        if i % span == 0:
+            kept.append(row)
+        row = following(row, line)
     # walk back: a zero bit k of a row says that b[:k+1] gains one common line there
-    out, j, i = [], len(mid_b), len(mid_a)
-    after = row
-    while i and j:
-        before = rows[i - 1]
-        gained = not after >> (j - 1) & 1
-        if not gained:
-            j -= 1
-        elif not before >> (j - 1) & 1:
-            i, after = i - 1, before
-        else:
-            out.append(head + i - 1)
-            i, j, after = i - 1, j - 1, before
+    out, j, after = [], len(mid_b), row
+    for block in reversed(range(len(kept))):
+        first = block * span
+        rows = [kept[block]]
+        for line in mid_a[first : first + span - 1]:
+            rows.append(following(rows[-1], line))
+        i = min(first + span, len(mid_a))
+        while i > first and j:
+            before = rows[i - 1 - first]
+            if after >> (j - 1) & 1:
+                j -= 1
+            elif not before >> (j - 1) & 1:
+                i, after = i - 1, before
+            else:
+                out.append(head + i - 1)
+                i, j, after = i - 1, j - 1, before
     return [*range(head), *reversed(out), *range(len(a) - tail, len(a))]
 
 
-LINES = "page_id long, host string, path string, n long, lines array<long>"
+def _bits(places: list[int]) -> int:
+    """The number with these bits set."""
+    data = bytearray(places[-1] // 8 + 1)
+    for k in places:
+        data[k >> 3] |= 1 << (k & 7)
+    return int.from_bytes(data, "little")
+
+
+LINES = "page_id long, host string, path string, n string, content long, lines array<long>"
 
 
 def _number(text: str) -> int:
@@ -181,7 +264,8 @@ def _line_rows(batches):
             hosts.append(m[1].lower() if m else "")
             paths.append(m[2] if m else (url or ""))
             lines.append([_number(text) for text, *_ in blocks_of(page or "")])
-        columns = [batch.column(0), pa.array(hosts), pa.array(paths), batch.column(3), pa.array(lines, pa.list_(pa.int64()))]
+        content = [_number(" ".join(map(str, own))) for own in lines]
+        columns = [batch.column(0), pa.array(hosts), pa.array(paths), batch.column(3), pa.array(content, pa.int64()), pa.array(lines, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in LINES.split(", ")])
 
 
@@ -194,43 +278,55 @@ def _prefix(a, b):
 
 
 def nearest_pages(lines: DataFrame) -> DataFrame:
-    """(n, other): each page with the neighbour of its host that shares the longer path prefix.
+    """(n, other): each page with the neighbour of other content in its host that shares the longer path prefix.
 
-    The order is cut into ranges; inside a range neighbours are adjacent rows, and the first
-    and last row of every range come from a table with a row a range.
+    The order is cut into ranges.  Inside a range, rows that follow one another with the same
+    content make a run, and the neighbours of a run are the runs beside it.  At the edges of a
+    range they come from a table of the first two and last two runs of every range.
     """
-    light = lines.select("host", "path", "page_id", "n").repartitionByRange("host", "path", "page_id", "n")
+    order = ["host", "path", "page_id", "n"]
+    light = lines.select(*order, "content").repartitionByRange(*order)
     light = stored(light.withColumn("range", F.spark_partition_id()), "order")
-    key = F.struct("host", "path", "page_id", "n")
-    inside = Window.partitionBy("range").orderBy("host", "path", "page_id", "n")
-    edges = light.groupBy("range").agg(F.min(key).alias("first"), F.max(key).alias("last"))
-    by_range = Window.orderBy("range")
-    edges = edges.select("range", F.lag("last").over(by_range).alias("left"), F.lead("first").over(by_range).alias("right"))
-    rows = light.withColumn("before", F.lag(key).over(inside)).withColumn("after", F.lead(key).over(inside)).join(edges, "range")
-    rows = rows.withColumn("before", F.coalesce("before", "left")).withColumn("after", F.coalesce("after", "right"))
+    key = F.struct(*order, "content")
+    inside = Window.partitionBy("range").orderBy(*order)
+    changed = F.coalesce((F.lag("content").over(inside) != F.col("content")) | (F.lag("host").over(inside) != F.col("host")), F.lit(True))
+    rows = light.withColumn("run", F.sum(changed.cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = stored(rows.groupBy("range", "run").agg(F.min(key).alias("first"), F.max(key).alias("last")), "runs")
+    by_run = Window.partitionBy("range").orderBy("run")
+    runs = runs.withColumn("before", F.lag("last").over(by_run)).withColumn("after", F.lead("first").over(by_run))
+    most = Window.partitionBy("range")
+    runs = stored(runs.withColumn("runs", F.max("run").over(most)), "runs")
+    # at most four rows a range, in one task: what stands before and after each range
+    edges = runs.filter("run <= 2 or run >= runs - 1").select("range", "run", "runs", "first", "last")
+    same = (F.lag("last.content").over(Window.orderBy("range", "run")) == F.col("first.content")) & (F.lag("last.host").over(Window.orderBy("range", "run")) == F.col("first.host"))
+    edges = edges.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
+    edges = edges.withColumn("group", F.sum("new").over(Window.orderBy("range", "run").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    groups = edges.groupBy("group").agg(F.min(F.struct("range", "run", "first")).alias("f"), F.max(F.struct("range", "run", "last")).alias("l"))
+    by_group = Window.orderBy("group")
+    groups = groups.select("group", F.lag("l.last").over(by_group).alias("left"), F.lead("f.first").over(by_group).alias("right"))
+    edges = edges.filter("run = 1 or run = runs").join(groups, "group").select("range", "run", "left", "right")
+    found = runs.join(edges, ["range", "run"], "left")
+    found = found.select("range", "run", F.coalesce("before", F.when(F.col("run") == 1, F.col("left"))).alias("before"), F.coalesce("after", F.when(F.col("run") == F.col("runs"), F.col("right"))).alias("after"))
     near = lambda side: F.when(F.col(f"{side}.host") == F.col("host"), _prefix(F.col("path"), F.col(f"{side}.path"))).otherwise(-1)
-    rows = rows.filter("host <> ''").withColumn("b", near("before")).withColumn("a", near("after"))
+    rows = rows.filter("host <> ''").join(found, ["range", "run"]).withColumn("b", near("before")).withColumn("a", near("after"))
     other = F.when((F.col("b") >= F.col("a")) & (F.col("b") >= 0), F.col("before.n")).when(F.col("a") >= 0, F.col("after.n"))
     return rows.select("n", other.alias("other")).filter("other is not null")
 
 
 def _shared(batches):
     for batch in batches:
-        out = []
-        for own, other in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            same = common_lines(own, other)
-            copies = 100 * len(same) > COPY_PERCENT * max(1, min(len(own), len(other)))
-            out.append([] if copies else same)
+        pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+        out = [common_lines(own, other) for own, other in pairs]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["n", "shared"])
 
 
 def template_lines(lines: DataFrame) -> DataFrame:
-    """(n, shared): the blocks of a page that its nearest page shares; only pages with any."""
+    """(n, shared): the blocks of a page that its nearest page of other content shares; only pages with any."""
     pairs = nearest_pages(lines)
     own = lines.select("n", F.col("lines").alias("own"))
     other = lines.select(F.col("n").alias("other"), F.col("lines").alias("theirs"))
     both = pairs.join(own, "n").join(other, "other").select("n", "own", "theirs")
-    return both.mapInArrow(_shared, "n long, shared array<int>").filter(F.size("shared") > 0)
+    return both.mapInArrow(_shared, "n string, shared array<int>").filter(F.size("shared") > 0)
 
 
 def article_template(blocks: list[tuple[str, bool, bool, bool]], shared: frozenset[int]) -> set[int]:
@@ -256,33 +352,42 @@ def article_template(blocks: list[tuple[str, bool, bool, bool]], shared: frozens
     return out
 
 
+def main_blocks(blocks: list[tuple[str, bool, bool, bool]], shared: frozenset[int]) -> tuple[list[str], int, int]:
+    """The main text's blocks, how many of the others differencing deleted, and how many the tags did."""
+    template = article_template(blocks, shared)
+    differ = [k for k, (_, a, never, _) in enumerate(blocks) if k not in shared or a and not never and k not in template]
+    kept = [k for k in differ if not blocks[k][2]]
+    if any(blocks[k][1] for k in kept):
+        kept = [k for k in kept if blocks[k][1]]
+    return [blocks[k][0] for k in kept], len(blocks) - len(differ), len(differ) - len(kept)
+
+
+TEXTS = "page_id long, url string, text string, n_chars long, n_shared long, n_marked long"
+
+
 def _texts(batches):
     for batch in batches:
-        shared = batch.column(3).to_pylist()
-        texts = []
-        for page, gone in zip(batch.column(2).to_pylist(), shared, strict=True):
-            blocks, gone = blocks_of(page or ""), frozenset(gone or ())
-            template = article_template(blocks, gone)
-            kept = [(t, a) for k, (t, a, never, _) in enumerate(blocks) if not never and k not in (template if a else gone)]
-            if any(a for _, a in kept):
-                kept = [(t, a) for t, a in kept if a]
-            texts.append("\n".join(t for t, _ in kept))
-        n = [len(t) for t in texts]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(n, pa.int64())], ["page_id", "url", "text", "n_chars"]
-        )
+        pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+        found = [main_blocks(blocks_of(page or ""), frozenset(gone or ())) for page, gone in pairs]
+        texts = ["\n".join(kept) for kept, _, _ in found]
+        counts = [[len(t) for t in texts], [n for _, n, _ in found], [n for _, _, n in found]]
+        columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in counts)]
+        yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in TEXTS.split(", ")])
 
 
 def main_text(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
-    """(page_id, url, text, n_chars), one row per row of ``pages``.
+    """(page_id, url, text, n_chars, n_shared, n_marked), one row per row of ``pages``.
 
-    A null page is an empty one and has an empty text.  Pages without a host are not paired.
-    Pages that repeat an id or URL are pages of their own; other columns are not looked at.
+    ``n_shared`` blocks went because the paired page has them too, ``n_marked`` others by their tags.
+    A null page is an empty one and has an empty text.  Pages without a host are not paired, nor
+    pages of hosts that have one content only.  Pages that repeat an id or URL are pages of
+    their own; other columns are not looked at.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows = rows.withColumn("n", F.xxhash64("page_id", "url", "html"))
-    # rows that agree in everything are one page here, and get one answer
+    # 128 bits and the id: rows that agree in everything are one page here, and get one answer
+    hashes = [F.hex(F.xxhash64(F.lit(salt), "url", "html", "page_id")) for salt in (1, 2)]
+    rows = rows.withColumn("n", F.concat_ws(":", F.col("page_id").cast("string"), *hashes))
     lines = stored(rows.mapInArrow(_line_rows, LINES).dropDuplicates(["n"]), "lines")
     shared = template_lines(lines)
     joined = rows.join(shared, "n", "left").select("page_id", "url", "html", "shared")
-    return joined.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    return joined.mapInArrow(_texts, TEXTS)
