@@ -3,9 +3,9 @@
 A shard is one range of doc_id, encoded and written by one task as two Arrow IPC files (the
 stream layout plus a footer, uncompressed):
 
-* sequences: ``input_ids fixed_size_list<uint16|uint32, L>`` and ``mask fixed_size_list<bool, L>``.
+* sequences: ``input_ids fixed_size_list<uint16|uint32, L>`` and ``mask fixed_size_list<uint8, L>``.
   Documents follow one another without gaps; the last sequence of a shard is padded and its
-  mask is false there.  Every batch but the last has the same number of rows, so sequence i
+  mask is 0 there, else 1.  Masks are bytes, as Arrow packs booleans into bits, which no array can view.  Every batch but the last has the same number of rows, so sequence i
   is row i % rows of batch i // rows, and a memory-mapped read copies nothing.
 * documents: ``doc_id, start, n_tokens``, start counted within the shard.
 
@@ -124,7 +124,7 @@ class _Shard:
         self.names = [own_name(f"{kind}-{part:06d}", ".arrow") for kind in ("sequences", "documents")]
         self.length, self.dtype = length, dtype
         item = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("input_ids", pa.list_(item, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("input_ids", pa.list_(item, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.index = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.out = [self.fs.open_output_stream(f"{path}/{n}") for n in self.names]
         self.writers = [pa.ipc.new_file(o, s) for o, s in zip(self.out, (self.schema, self.index), strict=True)]
@@ -148,7 +148,7 @@ class _Shard:
                 self.held, self.size = [data[whole:]], len(data) - whole
 
     def _write(self, ids: np.ndarray, valid: int | None = None):
-        mask = np.arange(len(ids)) < (len(ids) if valid is None else valid)
+        mask = (np.arange(len(ids)) < (len(ids) if valid is None else valid)).astype(np.uint8)
         columns = [
             pa.FixedSizeListArray.from_arrays(pa.array(ids), self.length),
             pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length),
@@ -196,7 +196,8 @@ def write_tokens(
     """
     folder = output_folder(docs.sparkSession, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows that share an id, or have none, are dealt out by how their texts begin
+    rows = rows.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     manifest = stored(rows.mapInArrow(lambda it: _write_shards(it, folder, vocabulary, end_id, length), MANIFEST), "manifest")
     # one row a shard: a running total over shards, not over documents
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -226,12 +227,11 @@ class Shard:
         return self._batch
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (a view of the file) and mask of sequence i."""
+        """Ids and mask (1 for an id, 0 for padding) of sequence i, both views of the file."""
         k, row = divmod(i, self.rows)
         batch = self.batch(k)
-        ids = batch.column("input_ids").values.to_numpy()[row * self.length : (row + 1) * self.length]
-        mask = batch.column("mask").values.slice(row * self.length, self.length)
-        return ids, mask.to_numpy(zero_copy_only=False)
+        here = slice(row * self.length, (row + 1) * self.length)
+        return tuple(batch.column(c).values.to_numpy()[here] for c in ("input_ids", "mask"))
 
     def span(self, start: int, n: int) -> np.ndarray:
         """n ids from position ``start`` of the shard on."""
