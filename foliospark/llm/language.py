@@ -216,8 +216,9 @@ def train_languages(docs: DataFrame, id_col="doc_id", text_col="text", lang_col=
     most = level(list(counts.values()), rows)
     stands = {lang: max(1.0, n / most) for lang, n in counts.items()}
     if sum(counts.values()) > rows:
-        rate = docs.sparkSession.createDataFrame([(lang, int((1 << 20) / s)) for lang, s in stands.items()], "lang string, rate long")
-        labelled = labelled.join(rate, "lang").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("rate"))
+        # a constant of the plan, as a join would deal all texts by language
+        rate = F.create_map(*[F.lit(x) for lang, s in stands.items() for x in (lang, int((1 << 20) / s))])
+        labelled = labelled.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.try_element_at(rate, F.col("lang")))
     counted = labelled.select("doc_id", "lang", "text").dropDuplicates().mapInArrow(_counted, "doc_id long, lang string, which binary, times binary")
     found = counted.repartition(1).mapInArrow(lambda it: _trained(it, stands), "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else None

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -213,6 +214,92 @@ def test_differencing_decides_inside_articles(spark):
     assert text[5] == text[6] == "line\nnext"
 
 
+def plain_main_text(rows):
+    """Pages in order of URL, each line by line against the nearest page of other content."""
+
+    def split(url):
+        m = re.match(r"[a-z]+://([^/?#]*)([^?#]*)", url or "")
+        return (m[1].lower(), m[2]) if m else ("", url or "")
+
+    pages = sorted(((*split(url), i, page) for i, url, page in rows), key=lambda r: (r[0], r[1], r[2]))
+    blocks = [html.blocks_of(r[3] or "") for r in pages]
+    lines = [[t for t, *_ in b] for b in blocks]
+    out = {}
+    for k, (host, path, i, _) in enumerate(pages):
+        best = None
+        for side in (range(k - 1, -1, -1), range(k + 1, len(pages))):
+            other = next((o for o in side if pages[o][0] != host or lines[o] != lines[k]), None)
+            if other is None or pages[other][0] != host or not host:
+                continue
+            there, size = pages[other][1], 0
+            while size < min(len(path), len(there)) and path[size] == there[size]:
+                size += 1
+            if best is None or size > best[0]:
+                best = size, other
+        shared = set()
+        if best is not None:
+            a, b = lines[k], lines[best[1]]
+            table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for x in range(len(a)):
+                for y in range(len(b)):
+                    table[x + 1][y + 1] = table[x][y] + 1 if a[x] == b[y] else max(table[x][y + 1], table[x + 1][y])
+            shared = set(html.common_lines(a, b))
+            assert len(shared) == table[-1][-1]
+        article = [n for n, (_, inside, never, _) in enumerate(blocks[k]) if inside and not never]
+        body = [n for n in article if blocks[k][n][3]]
+        keep = set()
+        for n, (text, inside, never, is_body) in enumerate(blocks[k]):
+            if never or n in shared and n not in article:
+                continue
+            if n in shared and not is_body and not shared.issuperset(article):
+                beside = [max((p for p in body if p < n), default=None), min((p for p in body if p > n), default=None)]
+                if not any(p in shared for p in beside if p is not None):
+                    continue
+            keep.add(n)
+        keep = keep & set(article) or keep
+        out[i] = "\n".join(blocks[k][n][0] for n in sorted(keep))
+    return out
+
+
+def test_main_text_matches_plain_differencing(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(160):
+        host, folder = rng.choice("xy"), rng.randint(0, 3)
+        words = [f"<div>{rng.choice('abcdef')}</div>" for _ in range(rng.randint(0, 6))]
+        inside = [f"<{t}>{rng.choice('uvw')}</{t}>" for t in rng.choices(["p", "div", "li", "h2"], k=rng.randint(0, 6))]
+        if rng.random() < 0.5:
+            words.insert(rng.randint(0, len(words)), f"<article>{''.join(inside)}</article>")
+        if rng.random() < 0.3:
+            words.insert(0, f"<nav>{rng.choice('mn')}</nav>")
+        rows.append((i, f"http://{host}/{folder}/{rng.randint(0, 30)}", "".join(words)))
+    # copies that follow one another, also the whole of a host
+    rows += [(200 + k, f"http://x/1/{k:03}", "<div>a</div><div>copied</div>") for k in range(60)]
+    rows += [(300 + k, f"http://z/{k}", "<div>same</div>") for k in range(20)]
+    want = plain_main_text(rows)
+    for parts in ("3", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = html.main_text(pages_of(spark, rows)).collect()
+        assert {r.page_id: r.text for r in got} == want
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert sum(r.n_shared for r in got) > 100 and any(r.n_marked for r in got)
+
+
+def test_hostile_pages_take_linear_time():
+    n = 100_000
+    begun = time.perf_counter()
+    assert html.blocks_of("<a " * n) == [("<a " * (n - 1) + "<a", False, False, False)]
+    assert html.blocks_of("<a " * n + ">x")[0][0] == "x"
+    assert len(html.blocks_of("<div>x" * n)) == n
+    assert html.blocks_of("<b><table>" + "<div>" * n + "</b>" * n + "y")[0][0] == "y"
+    assert html.blocks_of("<a \"" * n + ">z")
+    assert html.blocks_of("<!--" * n) == [] and html.blocks_of("<!x" * n)[0][0].startswith("<!x")
+    assert html.blocks_of("<script>" * n) == []
+    a, b = list(range(20_000)), list(range(40_000, 60_000))
+    assert html.common_lines(a, b) == [] and html.common_lines(a + [1], b + [1]) == [20_000]
+    assert time.perf_counter() - begun < 20
+
+
 def test_common_lines_is_longest():
     rng = random.Random(3)
     for _ in range(300):

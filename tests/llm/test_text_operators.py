@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -283,3 +284,36 @@ def test_labelers_earn_their_weight():
     assert chance[0, "pattern", 1][1] > 0.85 and chance[0, "pattern", 1][0] < 0.3
     weight = pii.span_classifier(table, real)
     assert weight["pattern"] > 0 and weight["form"] > 0
+
+
+def test_many_spans_take_linear_time(spark):
+    text = "a@b.c " * 100_000
+    began = time.perf_counter()
+    row = pii.personal_data(frame(spark, [(1, text)])).first()
+    assert row.n_email == 100_000 and row.spans.startswith("email:0:5,email:6:11,") and row.spans.endswith("email:599994:599999")
+    assert time.perf_counter() - began < 60
+
+
+def test_keyed_secrets_are_added(spark):
+    rng = random.Random(4)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    told = {k: key() for k in range(40)}
+    rows = [(k, f'prose before token = "{v}" and prose behind, ratio = 0.5') for k, v in told.items()]
+    rows += [(100 + k, f"key: aaaaaaaaaaaaaaaaaaaaaaaa{'a' * k}, see chapter: introductionsandconclusions") for k in range(40)]
+    rows += [(200, "password=hunter2hunter2hunter2"), (201, "no secret here"), (202, None)]
+    got = {r.doc_id: r for r in pii.personal_data(frame(spark, rows)).collect()}
+    for k, v in told.items():
+        at = rows[k][1].index(v)
+        assert got[k].spans == f"secret:{at}:{at + 40}" and got[k].n_added == 1
+        assert got[k].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert not any("secret" in got[100 + k].spans for k in range(40)) and got[201].spans == got[202].spans == ""
+
+
+def test_rules_keep_their_order(spark, texts):
+    """A rule that costs far more for as many rejections comes later, run for run."""
+    slow = rules.Rule("slow", lambda text, words: rules.F.length(rules.F.array_join(rules.F.transform(rules.F.sequence(rules.F.lit(1), rules.F.lit(800)), lambda i: rules.F.sha2(text, 256)), "")) < 0)
+    quick = rules.Rule("quick", lambda text, words: rules.F.length(text) < 0)
+    many = rules.Rule("many", lambda text, words: rules.F.length(text) >= 0)
+    for _ in range(3):
+        order = rules.measured_order(frame(spark, texts), [slow, quick, many])
+        assert [r.name for r in order][0] == "many" and order[-1].name == "slow"
