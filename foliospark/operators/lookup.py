@@ -22,11 +22,17 @@ BROADCAST_BYTES = 8 << 20
 SALTS = 16
 
 
-def dimension_join(df: DataFrame, side: DataFrame, key: str, side_key: str) -> DataFrame:
-    """Left join of documents with a dimension of one row per key."""
+def sizes_of(sides: list[DataFrame]) -> list[tuple[int, int]]:
+    """Rows and bytes of each side, measured in one job."""
     bytes_of_row = F.octet_length(F.to_json(F.struct("*")))
-    rows, size = side.agg(F.count("*"), F.coalesce(F.sum(bytes_of_row), F.lit(0))).first()
-    if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
+    each = [side.agg(F.lit(i).alias("i"), F.count("*").alias("n"), F.coalesce(F.sum(bytes_of_row), F.lit(0)).alias("b")) for i, side in enumerate(sides)]
+    return [(r["n"], r["b"]) for r in sorted(reduce(DataFrame.union, each).collect())] if each else []
+
+
+def dimension_join(df: DataFrame, side: DataFrame, key: str, side_key: str, size: tuple[int, int] | None = None) -> DataFrame:
+    """Left join of documents with a dimension of one row per key; ``size`` is its rows and bytes where known."""
+    rows, bytes_ = size or sizes_of([side])[0]
+    if rows <= BROADCAST_ROWS and bytes_ <= BROADCAST_BYTES:
         return df.join(F.broadcast(side), F.col(key) == F.col(side_key), "left")
     hashed = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int"))
@@ -90,12 +96,13 @@ def assemble_context(df: DataFrame, contexts: list[tuple[DataFrame, str, str]])
     """
     sources: dict[str, list[Column]] = {}
     joined = df
+    sizes = sizes_of([dimension for dimension, _, _ in contexts])
     for i, (dimension, key, dimension_key) in enumerate(contexts):
         names = [c for c in dimension.columns if c != dimension_key]
         renamed = dimension.select(
             F.col(dimension_key).alias(f"_key{i}"), *[F.col(c).alias(f"_c{i}_{c}") for c in names]
         )
-        joined = dimension_join(joined, renamed, key, f"_key{i}")
+        joined = dimension_join(joined, renamed, key, f"_key{i}", sizes[i])
         for c in names:
             sources.setdefault(c, []).append(F.col(f"_c{i}_{c}"))
     for c in df.columns:
@@ -114,12 +121,13 @@ def lookup_tiers(
     Each tier is reduced to one row per key, so the result has one row per request
     however popular a key is; a request no tier knows gets the default.
     """
+    best = [
+        dimension.groupBy(F.col(dimension_key).alias(f"_k{i}")).agg(F.min(value).alias(f"_m{i}"), F.count("*").alias(f"_n{i}"))
+        for i, (_, dimension, dimension_key) in enumerate(tiers)
+    ]
     joined = df
-    for i, (key, dimension, dimension_key) in enumerate(tiers):
-        best = dimension.groupBy(F.col(dimension_key).alias(f"_k{i}")).agg(
-            F.min(value).alias(f"_m{i}"), F.count("*").alias(f"_n{i}")
-        )
-        joined = dimension_join(joined, best, key, f"_k{i}")
+    for i, ((key, _, _), side, size) in enumerate(zip(tiers, best, sizes_of(best), strict=True)):
+        joined = dimension_join(joined, side, key, f"_k{i}", size)
     n = len(tiers)
     tier = F.coalesce(*[F.when(F.col(f"_k{i}").isNotNull(), F.lit(i + 1)) for i in range(n)], F.lit(0))
     return joined.select(
