@@ -249,7 +249,7 @@ def _bits(places: list[int]) -> int:
     return int.from_bytes(data, "little")
 
 
-LINES = "page_id long, host string, path string, n string, content long, lines array<long>"
+LINES = "page_id long, host string, path string, n binary, content long, lines array<long>"
 
 
 def _number(text: str) -> int:
@@ -281,34 +281,36 @@ def nearest_pages(lines: DataFrame) -> DataFrame:
     """(n, other): each page with the neighbour of other content in its host that shares the longer path prefix.
 
     The order is cut into ranges.  Inside a range, rows that follow one another with the same
-    content make a run, and the neighbours of a run are the runs beside it.  At the edges of a
-    range they come from a table of the first two and last two runs of every range.
+    content make a run, and the neighbours of a run are the rows beside it.  At the edges of a
+    range they come from a table of the ends of the first two and last two runs of every range.
     """
     order = ["host", "path", "page_id", "n"]
     light = lines.select(*order, "content").repartitionByRange(*order)
     light = stored(light.withColumn("range", F.spark_partition_id()), "order")
-    key = F.struct(*order, "content")
+    key, page = F.struct(*order), F.struct("host", "content")
     inside = Window.partitionBy("range").orderBy(*order)
-    changed = F.coalesce((F.lag("content").over(inside) != F.col("content")) | (F.lag("host").over(inside) != F.col("host")), F.lit(True))
-    rows = light.withColumn("run", F.sum(changed.cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = stored(rows.groupBy("range", "run").agg(F.min(key).alias("first"), F.max(key).alias("last")), "runs")
-    by_run = Window.partitionBy("range").orderBy("run")
-    runs = runs.withColumn("before", F.lag("last").over(by_run)).withColumn("after", F.lead("first").over(by_run))
-    most = Window.partitionBy("range")
-    runs = stored(runs.withColumn("runs", F.max("run").over(most)), "runs")
-    # at most four rows a range, in one task: what stands before and after each range
-    edges = runs.filter("run <= 2 or run >= runs - 1").select("range", "run", "runs", "first", "last")
-    same = (F.lag("last.content").over(Window.orderBy("range", "run")) == F.col("first.content")) & (F.lag("last.host").over(Window.orderBy("range", "run")) == F.col("first.host"))
-    edges = edges.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
-    edges = edges.withColumn("group", F.sum("new").over(Window.orderBy("range", "run").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    groups = edges.groupBy("group").agg(F.min(F.struct("range", "run", "first")).alias("f"), F.max(F.struct("range", "run", "last")).alias("l"))
+    backwards = Window.partitionBy("range").orderBy(*[F.col(c).desc() for c in order])
+    rows = light.withColumn("prev", F.lag(key).over(inside)).withColumn("next", F.lag(key).over(backwards))
+    rows = rows.withColumn("starts", ~F.lag(page).over(inside).eqNullSafe(page)).withColumn("ends", ~F.lag(page).over(backwards).eqNullSafe(page))
+    # the row before this row's run, and the one behind it; null at the edges of the range
+    before, after = (F.last(F.when(F.col(c), F.col(k)), ignorenulls=True) for c, k in (("starts", "prev"), ("ends", "next")))
+    rows = rows.withColumn("before", before.over(inside)).withColumn("after", after.over(backwards))
+    rows = rows.withColumn("run", F.sum(F.col("starts").cast("int")).over(inside)).withColumn("run_back", F.sum(F.col("ends").cast("int")).over(backwards))
+    # at most eight rows a range, in one task: what stands before and after each range
+    every = Window.orderBy("range", *order)
+    edges = rows.filter("(starts and run <= 2) or (ends and run_back <= 2)").select("range", *order, key.alias("key"), page.alias("page"), "run", "run_back", "starts", "ends")
+    edges = edges.withColumn("new", (~F.lag("page").over(every).eqNullSafe(F.col("page"))).cast("int")).withColumn("group", F.sum("new").over(every))
+    groups = edges.groupBy("group").agg(F.min(F.struct("range", "key")).alias("f"), F.max(F.struct("range", "key")).alias("l"))
     by_group = Window.orderBy("group")
-    groups = groups.select("group", F.lag("l.last").over(by_group).alias("left"), F.lead("f.first").over(by_group).alias("right"))
-    edges = edges.filter("run = 1 or run = runs").join(groups, "group").select("range", "run", "left", "right")
-    found = runs.join(edges, ["range", "run"], "left")
-    found = found.select("range", "run", F.coalesce("before", F.when(F.col("run") == 1, F.col("left"))).alias("before"), F.coalesce("after", F.when(F.col("run") == F.col("runs"), F.col("right"))).alias("after"))
+    groups = groups.select("group", F.lag("l.key").over(by_group).alias("left"), F.lead("f.key").over(by_group).alias("right"))
+    edges = edges.join(groups, "group")
+    outer = edges.groupBy(F.col("range").alias("r")).agg(
+        F.max(F.when(F.col("starts") & (F.col("run") == 1), F.col("left"))).alias("left"), F.max(F.when(F.col("ends") & (F.col("run_back") == 1), F.col("right"))).alias("right")
+    )
+    rows = rows.filter("host <> ''").join(outer, F.col("range") == F.col("r"))
+    rows = rows.withColumn("before", F.coalesce("before", "left")).withColumn("after", F.coalesce("after", "right"))
     near = lambda side: F.when(F.col(f"{side}.host") == F.col("host"), _prefix(F.col("path"), F.col(f"{side}.path"))).otherwise(-1)
-    rows = rows.filter("host <> ''").join(found, ["range", "run"]).withColumn("b", near("before")).withColumn("a", near("after"))
+    rows = rows.withColumn("b", near("before")).withColumn("a", near("after"))
     other = F.when((F.col("b") >= F.col("a")) & (F.col("b") >= 0), F.col("before.n")).when(F.col("a") >= 0, F.col("after.n"))
     return rows.select("n", other.alias("other")).filter("other is not null")
 
@@ -326,7 +328,7 @@ def template_lines(lines: DataFrame) -> DataFrame:
     own = lines.select("n", F.col("lines").alias("own"))
     other = lines.select(F.col("n").alias("other"), F.col("lines").alias("theirs"))
     both = pairs.join(own, "n").join(other, "other").select("n", "own", "theirs")
-    return both.mapInArrow(_shared, "n string, shared array<int>").filter(F.size("shared") > 0)
+    return both.mapInArrow(_shared, "n binary, shared array<int>").filter(F.size("shared") > 0)
 
 
 def article_template(blocks: list[tuple[str, bool, bool, bool]], shared: frozenset[int]) -> set[int]:
@@ -384,9 +386,9 @@ def main_text(pages: DataFrame, id_col="page_id", url_col="url", html_col="html"
     their own; other columns are not looked at.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    # 128 bits and the id: rows that agree in everything are one page here, and get one answer
-    hashes = [F.hex(F.xxhash64(F.lit(salt), "url", "html", "page_id")) for salt in (1, 2)]
-    rows = rows.withColumn("n", F.concat_ws(":", F.col("page_id").cast("string"), *hashes))
+    # 128 bits, the id among them: rows that agree in everything are one page here, and get one answer
+    hashes = [F.lpad(F.hex(F.xxhash64(F.lit(salt), "url", "html", "page_id")), 16, "0") for salt in (1, 2)]
+    rows = rows.withColumn("n", F.unhex(F.concat(*hashes)))
     lines = stored(rows.mapInArrow(_line_rows, LINES).dropDuplicates(["n"]), "lines")
     shared = template_lines(lines)
     joined = rows.join(shared, "n", "left").select("page_id", "url", "html", "shared")
