@@ -198,7 +198,7 @@ def _form(kind: str, match: Column) -> Column:
         "ip": F.when(F.contains(match, F.lit(":")), F.lit(True)).otherwise(_octets(match)),
         "card": luhn(digits),
         "phone": F.length(digits).between(10, 15),
-        # letters and digits mixed, as chance does it: no longer run of either than half of it
+        # letters and digits mixed, as chance does it
         "secret": F.rlike(match, F.lit("[0-9][^0-9]+[0-9]")) & F.rlike(match, F.lit("[A-Za-z].*[A-Za-z]")) & ~F.contains(match, F.lit("..")),
     }[kind]
 
