@@ -210,5 +210,8 @@ def infer_schema(df: DataFrame, order: list[str], limit: int | None) -> DataFram
     if limit is not None:
         df = df.orderBy(*order).limit(limit)
     entries = df.select(*order, F.explode(document_map(F.col("doc"))).alias("field", "value"))
-    first = entries.groupBy("field").agg(F.min_by("value", F.struct(*order)).alias("value"))
-    return first.select("field", _json_type(F.col("value")).alias("type"))
+    # with a collecting aggregate beside it the minimum of texts is kept in a hash table a task, before the
+    # shuffle; alone it would sort all entries, each with its whole document
+    seen = F.collect_set(F.lit(True)).alias("seen")
+    first = entries.groupBy("field").agg(F.min_by("value", F.struct(*order)).alias("value"), seen)
+    return first.where(F.size("seen") > 0).select("field", _json_type(F.col("value")).alias("type"))
