@@ -61,13 +61,21 @@ def sort_keys(df: DataFrame, field: str) -> list[Column]:
     return [leaf.column.cast("string") if kind == "string" else leaf.column]
 
 
-def ordering(df: DataFrame, sort, tiebreak: str | None = "_id") -> list[Column]:
-    columns = []
-    for field, direction in normalize_sort(sort):
-        columns += [k.asc() if direction > 0 else k.desc() for k in sort_keys(df, field)]
-    if tiebreak and tiebreak in df.columns:
-        columns.append(F.col(tiebreak).asc())
-    return columns
+def sorted_by(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` sorted, each key worked out once a row: a sort evaluates its expressions at every comparison."""
+    taken, start = {c.lower() for c in df.columns}, "_sort"
+    while any(c.startswith(start) for c in taken):
+        start += "_"
+    names = [f"{start}{i}" for i in range(len(order))]
+    keyed = df.withColumns({name: key for name, (key, _) in zip(names, order, strict=True)})
+    ways = [F.col(name).asc() if direction > 0 else F.col(name).desc() for name, (_, direction) in zip(names, order, strict=True)]
+    return keyed.orderBy(*ways)
+
+
+def ordering(df: DataFrame, sort, tiebreak: str | None = "_id") -> list[tuple[Column, int]]:
+    """(key, direction) of a full order, the tiebreak last."""
+    keys = [(key, direction) for field, direction in normalize_sort(sort) for key in sort_keys(df, field)]
+    return [*keys, (F.col(tiebreak), 1)] if tiebreak and tiebreak in df.columns else keys
 
 
 def _after(column: Column, value: Column, direction: int, is_null: bool) -> Column:
@@ -90,9 +98,9 @@ def bookmark_of(df: DataFrame, sort, tiebreak: str, page: DataFrame) -> str | No
     their key, so decimals, timestamps and nulls survive.
     """
     keys = _page_keys(page, sort, tiebreak)
-    backwards = [c.desc() if d < 0 else c.asc() for c, d in ((c, -d) for c, d in keys)]
-    texts = [c.cast("string").alias(f"k{i}") for i, (c, _) in enumerate(keys)]
-    last = page.orderBy(*backwards).select(*texts).limit(1).collect()
+    found = page.select(*[c.alias(f"k{i}") for i, (c, _) in enumerate(keys)])
+    backwards = [F.col(f"k{i}").asc() if d < 0 else F.col(f"k{i}").desc() for i, (_, d) in enumerate(keys)]
+    last = found.orderBy(*backwards).select(*[F.col(c).cast("string") for c in found.columns]).limit(1).collect()
     return base64.urlsafe_b64encode(json.dumps(list(last[0])).encode()).decode() if last else None
 
 
@@ -130,7 +138,8 @@ def retrieve(
         found = behind_bookmark(found, sort, tiebreak, bookmark)
     order = ordering(found, sort, tiebreak)
     if order and (sort or limit is not None or bookmark):
-        found = found.orderBy(*order)
-    if limit is not None:
+        columns, found = found.columns, sorted_by(found, order)
+        found = (found if limit is None else found.limit(limit)).select(*[F.col(f"`{c}`") for c in columns])
+    elif limit is not None:
         found = found.limit(limit)
     return project(found, fields, include_id) if fields is not None else found
