@@ -22,9 +22,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .jsontext import elements_of, key_path
+from .jsontext import elements_of, entries_of
 from ..sources.files import saved
-from .paths import as_json, json_path, let, text_kind, variant_literal
+from .paths import as_json, is_object, json_path, let, variant_kind, variant_literal
 from .pytext import variant_number_text_of, variant_repr
 from .rawjson import aligned_text, raw_entries
 
@@ -97,21 +97,19 @@ def first_of(*errors: Column | None) -> Column:
     return F.coalesce(*known) if known else no_text()
 
 
-def python_equal(v: Column, text: Column, value) -> Column:
+def python_equal(v: Column, kind: Column, value) -> Column:
     """Equality as Python sees it: 1, 1.0 and true are the same."""
-    kind = text_kind(text)
     number = F.try_variant_get(v, "$", "double")
     if isinstance(value, (bool, int, float)):
         return kind.isin("number", "boolean") & (number == F.lit(float(value)))
     if isinstance(value, str):
         return (kind == "string") & (F.try_variant_get(v, "$", "string") == F.lit(value))
-    return text == as_json(variant_literal(value))
+    return as_json(v) == as_json(variant_literal(value))
 
 
-def has_type(v: Column, text: Column, name: str) -> Column:
-    kind = text_kind(text)
+def has_type(v: Column, kind: Column, name: str) -> Column:
     if name == "integer":
-        big = text.rlike(r"^-?\d{19,}$")
+        big = as_json(v).rlike(r"^-?\d{19,}$")
         return (kind == "number") & ((F.schema_of_variant(v) == "BIGINT") | big)
     if name in ("object", "array", "string", "boolean", "null", "number"):
         return kind == name
@@ -122,6 +120,13 @@ def no_variant() -> Column:
     return F.lit(None).cast("variant")
 
 
+def other_entries(v: Column, declared) -> Column:
+    """Entries of an object whose keys are not among ``declared``; NULL for anything else."""
+    if not declared:
+        return entries_of(v)
+    return F.filter(entries_of(v), lambda e: ~e["key"].isin(*declared))
+
+
 def joined(arrays: list[Column]) -> Column:
     """One array of several, of which some may be null."""
     full = F.filter(F.array(*arrays), lambda a: a.isNotNull())
@@ -221,14 +226,14 @@ class SchemaCompiler:
             raw, shown = (no_text() if c is None else c for c in (place.raw, place.shown))
             one = F.struct(number, self.key(ref, place).alias("key"), place.at.alias("at"), shown.alias("shown"), raw.alias("raw"), v.alias("value"))
             return [F.array(one)]
-        out, text = [], as_json(v)
+        out = []
         for how, key, sub in below(schema):
             step = {"same": (), "items": (None,), "rest": (True,)}.get(how, (key,))
             if self.fresh(sub, met, (*where, *step)):
-                out.append(self.targets_in(how, key, sub, v, text, place, met, (*where, *step)))
+                out.append(self.targets_in(how, key, sub, v, place, met, (*where, *step)))
         return out
 
-    def targets_in(self, how, key, sub, v: Column, text: Column, place: Place, met: set, where: tuple) -> Column:
+    def targets_in(self, how, key, sub, v: Column, place: Place, met: set, where: tuple) -> Column:
         """``targets`` of one schema inside another, as one array."""
 
         def inside(x: Column, at: Place) -> Column:
@@ -241,12 +246,9 @@ class SchemaCompiler:
             found = F.coalesce(F.try_variant_get(v, json_path([key]), "variant"), default)
             return let(found, lambda x: F.when(x.isNotNull(), inside(x, place.child(key))))
         if how == "items":
-            items = F.when(F.substring(text, 1, 1) == "[", elements_of(v))
-            each = F.transform(items, lambda x, i: inside(x, place.item(i)))
+            each = F.transform(elements_of(v), lambda x, i: inside(x, place.item(i)))
         else:
-            known = F.array(*[F.lit(k) for k in key]) if key else F.array().cast("array<string>")
-            keys = F.array_except(F.json_object_keys(F.when(F.substring(text, 1, 1) == "{", text)), known)
-            each = F.transform(keys, lambda k: inside(F.try_variant_get(v, key_path(k), "variant"), place.child(k)))
+            each = F.transform(other_entries(v, key), lambda e: inside(e["value"], place.child(e["key"])))
         return F.flatten(F.filter(each, lambda a: a.isNotNull()))
 
     def fresh(self, schema, met: set, where: tuple) -> bool:
@@ -340,35 +342,40 @@ class SchemaCompiler:
 
     # -- checks that never change the value -----------------------------------
     def plain_checks(self, schema, v, path) -> Column:
-        text = as_json(v)
-        tests = []
-        if "const" in schema:
-            wrong = f" does not equal const {schema['const']!r}"
-            tests.append((~python_equal(v, text, schema["const"]), wrong))
-        if "enum" in schema:
-            member = F.lit(False)
-            for value in schema["enum"]:
-                member = member | python_equal(v, text, value)
-            tests.append((~member, f" not in enum {schema['enum']}"))
-        if schema.get("type") is not None:
-            names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-            fits = F.lit(False)
-            for name in names:
-                fits = fits | has_type(v, text, name)
-            tests.append((~fits, f" is not of type {schema['type']}"))
+
+
+        def failed(kind):
+            tests = []
+            if "const" in schema:
+                wrong = f" does not equal const {schema['const']!r}"
+                tests.append((~python_equal(v, kind, schema["const"]), wrong))
+            if "enum" in schema:
+                member = F.lit(False)
+                for value in schema["enum"]:
+                    member = member | python_equal(v, kind, value)
+                tests.append((~member, f" not in enum {schema['enum']}"))
+            if schema.get("type") is not None:
+                names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
+                fits = F.lit(False)
+                for name in names:
+                    fits = fits | has_type(v, kind, name)
+                tests.append((~fits, f" is not of type {schema['type']}"))
+            return F.coalesce(*[F.when(bad, why) for bad, why in tests])
+
         out = state(v, no_text())
-        if tests:
+        if "const" in schema or "enum" in schema or schema.get("type") is not None:
             # which test fails is found here; the value is printed once, at the end
             told = lambda r: state(v, F.when(r.isNotNull(), self.message(path, "value ", VALUE_HERE, r)), F.when(r.isNotNull(), F.array(v)))
-            out = let(F.coalesce(*[F.when(bad, why) for bad, why in tests]), told)
+            out = let(let(variant_kind(v), failed), told)
         if "not" not in schema:
             return out
         accepted = self.node(schema["not"], v, path)["err"].isNull()
         return F.when(accepted, state(v, self.message(path, "value must not match 'not' schema"))).otherwise(out)
 
     def bounds(self, schema, v, path) -> Column:
-        text = as_json(v)
-        kind = text_kind(text)
+        return let(variant_kind(v), lambda kind: self.bounds_of(schema, v, kind, path))
+
+    def bounds_of(self, schema, v, kind, path) -> Column:
         size = F.length(F.when(kind == "string", F.try_variant_get(v, "$", "string")))
         number = F.when(kind == "number", F.try_variant_get(v, "$", "double"))
         shown = variant_number_text_of(v)
@@ -387,7 +394,7 @@ class SchemaCompiler:
 
     # -- arrays --------------------------------------------------------------
     def array(self, schema, v, path) -> Column:
-        arr = F.when(F.substring(as_json(v), 1, 1) == "[", elements_of(v))
+        arr = elements_of(v)
         n = F.size(arr)
         errors = []
         for key, sign in (("minItems", "minimum"), ("maxItems", "maximum")):
@@ -412,7 +419,6 @@ class SchemaCompiler:
     def object(self, schema, v, path, order=None) -> Column:
         properties = schema.get("properties", {})
         additional = schema.get("additionalProperties", True)
-        text = as_json(v)
         absent = state(F.lit(None).cast("variant"), no_text())
         defaults = [k for k, s in properties.items() if isinstance(s, dict) and "default" in s]
 
@@ -445,11 +451,9 @@ class SchemaCompiler:
             )
             for k in properties
         ]
-        declared = F.array(*[F.lit(k) for k in properties]) if properties else F.array().cast("array<string>")
-        extra_keys = F.array_except(F.json_object_keys(text), declared)
 
-        def extra(k):
-            x = F.try_variant_get(v, key_path(k), "variant")
+        def extra(e):
+            k, x = e["key"], e["value"]
             if additional is False:
                 note = self.message(path.child(k), "additional property not allowed")
                 r = absent if self.strip else state(x, note)
@@ -464,7 +468,7 @@ class SchemaCompiler:
         if own:
             parts.append(F.array(*own))
         if extras_matter or not own:
-            parts.append(F.transform(extra_keys, extra))
+            parts.append(F.transform(other_entries(v, properties), extra))
         members = parts[0] if len(parts) == 1 else F.concat(*parts)
 
         def folded(ms):
@@ -488,7 +492,7 @@ class SchemaCompiler:
             kept = F.filter(F.transform(ms, lambda m: F.struct(m["key"], m["r"]["v"])), lambda e: e["v"].isNotNull())
             return state(F.to_variant_object(F.map_from_entries(kept)), error, seen)
 
-        return F.when(F.substring(text, 1, 1) == "{", let(members, folded)).otherwise(state(v, no_text()))
+        return F.when(is_object(v), let(members, folded)).otherwise(state(v, no_text()))
 
     def rewrites(self, schema, seen: tuple = ()) -> bool:
         """Whether validating can change the value (so that it has to be rebuilt)."""
@@ -536,31 +540,35 @@ def validate(
     parsed = parse_schema(schema)
     root = PERMISSIVE if parsed is None else parsed
     compiler = SchemaCompiler(root, strip_unknown, strict_one_of)
-    return judged(compiler, data, key_mapping, key_order, record)
+    result = judged(compiler, data, key_mapping, key_order, record)
+    return let(result, lambda r: F.struct(normalized_text(r).alias("normalized"), r["error"].alias("error")))
 
 
 # Fixed value: the message for a record that is not there.
 DATA_REQUIRED = "'data' is required in the input payload"
 
 
+def normalized_text(result: Column) -> Column:
+    """JSON text of a ``judged`` record; NULL on error."""
+    return F.when(result["error"].isNull(), as_json(result["v"]))
+
+
 def printed_once(node: Column) -> Column:
     return let(node, printed)
 
 
 def judged(compiler: SchemaCompiler, data: Column, key_mapping, key_order, record, at: Column | None = None) -> Column:
-    """``struct<normalized, error>`` of the whole record."""
+    """``struct<v, error>`` of the whole record; ``v`` is printed by ``normalized_text``, where it is asked for."""
 
     def checked(v):
         return let(
             printed_once(compiler.node(compiler.root, v, Place(None, at, record), key_order)),
-            lambda s: F.struct(
-                F.when(s["err"].isNull(), as_json(s["v"])).alias("normalized"), s["err"].alias("error")
-            ),
+            lambda s: F.struct(s["v"].alias("v"), s["err"].alias("error")),
         )
 
     missing = data.isNull() | F.is_variant_null(data)
     working = remapped(data, key_mapping) if key_mapping else data
-    required = F.struct(no_text().alias("normalized"), F.lit(DATA_REQUIRED).alias("error"))
+    required = F.struct(no_variant().alias("v"), F.lit(DATA_REQUIRED).alias("error"))
     return F.when(missing, required).otherwise(let(working, checked))
 
 
@@ -718,7 +726,7 @@ def validate_documents(
     if verbose:
         log = validation_log(F.col(column), F.col(found), schema, key_mapping, strip_unknown)
         out = out.withColumn("log", log)
-    normalized = F.col(f"{found}.normalized")
+    normalized = normalized_text(F.col(found))
     if record_order:
         original = F.col("doc") if "doc" in df.columns else as_json(F.col(column))
         if key_mapping:

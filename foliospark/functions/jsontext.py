@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .paths import as_json, let
-from .rawjson import aligned_text
+from .paths import as_json, let, object_of
+from .rawjson import aligned_text, pruned_text
 
 
 def quoted(text: Column) -> Column:
-    """A string as JSON text."""
-    return as_json(text.cast("variant"))
+    """A string as JSON text; only one that needs escapes goes through the JSON writer."""
+    plain = F.concat(F.lit('"'), text, F.lit('"'))
+    return F.when(text.rlike(r'["\\\x00-\x1f]'), as_json(text.cast("variant"))).otherwise(plain)
 
 
 def elements_of(variant: Column) -> Column:
@@ -30,16 +31,7 @@ def key_path(key: Column) -> Column:
 
 def entries_of(variant: Column) -> Column:
     """Keys and values of an object, in key order; NULL for anything else."""
-    text = as_json(variant)
-
-    def entry(k: Column) -> Column:
-        by_path = F.try_variant_get(variant, key_path(k), "variant")
-        # a key holding both kinds of quotes cannot be written as a path
-        by_text = F.element_at(F.from_json(text, "map<string,variant>"), k)
-        both = k.contains("'") & k.contains('"')
-        return F.struct(k.alias("key"), F.when(both, by_text).otherwise(by_path).alias("value"))
-
-    return F.transform(F.json_object_keys(text), entry)
+    return F.map_entries(object_of(variant))
 
 
 def members_of(variant: Column) -> Column:
@@ -65,7 +57,8 @@ _FRAMES = f"array<struct<kind:string,key:string,members:{_MEMBERS}>>"
 
 def decoded(token: Column) -> Column:
     """The content of a JSON string token."""
-    return F.try_variant_get(F.try_parse_json(token), "$", "string")
+    inside = F.substr(token, F.lit(2), F.length(token) - 2)
+    return F.when(token.contains("\\"), F.try_variant_get(F.try_parse_json(token), "$", "string")).otherwise(inside)
 
 
 def fold_json(text: Column, scalar, container) -> Column:
@@ -110,6 +103,11 @@ def fold_json(text: Column, scalar, container) -> Column:
 
 def prune_json(variant: Column) -> Column:
     """JSON text with strings trimmed and empty members dropped; NULL when empty."""
+    return pruned_text(as_json(variant))
+
+
+def prune_json_inside(variant: Column) -> Column:
+    """``prune_json`` for the elements of arrays and maps, where only native expressions can stand."""
 
     def scalar(token):
         content = trimmed(decoded(token))

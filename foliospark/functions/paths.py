@@ -74,8 +74,40 @@ def text_kind(text: Column) -> Column:
     return F.try_element_at(F.expr(FIRST_CHARACTER_MAP), F.substring(text, 1, 1))
 
 
+def object_of(variant: Column) -> Column:
+    """Members of an object by key, in key order; NULL for anything else."""
+    return F.try_variant_get(variant, "$", "map<string,variant>")
+
+
+def is_object(variant: Column) -> Column:
+    """Whether a VARIANT is an object; its members are not read."""
+    return F.try_variant_get(variant, "$", "struct<>").isNotNull()
+
+
+def is_array(variant: Column) -> Column:
+    """Whether a VARIANT is an array; its elements are not copied."""
+    return F.try_variant_get(variant, "$", "array<boolean>").isNotNull()
+
+
 def variant_kind(variant: Column) -> Column:
-    return text_kind(as_json(variant))
+    """Kind of a VARIANT, told without printing it: printing costs by its size, dear for each string."""
+
+    def scalar(name: Column) -> Column:
+        return (
+            F.when(name.isin("BIGINT", "DECIMAL"), "number")
+            .when(name == "VOID", "null")
+            .when(name == "BOOLEAN", "boolean")
+            # what JSON has no number for is printed as a string
+            .when(name.isin("DOUBLE", "FLOAT"), text_kind(as_json(variant)))
+            .otherwise("string")
+        )
+
+    return (
+        F.when(variant.isNull(), F.lit(None).cast("string"))
+        .when(is_array(variant), "array")
+        .when(is_object(variant), "object")
+        .otherwise(let(F.substring_index(F.schema_of_variant(variant), "(", 1), scalar))
+    )
 
 
 def json_path(segments: list[str]) -> str:

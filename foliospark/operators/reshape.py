@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.jsontext import prune_json, trimmed
+from ..functions.jsontext import prune_json, prune_json_inside, trimmed
 from ..functions.paths import Leaf, TypedLeaf, VariantLeaf, row_leaf
 
 
@@ -95,23 +95,24 @@ def map_to_records(entries: Column) -> Column:
 
 
 # -- cleaning -----------------------------------------------------------------
-def prune_empty(value: Column, dtype: T.DataType) -> Column:
+def prune_empty(value: Column, dtype: T.DataType, inside: bool = False) -> Column:
     """Trim strings and drop empty members at every level; NULL when nothing is left.
 
-    The expression is generated from the type; numbers and booleans always stay.
+    The expression is generated from the type; numbers and booleans always stay.  ``inside`` an array or
+    a map it is native throughout.
     """
     if isinstance(dtype, T.StringType):
         text = trimmed(value)
         return F.when(text != "", text)
     if isinstance(dtype, T.VariantType):
-        return F.parse_json(prune_json(value))
+        return F.parse_json((prune_json_inside if inside else prune_json)(value))
     if isinstance(dtype, T.ArrayType):
         kept = F.filter(
-            F.transform(value, lambda x: prune_empty(x, dtype.elementType)), lambda x: x.isNotNull()
+            F.transform(value, lambda x: prune_empty(x, dtype.elementType, True)), lambda x: x.isNotNull()
         )
         return F.when(F.size(kept) > 0, kept)
     if isinstance(dtype, T.MapType):
-        cleaned = F.transform_values(value, lambda _, v: prune_empty(v, dtype.valueType))
+        cleaned = F.transform_values(value, lambda _, v: prune_empty(v, dtype.valueType, True))
         if isinstance(dtype.keyType, T.StringType):
             cleaned = F.transform_keys(cleaned, lambda k, _: trimmed(k))
             cleaned = F.map_filter(cleaned, lambda k, v: v.isNotNull() & (k != ""))
@@ -119,7 +120,7 @@ def prune_empty(value: Column, dtype: T.DataType) -> Column:
             cleaned = F.map_filter(cleaned, lambda k, v: v.isNotNull())
         return F.when(F.size(cleaned) > 0, cleaned)
     if isinstance(dtype, T.StructType):
-        parts = [(f.name, prune_empty(value[f.name], f.dataType)) for f in dtype]
+        parts = [(f.name, prune_empty(value[f.name], f.dataType, inside)) for f in dtype]
         present = F.lit(False)
         for _, part in parts:
             present = present | part.isNotNull()
