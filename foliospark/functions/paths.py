@@ -86,7 +86,7 @@ def is_object(variant: Column) -> Column:
 
 def is_array(variant: Column) -> Column:
     """Whether a VARIANT is an array; its elements are not copied."""
-    return F.try_variant_get(variant, "$", "array<boolean>").isNotNull()
+    return F.try_variant_get(variant, "$", "array<struct<>>").isNotNull()
 
 
 def variant_kind(variant: Column) -> Column:

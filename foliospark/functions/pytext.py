@@ -135,7 +135,7 @@ def walk(variant: Column, string, names: dict, depth: int = TYPED_DEPTH) -> Colu
     piece = f"case w {cases} {brackets} else {piece_scalar} end"
 
     def level(left: int) -> str:
-        v, t, m, k = f"v{left}", f"t{left}", f"m{left}", f"k{left}"
+        v, t, m = f"v{left}", f"t{left}", f"m{left}"
         head = f"substring({t}, 1, 1)"
         scalar = (
             f"""case when {head} = '"' then {string(f"try_variant_get({v}, '$', 'string')")} """
@@ -144,16 +144,21 @@ def walk(variant: Column, string, names: dict, depth: int = TYPED_DEPTH) -> Colu
         )
         if left == 0:
             inside = f"array_join(transform(regexp_extract_all({t}, {sql_text(JSON_TOKEN)}, 0), w -> {piece}), '')"
+            body = f"case when {head} in ('[', '{{') then {inside} else {scalar} end"
+            return sql_let(f"to_json({v})", t, body)
         else:
-            path = f"""if(contains({k}, "'"), concat('$["', {k}, '"]'), concat("$['", {k}, "']"))"""
             listed = f"transform(try_variant_get({v}, '$', 'array<variant>'), x -> struct(cast(null as string) as key, x as value))"
-            keyed = f"transform(json_object_keys({t}), {k} -> struct({k} as key, try_variant_get({v}, {path}, 'variant') as value))"
+            keyed = f"map_entries(try_variant_get({v}, '$', 'map<string,variant>'))"
             below = sql_let(f"{m}.value", f"v{left - 1}", level(left - 1))
             key = f"if({m}.key is null, '', concat({string(f'{m}.key')}, ': '))"
-            joined = f"array_join(transform(coalesce({listed}, {keyed}), {m} -> concat({key}, {below})), ', ')"
-            inside = f"concat({head}, {joined}, if({head} = '[', ']', '}}'))"
-        body = f"case when {head} in ('[', '{{') then {inside} else {scalar} end"
-        return sql_let(f"to_json({v})", t, body)
+            # only numbers and the like are printed as JSON here: the JSON writer is dear for each string
+            joined = f"array_join(transform(e{left}, {m} -> concat({key}, {below})), ', ')"
+            listing = f"try_variant_get({v}, '$', 'array<struct<>>') is not null"
+            inside = f"if({listing}, concat('[', {joined}, ']'), concat('{{', {joined}, '}}'))"
+            plain = string(f"try_variant_get({v}, '$', 'string')")
+            other = sql_let(f"to_json({v})", t, scalar)
+            text = f"case when e{left} is not null then {inside} when schema_of_variant({v}) = 'STRING' then {plain} else {other} end"
+            return sql_let(f"coalesce({listed}, {keyed})", f"e{left}", text)
 
     return F.call_function("transform", F.array(variant), F.expr(f"v{depth} -> {level(depth)}"))[0]
 
