@@ -154,7 +154,7 @@ def walk(variant: Column, string, names: dict, depth: int = TYPED_DEPTH) -> Colu
             # only numbers and the like are printed as JSON here: the JSON writer is dear for each string
             joined = f"array_join(transform(e{left}, {m} -> concat({key}, {below})), ', ')"
             listing = f"try_variant_get({v}, '$', 'array<struct<>>') is not null"
-            inside = f"if({listing}, concat('[', {joined}, ']'), concat('{{', {joined}, '}}'))"
+            inside = f"concat(if({listing}, '[', '{{'), {joined}, if({listing}, ']', '}}'))"
             plain = string(f"try_variant_get({v}, '$', 'string')")
             other = sql_let(f"to_json({v})", t, scalar)
             text = f"case when e{left} is not null then {inside} when schema_of_variant({v}) = 'STRING' then {plain} else {other} end"
