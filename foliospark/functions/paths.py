@@ -46,7 +46,8 @@ def variant_literal(value) -> Column:
 
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.transform(F.array(value), body)[0]
+    # element_at knows its type once; an index works it out anew, through all of the body, for each row
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def as_json(variant: Column) -> Column:

@@ -192,9 +192,15 @@ CHAIN_SCHEMA = {
 }
 
 
+def dealt(flat):
+    """Rows dealt out anew while they are short, as what is made of them takes far longer than to read them."""
+    spark = flat.sparkSession
+    return flat.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def chain_doc(spark, sf_dir):
     """Orders as links in links, twelve deep; the innermost holds the order's own values."""
-    o = table(spark, sf_dir, "orders")
+    o = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"))
     inner = F.concat(F.lit('{"key":'), "o_orderkey", F.lit(',"status":"'), "o_orderstatus", F.lit('"}'))
     return envelope(o, F.col("o_orderkey"), F.concat(F.lit('{"key":1,"next":' * CHAIN), inner, F.lit("}" * CHAIN)))
 
@@ -211,7 +217,7 @@ error_query(
 
 def tree_doc(spark, sf_dir):
     """Customers as trees of two kinds of branches."""
-    c = table(spark, sf_dir, "customer")
+    c = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"))
     leaf = F.concat(F.lit('{"n":'), F.col("c_custkey") % 10, F.lit("}"))
     side = F.concat(F.lit('{"n":'), F.col("c_nationkey"), F.lit(',"right":{"left":'), leaf, F.lit("}}"))
     return envelope(c, F.col("c_custkey"), F.concat(F.lit('{"right":['), side, F.lit(","), leaf, F.lit('],"left":'), side, F.lit("}")))

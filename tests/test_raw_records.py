@@ -161,6 +161,21 @@ def test_trees_are_judged_at_any_depth(spark, docs):
         validate(F.col("v"), TREE)
 
 
+def test_self_referring_schemas_run_no_job_of_their_own(spark, docs):
+    frame = docs([{"kids": [{"n": 1}, {"kids": [{"n": 99}]}], "n": 1}, {"n": 2}])
+    spark.sparkContext.setJobGroup("planning", "")
+    out = validate_documents(frame, TREE)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) == 0
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    spark.sparkContext.setJobGroup("other", "")
+
+
+def test_an_endless_schema_is_an_error(docs):
+    schema = {"properties": {"next": {"$ref": "#", "default": {}}}}
+    with pytest.raises(Exception, match="leads back to itself"):
+        validate_documents(docs([{"a": 1}]), schema).collect()
+
+
 def test_first_error_is_the_first_in_the_record(docs):
     schema = {"properties": {"p": {"properties": {"b": {"maximum": 1}, "z": {"maximum": 1}}}, "a": {"items": {"additionalProperties": {"maximum": 1}}}}}
     texts = ['{"p":{"z":2,"b":2}}', '{"p":{"b":2,"z":2},"a":[{"y":2,"x":2}]}', '{"a":[{},{"y":2,"x":2}],"p":{"b":2}}']
