@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,25 +79,29 @@ def ending_iterations(
     usage = [F.col(f"usage.{f}_tokens").alias(f) for f in ("prompt", "completion", "total")]
     flat = calls.select(key, F.col(seq).cast("long").alias("seq"), *usage)
     kind = flat.schema[key].dataType.simpleString()
+    columns = pd.Index([key, *names, "ended"])
 
     def follow(group, frames, state):
         if state.hasTimedOut:
             known = state.get
             state.remove()
-            yield pd.DataFrame([(*group, *known, True)], columns=[key, *names, "ended"])
+            yield pd.DataFrame([(*group, *known, True)], columns=columns)
             return
         first, done, tokens, p, c, t, at, last = state.get if state.exists else (None, 0, None, None, None, None, None, None)
         for frame in frames:
-            done += len(frame)
-            first = int(frame["seq"].min()) if first is None else first
-            last = int(frame["seq"].max()) if last is None else max(last, int(frame["seq"].max()))
-            used = frame[frame[["prompt", "completion", "total"]].notna().any(axis=1)]
-            if len(used):
-                tokens = (tokens or 0) + int(used["total"].fillna(0).sum())
-                newest = used.loc[used["seq"].idxmax()]
-                if at is None or newest["seq"] > at:
-                    at = int(newest["seq"])
-                    p, c, t = (None if pd.isna(newest[f]) else int(newest[f]) for f in ("prompt", "completion", "total"))
+            # a few calls at a time: plain arrays cost a tenth of what frames do
+            numbers, *used = (frame[f].to_numpy() for f in ("seq", "prompt", "completion", "total"))
+            done += len(numbers)
+            first = int(np.nanmin(numbers)) if first is None else first
+            last = int(np.nanmax(numbers)) if last is None else max(last, int(np.nanmax(numbers)))
+            given = np.flatnonzero(~np.all([pd.isna(u) for u in used], axis=0))
+            if len(given):
+                totals = used[2][given]
+                tokens = (tokens or 0) + int(totals[~pd.isna(totals)].sum())
+                newest = given[np.nanargmax(numbers[given])]
+                if at is None or numbers[newest] > at:
+                    at = int(numbers[newest])
+                    p, c, t = (None if pd.isna(u[newest]) else int(u[newest]) for u in used)
         now = (first, done, tokens, p, c, t, at, last)
         if done >= length:
             state.remove()
@@ -104,7 +109,9 @@ def ending_iterations(
             state.update(now)
             if idle_seconds is not None:
                 state.setTimeoutDuration(int(idle_seconds * 1000))
-        yield pd.DataFrame([(*group, *now, done >= length)], columns=[key, *names, "ended"]).astype(dict.fromkeys(names, "Int64"))
+        row = np.empty((1, len(columns)), object)
+        row[0, :] = (*group, *now, done >= length)
+        yield pd.DataFrame(row, columns=columns, copy=False)
 
     timeout = GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
     return flat.groupBy(key).applyInPandasWithState(follow, f"`{key}` {kind}, {STATE}, ended boolean", STATE, "update", timeout)
