@@ -364,13 +364,44 @@ def main_blocks(blocks: list[tuple[str, bool, bool, bool]], shared: frozenset[in
     return [blocks[k][0] for k in kept], len(blocks) - len(differ), len(differ) - len(kept)
 
 
+PARTS = "page_id long, url string, n binary, kinds binary, texts array<string>"
+
+
+def candidates(blocks: list[tuple[str, bool, bool, bool]]) -> list[int]:
+    """Places of the blocks whose text may be main text, whatever another page shares with this one.
+
+    Where an article has blocks some of them are always kept, and then nothing beside them is.
+    """
+    places = [k for k, (_, _, never, _) in enumerate(blocks) if not never]
+    return [k for k in places if blocks[k][1]] or places
+
+
+def _part_rows(batches):
+    for batch in batches:
+        kinds, texts = [], []
+        for page in batch.column(2).to_pylist():
+            blocks = blocks_of(page or "")
+            kinds.append(bytes(a | never << 1 | body << 2 for _, a, never, body in blocks))
+            texts.append([blocks[k][0] for k in candidates(blocks)])
+        columns = [batch.column(0), batch.column(1), batch.column(3), pa.array(kinds, pa.binary()), pa.array(texts, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in PARTS.split(", ")])
+
+
+def _blocks_from(kinds: bytes, texts: list[str]) -> list[tuple[str, bool, bool, bool]]:
+    """The blocks that ``_part_rows`` took apart, without the text of those that are no candidates."""
+    bare = [("", bool(b & 1), bool(b & 2), bool(b & 4)) for b in kinds]
+    for k, text in zip(candidates(bare), texts, strict=True):
+        bare[k] = (text, *bare[k][1:])
+    return bare
+
+
 TEXTS = "page_id long, url string, text string, n_chars long, n_shared long, n_marked long"
 
 
 def _texts(batches):
     for batch in batches:
-        pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-        found = [main_blocks(blocks_of(page or ""), frozenset(gone or ())) for page, gone in pairs]
+        parts = zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)
+        found = [main_blocks(_blocks_from(kinds, texts), frozenset(gone or ())) for kinds, texts, gone in parts]
         texts = ["\n".join(kept) for kept, _, _ in found]
         counts = [[len(t) for t in texts], [n for _, n, _ in found], [n for _, _, n in found]]
         columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in counts)]
@@ -391,5 +422,7 @@ def main_text(pages: DataFrame, id_col="page_id", url_col="url", html_col="html"
     rows = rows.withColumn("n", F.unhex(F.concat(*hashes)))
     lines = stored(rows.mapInArrow(_line_rows, LINES).dropDuplicates(["n"]), "lines")
     shared = template_lines(lines)
-    joined = rows.join(shared, "n", "left").select("page_id", "url", "html", "shared")
+    # the page itself stays where it is read: only texts that may be kept meet the shared blocks
+    parts = rows.mapInArrow(_part_rows, PARTS)
+    joined = parts.join(shared, "n", "left").select("page_id", "url", "kinds", "texts", "shared")
     return joined.mapInArrow(_texts, TEXTS)

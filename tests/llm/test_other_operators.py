@@ -261,6 +261,27 @@ def plain_main_text(rows):
     return out
 
 
+def test_main_text_keeps_pages_out_of_the_join(spark):
+    """op5 disk: the join with the shared blocks carried every page whole."""
+    pages = [
+        (1, "http://h/a", "<article><p>one</p><nav>menu</nav><ul><li>x</li></ul></article><p>beside</p>"),
+        (2, "http://h/b", "<nav><p>menu</p></nav><p>plain</p>"),
+        (3, "http://h/c", "<article><aside>ad</aside></article><p>left</p>"),
+        (4, "http://h/d", None),
+    ]
+    for _, _, page in pages:
+        blocks = html.blocks_of(page or "")
+        kinds = bytes(a | never << 1 | body << 2 for _, a, never, body in blocks)
+        rest = html._blocks_from(kinds, [blocks[k][0] for k in html.candidates(blocks)])
+        for mask in range(1 << len(blocks)):
+            shared = frozenset(k for k in range(len(blocks)) if mask >> k & 1)
+            assert html.main_blocks(rest, shared) == html.main_blocks(blocks, shared)
+    out = html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in out.collect()} == {1: "one\nx", 2: "plain", 3: "left", 4: ""}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "html#" in plan and "html#" not in plan[: plan.index("Join")]
+
+
 def test_main_text_matches_plain_differencing(spark):
     rng = random.Random(6)
     rows = []
