@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import small_batches, stored
 from .words import SPACED, mix, shingles, text_blocks, word_hashes
 
 BANDS = 28
@@ -287,8 +287,7 @@ def _packed_common(batches):
     """The list column ``common`` as bytes."""
     for batch in batches:
         at = batch.schema.get_field_index("common")
-        lists = batch.column(at).to_pylist()
-        data = [None if v is None else np.array(v, np.int64).astype("<i8").tobytes() for v in lists]
+        data = [v.values.to_numpy().astype("<i8").tobytes() if v.is_valid else None for v in batch.column(at)]
         yield batch.set_column(at, "common", pa.array(data, pa.binary()))
 
 
@@ -337,6 +336,7 @@ def near_duplicates(
     have a null component_id, and are kept.  Rows that repeat an id are one node,
     linked with whatever any of their texts is linked with.  Other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = stored(picked.mapInArrow(lambda it: _sketch(it, width), SKETCH), "sketch")
     full = rows.filter("doc_id is not null and n_shingles > 0")

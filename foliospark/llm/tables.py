@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
@@ -19,6 +19,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: bytes of an Arrow batch, which Spark and the Python worker hold several times over
+BATCH_BYTES = 1 << 21
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, whatever the size of a row; a limit set by the user stands."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64MB"):  # Spark's own default
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def fresh(taken, *names: str) -> list[str]:
     """``names``, lengthened until none is a column in ``taken``; Spark does not tell case apart."""
     used, out = {c.lower() for c in taken}, []

@@ -10,7 +10,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+#: a task holds some 100 bytes for each byte of a block
+BLOCK_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240607)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -48,7 +49,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P**i and P**-i modulo 2**64 for i < n."""
     if len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES + (1 << 18))
+        size = max(n, 2 * BLOCK_BYTES + 1)
         for k, base in enumerate((_P, _P_INV)):
             run = np.full(size, base)
             run[0] = 1
