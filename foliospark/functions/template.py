@@ -18,7 +18,8 @@ import re
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -559,6 +560,7 @@ class Compiler:
         from .template_filters import FILTERS, TESTS
 
         self.filters = {**FILTERS, **(filters or {})}
+        self.custom = set(filters or {})
         self.tests = TESTS
 
     # statements: (text column, may be NULL on failure, changed names)
@@ -569,7 +571,8 @@ class Compiler:
                 parts.append(F.lit(node[1]))
             elif node[0] == "out":
                 val = self.value(node[1], scope)
-                parts.append(guarded(val.text(), val.fail))
+                once = node[1][0] == "filter" and val.fail is None and self.fixed(node[1])
+                parts.append(same_for_all(val.text()) if once else guarded(val.text(), val.fail))
                 fallible |= val.fail is not None
             elif node[0] == "set":
                 val = self.value(node[2], scope)
@@ -679,6 +682,15 @@ class Compiler:
         raise TemplateError(f"cannot loop over {v.dtype.simpleString()}")
 
     # expressions
+    def fixed(self, node) -> bool:
+        """Whether no row changes the value: built-in filters over literals."""
+        if node[0] == "list":
+            return all(self.fixed(n) for n in node[1])
+        if node[0] == "filter":
+            _, base, name, args, kwargs = node
+            return name not in self.custom and all(self.fixed(n) for n in (base, *args, *kwargs.values()))
+        return node[0] == "const"
+
     def value(self, node, scope: Scope) -> Val:
         return getattr(self, "on_" + node[0])(scope, *node[1:])
 
@@ -803,6 +815,15 @@ class Compiler:
         return F.coalesce(self.tests[name](base, *args), F.lit(False))
 
 
+def same_for_all(text: Column) -> Column:
+    """A text that no row changes, worked out once; Spark folds no expression with lambdas by itself."""
+    spark = SparkSession.getActiveSession()
+    try:
+        return text if spark is None else F.lit(spark.sql("values 1").select(text).first()[0])
+    except PySparkException:  # rows that are never rendered may not fail
+        return text
+
+
 def guarded(text: Column, fail: Column | None) -> Column:
     return text if fail is None else F.when(~F.coalesce(fail, F.lit(False)), text)
 

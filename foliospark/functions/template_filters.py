@@ -219,11 +219,12 @@ def listed(compiler, v: Val) -> Val:
 def length_of(v: Val) -> Column:
     if not v.defined:
         return F.lit(0)
+    # a list that filters make is made once: its size alone tells that it is absent
     if is_text(v):
-        size = F.length(v.col)
-    elif isinstance(v.dtype, (T.ArrayType, T.MapType)):
-        size = F.size(v.col)
-    elif is_variant(v):
+        return F.coalesce(F.length(v.col), F.lit(0))
+    if isinstance(v.dtype, (T.ArrayType, T.MapType)):
+        return F.greatest(F.size(v.col), F.lit(0))
+    if is_variant(v):
         body = as_json(v.col)
         size = F.coalesce(
             F.size(F.try_variant_get(v.col, "$", "array<variant>")),
@@ -343,7 +344,8 @@ def f_batch(compiler, v, n, fill=None):
             part = F.slice(a, i * size + 1, size)
             if fill is None:
                 return part
-            return F.concat(part, F.array_repeat(fill.col.cast(dtype), F.lit(size) - F.size(part)))
+            missing = F.greatest((i + 1) * size - F.size(a), F.lit(0))
+            return F.concat(part, F.array_repeat(fill.col.cast(dtype), missing))
 
         return F.transform(cells(F.ceil(F.size(a) / size).cast("int")), row)
 
@@ -419,10 +421,12 @@ def f_groupby(compiler, v, attribute, default=None, case_sensitive=None):
         keys = F.transform(a, lambda x: sort_key(value_of(x), cased))
 
         def group(ks, k):
-            members = F.filter(a, lambda x, i: F.get(ks, i).eqNullSafe(k))
-            label = value_of(F.get(members, F.lit(0)))
-            out["label"] = label.dtype
-            return F.struct(label.col.alias("grouper"), members.alias("list"))
+            def labelled(members):
+                label = value_of(F.get(members, F.lit(0)))
+                out["label"] = label.dtype
+                return F.struct(label.col.alias("grouper"), members.alias("list"))
+
+            return let(F.filter(a, lambda x, i: F.get(ks, i).eqNullSafe(k)), labelled)
 
         return let(keys, lambda ks: F.transform(F.array_sort(F.array_distinct(ks)), lambda k: group(ks, k)))
 

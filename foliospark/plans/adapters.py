@@ -40,9 +40,30 @@ def event_doc(spark, sf_dir) -> DataFrame:
     return envelope(e, F.col("event_id"), body)
 
 
-def line_doc(spark, sf_dir) -> DataFrame:
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of all rows, dealt over all cores by their values where the files are in few parts.
+
+    A file's row group is read by one task, however many rows it packs; work that is dear for each row
+    would run in that task.  All columns deal, so that an id that is null or repeats gathers no rows.
+    """
+    rows, parts = df.select(*columns), 3 * df.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= parts else rows.repartition(parts, *columns)
+
+
+LINE_COLUMNS = (
+    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus",
+    "l_discount", "l_tax", "l_quantity", "l_extendedprice",
+)
+
+
+def dealt_line_doc(spark, sf_dir) -> DataFrame:
+    """``line_doc`` for work that is dear for each row."""
+    return line_doc(spark, sf_dir, dealt(table(spark, sf_dir, "lineitem"), *LINE_COLUMNS))
+
+
+def line_doc(spark, sf_dir, line: DataFrame | None = None) -> DataFrame:
     """One document per order line: arrays of scalars and of objects, some empty."""
-    line = table(spark, sf_dir, "lineitem")
+    line = table(spark, sf_dir, "lineitem") if line is None else line
     charge = [
         F.when(F.col(f"l_{kind}") > 0, F.struct(F.lit(kind).alias("kind"), F.col(f"l_{kind}").alias("rate")))
         for kind in ("discount", "tax")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.template import render
 from ..functions.template_filters import custom
 from ..operators.messages import build_messages
-from .adapters import CONTEXT_SQL, LINE_SQL, MIXED_SQL, context_doc, event_doc, line_doc, mixed_doc, table
+from .adapters import CONTEXT_SQL, LINE_SQL, MIXED_SQL, context_doc, dealt_line_doc, event_doc, line_doc, mixed_doc, table
 from .registry import query
 
 
@@ -180,7 +180,7 @@ template_query(
         p_brand || ' has ' || p_size || '|a quite...|' || (length(p_name) + 15) as text from part""",
 )
 template_query(
-    "tpl_filter_list", line_doc, ["_id", "l_partkey", "l_suppkey"],
+    "tpl_filter_list", dealt_line_doc, ["_id", "l_partkey", "l_suppkey"],
     "{{ v.flags | length }}{{ v.flags | first }}{{ v.flags | last }} {{ v.flags | sort | join('<') }} {{ v.flags | reverse | join }} "
     "{{ (v.flags + ['a', 'A', v.flags[0]]) | unique | list | length }} {{ v.charges | map(attribute='kind') | join('+') }} "
     "{{ v.charges | selectattr('rate', 'gt', 0.04) | list | length }} {{ [3, 1, 2] | sort(reverse=true) | list }} "

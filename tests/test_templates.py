@@ -68,3 +68,33 @@ def test_data_is_never_rendered(spark):
 def test_rendering_stays_native(spark):
     plan = render(spark.range(5), "{% for i in range(3) %}{{ i * id }}{% endfor %}")._jdf.queryExecution().toString()
     assert "EvalPython" not in plan
+
+
+def test_lines_of_one_row_group_are_rendered_by_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from foliospark.plans.registry import load_all
+
+    line = "id as l_orderkey, 1 as l_linenumber, id % 7 as l_partkey, id % 3 as l_suppkey, 'A' as l_returnflag, 'F' as l_linestatus, " \
+        "0.05D as l_discount, 0D as l_tax, 2D as l_quantity, 3D as l_extendedprice"
+    spark.range(0, 400, 1, 1).selectExpr(*line.split(", ")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = load_all()[0]["tpl_filter_list"](spark, str(tmp_path))
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
+    rows = out.groupBy("text").count().collect()
+    assert [tuple(r) for r in rows] == [("2AF A<F FA 2 discount 1 [3, 2, 1] [[1, 2], [3, 0]] [[1, 2], [3]] 2 discount:1;", 400)]
+
+
+def test_a_list_is_made_once_for_its_length(spark):
+    df = spark.sql("select array('b', 'A', 'a') as strs, cast(null as array<string>) as a, cast(null as map<string,int>) as m, cast(null as string) as s")
+    out = render(df, "{{ strs | unique | length }}{{ a | length }}{{ m | length }}{{ s | length }}").select("text")
+    assert out.first()[0] == "2000"
+    assert out._jdf.queryExecution().analyzed().toString().count("array_position") == 1
+
+
+def test_filters_over_literals_are_worked_out_once(spark):
+    template = "{{ [3, 1, 2] | sort(reverse=true) | list }}{{ [n, 1] | sort | list }}"
+    out = render(spark.sql("select 2 as n"), template).select("text")
+    assert out.first()[0] == "[3, 2, 1][1, 2]"
+    assert out._jdf.queryExecution().analyzed().toString().count("sort_array") == 1
+    custom = {"sort": lambda _, v: v}  # a user's own filter is left alone
+    assert render(spark.sql("select 2 as n"), "{{ [3, 1] | sort | list }}", filters=custom).first()["text"] == "[3, 1]"
