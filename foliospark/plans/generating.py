@@ -56,8 +56,10 @@ def extract(spark, sf_dir):
 )
 def extract_fallback(spark, sf_dir):
     """No document has a delimiter line: every whole text is one block."""
-    blocks = extract_blocks(F.col("text"), delimiter="={3,}")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(blocks).alias("n_blocks"), blocks[0].alias("block"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", extract_blocks(F.col("text"), delimiter="={3,}").alias("found"))
+    # a blank text leaves no block; as a whole it is one empty text
+    docs = docs.withColumn("found", F.when(F.size("found") == 0, F.array(F.lit(""))).otherwise(F.col("found")))
+    return docs.select("doc_id", F.size("found").alias("n_blocks"), F.get("found", F.lit(0)).alias("block"))
 
 
 CONFIG_ROWS = YAML_SQL + """, configs as (
