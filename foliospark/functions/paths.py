@@ -50,6 +50,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def held(value: Column, body) -> Column:
+    """``let`` that does not copy what ``body`` gives: for results that hold much."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda known, _: known, body)
+
+
 def as_json(variant: Column) -> Column:
     """Canonical text of a VARIANT: sorted keys, NULL when absent."""
     return F.to_json(variant)
@@ -95,11 +100,12 @@ def variant_kind(variant: Column) -> Column:
 
     def scalar(name: Column) -> Column:
         return (
-            F.when(name.isin("BIGINT", "DECIMAL"), "number")
+            # a list's isin() leaves by an exception where it finds its value
+            F.when((name == "BIGINT") | (name == "DECIMAL"), "number")
             .when(name == "VOID", "null")
             .when(name == "BOOLEAN", "boolean")
             # what JSON has no number for is printed as a string
-            .when(name.isin("DOUBLE", "FLOAT"), text_kind(as_json(variant)))
+            .when((name == "DOUBLE") | (name == "FLOAT"), text_kind(as_json(variant)))
             .otherwise("string")
         )
 
